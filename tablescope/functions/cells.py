@@ -36,12 +36,15 @@ def quoted(name: str) -> Column:
 
 
 def _double_text(value: Column) -> Column:
-    """Plain decimal notation without trailing zeros."""
-    plain = F.regexp_replace(
-        value.cast("decimal(38,16)").cast("string"), r"\.?0+\z", ""
+    """Plain decimal notation, every digit kept, without trailing zeros."""
+    short = value.cast("string")
+    small = F.abs(value) < 1
+    long = F.when(small, value.cast("decimal(38,24)").cast("string")).otherwise(
+        value.cast("decimal(38,16)").cast("string")
     )
-    in_range = (F.abs(value) < 1e21) & ((F.abs(value) >= 1e-6) | (value == 0))
-    return F.when(in_range, plain).otherwise(value.cast("string"))
+    in_range = (F.abs(value) < 1e21) & (F.abs(value) >= 1e-6)
+    plain = F.when(F.contains(short, F.lit("E")) & in_range, long).otherwise(short)
+    return F.rtrim(F.regexp_replace(plain, r"(\.[0-9]*?)0+\z", "$1"), F.lit("."))
 
 
 def _moment_text(value: Column) -> Column:

@@ -1,9 +1,9 @@
 """Type inference and column profiles.
 
-Scalar statistics come from one wide aggregate over the scan: no shuffle of
-rows, whatever the number of columns.  Distinct counts and top values come
-from value counts, pre-aggregated per task.  The exact median narrows the
-values by a bounded sketch before anything is sorted.
+Types, completeness, ranges, distinct counts and top values come from value
+counts that are merged per task before the shuffle.  The generated code does
+not grow with the number of columns.  The exact median narrows the values by a
+bounded sketch before anything is sorted.
 """
 
 from __future__ import annotations
@@ -50,76 +50,126 @@ def inferred_type(filled: Column, bools: Column, numbers: Column, wholes: Column
     )
 
 
-def typed_cells(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Text ``t<i>``, number ``x<i>``, boolean ``b<i>`` and date ``d<i>`` of the
-    filled cells of each column.
+def cell_rows(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Filled cells as rows ``(column, value, _text, _x, _b, _d)``.
 
-    Built in steps, so that each text is trimmed once and parsed once.
+    ``value`` is the trimmed text.  Native numbers, booleans and dates come
+    along; cells of text columns (``_text``) are parsed later.
     """
-    texts, readings = [], []
-    for i, name in enumerate(names):
-        view, t = cell(df, name), F.col(f"t{i}")
-        texts.append(F.when(~view.missing, trim_ws(view.text)).alias(f"t{i}"))
-        if isinstance(df.schema[name].dataType, T.StringType):
-            readings += [
-                parse_number(t).alias(f"x{i}"), parse_boolean(t).alias(f"b{i}"), parse_date(t).alias(f"_d{i}")
-            ]
-        else:
-            readings += [F.col(f"_{r}{i}").alias(f"{r}{i}") for r in "xb"] + [F.col(f"_d{i}")]
-            texts += [
-                view.number.alias(f"_x{i}"), view.boolean.alias(f"_b{i}"), view.moment.alias(f"_d{i}")
-            ]
-    parsed = df.select(*_by(by), *texts).select(*by, *[f"t{i}" for i in range(len(names))], *readings)
-    dates = [F.when(F.col(f"x{i}").isNull(), F.col(f"_d{i}")).alias(f"d{i}") for i in range(len(names))]
-    kept = [f"{r}{i}" for i in range(len(names)) for r in "txb"]
-    return parsed.select(*by, *kept, *dates)
+    parts = []
+    for name in names:
+        view, is_text = cell(df, name), isinstance(df.schema[name].dataType, T.StringType)
+        nothing = F.lit(None)
+        parts.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.when(~view.missing, trim_ws(view.text)).alias("value"),
+                F.lit(is_text).alias("_text"),
+                (nothing.cast("double") if is_text else view.number).alias("_x"),
+                (nothing.cast("boolean") if is_text else view.boolean).alias("_b"),
+                (nothing.cast("timestamp") if is_text else view.moment.cast("timestamp")).alias("_d"),
+            )
+        )
+    return df.select(*_by(by), F.inline(F.array(*parts))).filter(F.col("value").isNotNull())
+
+
+def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(column, value, n, ...)`` of the distinct trimmed values of columns.
+
+    Equal values are merged per task before the shuffle, so a value that fills
+    a third of a table travels once per task.
+    """
+    return (
+        cell_rows(df, names, by)
+        .groupBy(*by, "column", "value")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.max("_text").alias("_text"), F.max("_x").alias("_x"),
+            F.max("_b").alias("_b"), F.max("_d").alias("_d"),
+        )
+    )
+
+
+def _readings(values: DataFrame) -> DataFrame:
+    """Parse the values of text columns; numbers win over dates."""
+    read = (
+        values.withColumn("_px", F.when(F.col("_text"), parse_number(F.col("value"))))
+        .withColumn("_pb", F.when(F.col("_text"), parse_boolean(F.col("value"))))
+    )
+    read = read.withColumn(
+        "_pd", F.when(F.col("_text") & F.col("_px").isNull(), parse_date(F.col("value")))
+    )
+    return read.withColumn("_x", F.coalesce("_x", "_px")).withColumn(
+        "_b", F.coalesce("_b", "_pb")
+    ).withColumn("_d", F.coalesce("_d", "_pd"))
+
+
+def _table_rows(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per column (and key) with its place and the number of rows."""
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("column_index")) for i, c in enumerate(names)
+    ])
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).select(*by, F.inline(entries), "total")
 
 
 def column_scalars(
-    df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), approx_distinct: bool = False
+    df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
-    """One row per column: type, completeness, range, mean, deviation."""
+    """One row per column: type, completeness, range, mean.
+
+    Exact statistics come from the value counts, so that each distinct value is
+    parsed once.  ``exact=False`` skips the shuffle of values and estimates the
+    number of distinct ones.
+    """
     names = _columns(df, cols, by)
-    prepared = typed_cells(df, names, by)
-    stats = []
-    for i, name in enumerate(names):
-        x, d, t = F.col(f"x{i}"), F.col(f"d{i}"), F.col(f"t{i}")
-        parts = [
-            F.lit(name).alias("column"),
-            F.lit(i).alias("column_index"),
-            F.count(F.lit(1)).alias("total"),
-            F.count(t).alias("filled"),
-            F.count(f"b{i}").alias("bools"),
-            F.count(x).alias("numbers"),
-            F.count_if(is_whole(x)).alias("wholes"),
-            F.count(d).alias("dates"),
-            F.coalesce(F.avg(F.length(t)), F.lit(0.0)).alias("avg_length"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.avg(x).alias("mean"),
-            F.stddev_pop(x).alias("std_dev"),
-            F.min(d).alias("first_ts"),
-            F.max(d).alias("last_ts"),
-        ]
-        if approx_distinct:
-            parts.append(F.approx_count_distinct(t, 0.01).alias("unique_count"))
-        stats.append(F.struct(*parts).alias(f"s{i}"))
-    wide = prepared.groupBy(*by).agg(*stats)
-    rows = wide.select(*by, F.inline(F.array(*[f"s{i}" for i in range(len(names))])))
+    keys = [*by, "column"]
+    if exact:
+        values = _readings(value_counts(df, names, by))
+        unique = F.count(F.lit(1))
+    else:
+        values = _readings(cell_rows(df, names, by).withColumn("n", F.lit(1)))
+        unique = F.approx_count_distinct("value", 0.01)
+    n, x, d = F.col("n"), F.col("_x"), F.col("_d")
+
+    def rows_with(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    sums = values.groupBy(*keys).agg(
+        F.sum(n).alias("filled"),
+        unique.alias("unique_count"),
+        rows_with(F.col("_b").isNotNull()).alias("bools"),
+        rows_with(x.isNotNull()).alias("numbers"),
+        rows_with(is_whole(x)).alias("wholes"),
+        rows_with(d.isNotNull()).alias("dates"),
+        F.sum(F.length("value") * n).alias("chars"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * n).alias("sum"),
+        F.min(d).alias("first_ts"), F.max(d).alias("last_ts"),
+    )
+    places = _table_rows(df, names, by)
+    if by:
+        rows = places.join(sums, keys, "left")
+    else:
+        rows = places.join(F.broadcast(sums), keys, "left")  # one row per column
+    zeros = ["filled", "unique_count", "bools", "numbers", "wholes", "dates", "chars"]
+    rows = rows.select(
+        *keys, "column_index", "total",
+        *[F.coalesce(z, F.lit(0)).cast("long").alias(z) for z in zeros],
+        "min", "max", "sum", "first_ts", "last_ts",
+    )
     c = F.col
     kind = inferred_type(c("filled"), c("bools"), c("numbers"), c("wholes"), c("dates"))
     numeric, dated = is_numeric_type(c("inferred_type")), c("inferred_type") == "date"
     return rows.withColumn("inferred_type", kind).select(
-        *by, "column", "column_index", "inferred_type", "total", "filled",
+        *keys, "column_index", "inferred_type", "total", "filled",
         (c("total") - c("filled")).alias("missing"),
         F.when(c("total") == 0, 0.0)
         .otherwise((c("total") - c("filled")) / c("total") * 100)
         .alias("missing_pct"),
-        "avg_length", "numbers",
-        *[F.when(numeric, c(s)).alias(s) for s in ("min", "max", "mean", "std_dev")],
+        "unique_count",
+        F.when(c("filled") == 0, 0.0).otherwise(c("chars") / c("filled")).alias("avg_length"),
+        F.when(numeric, c("min")).alias("min"), F.when(numeric, c("max")).alias("max"),
+        F.when(numeric, c("sum") / c("numbers")).alias("mean"),
         F.when(dated, F.date_format("first_ts", "yyyy-MM-dd")).alias("first_date"),
         F.when(dated, F.date_format("last_ts", "yyyy-MM-dd")).alias("last_date"),
-        *(["unique_count"] if approx_distinct else []),
     )
 
 
@@ -208,23 +258,6 @@ def numeric_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), ex
     return basic.select(*keys, "n", "min", "max", "mean", "median", "std_dev")
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows ``(column, value, n)`` of the distinct trimmed values of columns."""
-    parts = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when(~cell(df, c).missing, trim_ws(cell(df, c).text)).alias("value"),
-        )
-        for c in cols
-    ]
-    return (
-        df.select(*_by(by), F.inline(F.array(*parts)))
-        .filter(F.col("value").isNotNull())
-        .groupBy(*by, "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def distinct_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Exact number of distinct trimmed values per column."""
     return value_counts(df, cols, by).groupBy(*by, "column").agg(
@@ -260,12 +293,8 @@ def top_values(
 
 def column_stats(df: DataFrame, dataset_id: str | None = None, by: Sequence[str] = (),
                  exact: bool = True) -> DataFrame:
-    """Scalar profile with distinct counts; what role inference needs."""
-    names = _columns(df, None, by)
-    scalars = column_scalars(df, names, by, approx_distinct=not exact)
-    if exact:
-        scalars = scalars.join(distinct_counts(df, names, by), [*by, "column"], "left")
-    rows = scalars.withColumn("unique_count", F.coalesce("unique_count", F.lit(0)).cast("long"))
+    """Scalar profile of every column; what role inference needs."""
+    rows = column_scalars(df, None, by, exact)
     if dataset_id is not None:
         rows = rows.select(F.lit(dataset_id).alias("dataset_id"), *rows.columns)
     return rows
@@ -282,12 +311,7 @@ def profile(df: DataFrame, dataset_id: str | None = None, by: Sequence[str] = ()
     keys = [*by, "column"]
     stats = column_stats(df, None, by, exact)
     values = numeric_long(df, names, by)
-    if exact:
-        middle = medians(values, keys, few_keys=not by)
-    else:
-        middle = values.groupBy(*keys).agg(
-            F.percentile_approx("_x", 0.5, F.lit(_SKETCH)).alias("median")
-        )
+    spread = numeric_stats(df, names, by, exact).select(*keys, "median", "std_dev")
     bins = histogram_of_values(values, keys, few_keys=not by).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("bin", "start", "end", "count", "label"))).alias("histogram")
     )
@@ -296,11 +320,11 @@ def profile(df: DataFrame, dataset_id: str | None = None, by: Sequence[str] = ()
     )
     numeric = is_numeric_type(F.col("inferred_type"))
     rows = (
-        stats.join(middle, keys, "left").join(bins, keys, "left").join(top, keys, "left")
+        stats.join(spread, keys, "left").join(bins, keys, "left").join(top, keys, "left")
         .withColumn("median", F.when(numeric, F.col("median")))
+        .withColumn("std_dev", F.when(numeric, F.col("std_dev")))
         .withColumn("histogram", F.when(numeric, F.col("histogram")))
         .withColumn("top_values", F.when(~numeric, F.col("top_values")))
-        .drop("numbers")
     )
     if dataset_id is not None:
         rows = rows.select(F.lit(dataset_id).alias("dataset_id"), *rows.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -29,3 +29,16 @@ def local_session(cpus: int | str = "*", app: str = "tablescope") -> SparkSessio
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-wh-"))
     )
     return configure(builder.getOrCreate())
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several jobs read.
+
+    Uses the shared folder the cluster names in ``spark.checkpoint.dir``; only
+    where none is set (tests on one machine) a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-checkpoint-"))
+    return df.checkpoint()
