@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", app: str = "tablescope") -> SparkSessio
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-wh-"))

@@ -84,7 +84,7 @@ def _elements(text: str) -> list[tuple]:
         done.append((
             node["id"], open_nodes[-1]["id"] if open_nodes else None, scope_id, scope, node["path"],
             node["tag"], node["name"], "".join(node["own"]),
-            None if node["all"] is None else "".join(node["all"]), list(node["attrs"].items()),
+            None if node["all"] is None else "".join(node["all"]), node["attrs"],
             [f'{k}="{v}"' if len(v) <= ATTRIBUTE_LIMIT else f'{k}="{v[:ATTRIBUTE_LIMIT - 3]}..."'
              for k, v in node["attrs"].items()],
             len(open_nodes), node["children"], None,
