@@ -43,30 +43,45 @@ def parse_financial_number(col: Column) -> Column:
     three final digits groups thousands.
     """
     letters = "abcdefghijklmnopqrstuvwxyz"
-    packed = F.translate(
-        F.translate(trim_ws(col), "−–", "--"),
-        letters + letters.upper() + "$€£'" + SPACE_CHARS,
-        "",
+    packed = F.translate(col, "−–" + letters + letters.upper() + "$€£'" + SPACE_CHARS, "--")
+    simple = packed.rlike(r"\A[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{1,2})?\z")
+    return F.when(simple, F.translate(packed, ",", "").try_cast("double")).otherwise(
+        _marked_value(_mark_signs(packed))
     )
-    bracketed = packed.startswith("(") & packed.endswith(")") & (F.length(packed) > 1)
-    body = F.when(bracketed, F.substring(packed, F.lit(2), F.length(packed) - 2)).otherwise(packed)
-    minus = body.startswith("-")
-    digits = F.when(minus, F.substring(body, 2, 1_000_000)).otherwise(body)
-    comma, dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
-    plain = (
-        F.when(
-            comma & dot & digits.rlike(r",[^.]*\z"),
-            F.regexp_replace(F.translate(digits, ".", ""), r"\A([^,]*),", "$1."),
-        )
-        .when(comma & digits.rlike(r"\A[^.]*,[0-9]{1,2}\z"), F.regexp_replace(digits, r"\A([^,]*),", "$1."))
-        .when(comma, F.translate(digits, ",", ""))
-        .when(digits.rlike(r"\..*\.|\.[0-9]{3}\z"), F.translate(digits, ".", ""))
-        .otherwise(digits)
-    )
-    size = F.when(
-        plain.rlike(r"\A[+]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), finite(plain.try_cast("double"))
-    )
-    return F.when(bracketed | minus, F.lit(0.0) - size).otherwise(size)
+
+
+# Steps that mark what a sign in an amount means: n negative, p decimal point,
+# d dropped dot, x no number.  Letters are free, as they were removed before.
+_SIGN_STEPS = (
+    (r"\A\(-?(.*)\)\z", "n$1"),  # brackets, also around a minus
+    (r"\A-", "n"),
+    (r"\A(.*,.*)\.([^,.]*)\z", "$1p$2"),  # both signs, the dot is last
+    (r",(?=[^p]*p)", ""),
+    (r"\.(?=[^p]*,[^.p]*\z)", "d"),  # both signs, the comma is last
+    (r"\A([^,]*d[^,]*),", "$1p"),
+    (r"\A([^,.d]*),([0-9]{1,2})\z", "$1p$2"),  # a lone comma before one or two digits
+    (r"\A[^.d]*,[^.d]*,[0-9]{1,2}\z", "x"),
+    (r",(?=[^.dp]*\z)", ""),
+    (r"\A([^.p]*)\.([^.p]{0,2}|[^.p]{4,})\z", "$1p$2"),  # a lone dot, not before three digits
+    (r"\.(?=[^p]*\z)", ""),
+)
+
+
+def _mark_signs(packed: Column) -> Column:
+    for pattern, mark in _SIGN_STEPS:
+        packed = F.regexp_replace(packed, pattern, mark)
+    return packed
+
+
+def _marked_value(marked: Column) -> Column:
+    """Value of a marked amount; the marks are worked out once."""
+
+    def value(text: Column) -> Column:
+        size = finite(F.translate(text, "pdn", ".").try_cast("double"))
+        signed = F.when(text.startswith("n"), F.lit(0.0) - size).otherwise(size)
+        return F.when(text.rlike(r"\An?[-+]?(?:[0-9][0-9d]*p?[0-9]*|p[0-9]+)\z"), signed)
+
+    return F.get(F.transform(F.array(marked), value), F.lit(0))
 
 
 def amount_tokens(col: Column) -> Column:
@@ -267,24 +282,27 @@ def signed_change(current: Column, prior: Column) -> Column:
     )
 
 
+def _by_priority(rules: Sequence[R.ConceptRule]) -> list[R.ConceptRule]:
+    return sorted(rules, key=lambda r: -r.priority)
+
+
 def classify_concept(label: Column, rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES) -> Column:
     """Concept of a label, or null.
 
     Rules become one CASE in order of priority, so the work stays in the scan:
-    no join on labels, where a common label would be a hot key.
+    no join on labels, where a common label would be a hot key.  One test of
+    all patterns spares the others for text that matches none.
     """
     chosen = None
-    for rule in sorted(rules, key=lambda r: -r.priority):
+    for rule in _by_priority(rules):
         hit = any_match(label, rule.patterns)
         chosen = F.when(hit, rule.concept) if chosen is None else chosen.when(hit, rule.concept)
-    return chosen
+    return F.when(any_match(label, [p for r in rules for p in r.patterns]), chosen)
 
 
 def _lookup(key: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    chosen = F.when(key == pairs[0][0], pairs[0][1])
-    for name, value in pairs[1:]:
-        chosen = chosen.when(key == name, value)
-    return chosen
+    entries = [F.lit(x) for pair in pairs for x in pair]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def concept_kind(concept: Column, rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES) -> Column:

@@ -248,7 +248,8 @@ def metric_scores(
     relevant = facts.filter(any_match(line, [p for rule in rules for p in rule.patterns]))
     return (
         relevant.withColumn("_common", common)
-        .withColumn("_match", F.explode(F.array_compact(F.array(*matches))))
+        .withColumn("_match", F.explode_outer(F.array_compact(F.array(*matches))))
+        .filter(F.col("_match").isNotNull())
         .select(
             *facts.columns, "_match.metric_no", "_match.label",
             (F.col("_match.points") + F.col("_common")).alias("score"),

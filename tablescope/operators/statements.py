@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablescope import rules as R
 from tablescope.functions.cells import cell, quoted
 from tablescope.functions.finance import (
-    amount_tokens,
     canonical_label,
     classify_concept,
     clean_label,
@@ -24,16 +23,15 @@ from tablescope.functions.finance import (
     heading_kind,
     is_year_token,
     label_kind,
-    parse_financial_number,
+    number_tokens,
     period_label,
     period_of,
     period_year,
     signed_value,
     statement_title,
-    text_between_tokens,
     years_in,
 )
-from tablescope.functions.text import split_lines, trim_ws
+from tablescope.functions.text import squeeze, trim_ws
 from tablescope.functions.values import parse_number
 from tablescope.operators.carry import carry_forward
 
@@ -66,22 +64,24 @@ def page_lines(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     ``raw_text`` keeps runs of blanks, which separate figures; ``text`` has
     them squeezed.
     """
-    raw = F.filter(F.split("text", r"\r?\n"), lambda line: trim_ws(line) != "")
+    raw = F.filter(F.transform(F.split("text", r"\r?\n"), trim_ws), lambda line: line != "")
     lines = pages.select(
         *[c for c in pages.columns if c != "text"], F.posexplode(raw).alias("line_no", "raw_text")
     )
-    return lines.withColumn("raw_text", trim_ws(F.col("raw_text"))).withColumn(
-        "text", F.element_at(split_lines(F.col("raw_text")), 1)
-    )
+    return lines.withColumn("text", squeeze(F.col("raw_text")))
 
 
 def segment_lines(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Lines with the statement kind in force, carried over pages.
 
-    A heading sets the kind for the lines after it.  Also brings the years of
-    the document, through one row per block of pages.
+    A heading sets the kind for the lines after it.  Also brings the amounts of
+    each line, read in the scan, and the years of the document, which travel
+    through one row per block of pages.
     """
-    lines = page_lines(pages, doc).withColumn("heading", heading_kind(F.col("text")))
+    raw = F.col("raw_text")
+    tokens = F.when(raw.rlike("[0-9]"), number_tokens(raw)).otherwise(
+        F.array().cast("array<struct<raw:string,value:double,pos:int>>"))
+    lines = page_lines(pages, doc).withColumn("heading", heading_kind(F.col("text"))).withColumn("tokens", tokens)
     block = F.floor(F.col("page_no") / _PAGES_PER_BLOCK)
     placed = carry_forward(
         lines, [doc], ["page_no", "line_no"], block, {"kind": "heading"}, text_years(pages, doc)
@@ -95,31 +95,22 @@ def segment_lines(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def _line_parts(lines: DataFrame) -> DataFrame:
-    """Add label, usable values and their number to text lines."""
+    """Add label and usable values to text lines.
+
+    Years are no values.  With one value more than periods, a small whole
+    number in front is the number of a note.
+    """
     c = F.col
-    tokens = F.transform(amount_tokens(c("raw_text")), lambda raw: F.struct(
-        raw.alias("raw"), parse_financial_number(raw).alias("value")))
-    rows = lines.withColumn("_tokens", tokens).withColumn("_pieces", text_between_tokens(c("raw_text")))
-    rows = rows.withColumn("_places", F.filter(
-        F.sequence(F.lit(1), F.size("_tokens") + 1),
-        lambda i: F.coalesce(
-            F.get("_tokens", i - 1)["value"].isNotNull()
-            & ~is_year_token(F.get("_tokens", i - 1)["raw"], c("years")), F.lit(False)),
-    ))
-    first = F.get("_tokens", F.get("_places", F.lit(0)) - 1)["value"]
+    usable = F.filter("tokens", lambda t: t["value"].isNotNull() & ~is_year_token(t["raw"], c("years")))
+    first = F.get("_usable", F.lit(0))["value"]
     note = (
-        (F.size("years") > 0) & (F.size("_places") == F.size("years") + 1)
+        (F.size("years") > 0) & (F.size("_usable") == F.size("years") + 1)
         & (first == F.floor(first)) & (F.abs(first) <= 99)
     )
-    rows = rows.withColumn(
-        "_places", F.when(note, F.slice("_places", F.lit(2), F.size("_places"))).otherwise(c("_places"))
-    )
-    start = F.get("_places", F.lit(0))
-    pairs = F.zip_with("_pieces", "_tokens", lambda piece, token: F.concat(piece, F.coalesce(token["raw"], F.lit(""))))
-    lead = F.concat(F.array_join(F.slice(pairs, F.lit(1), start - 1), ""), F.get("_pieces", start - 1))
-    return rows.withColumn("label", clean_label(lead)).withColumn(
-        "_values", F.transform("_places", lambda i: F.get("_tokens", i - 1)["value"])
-    ).drop("_tokens", "_pieces", "_places")
+    rows = lines.withColumn("_usable", usable).withColumn("_skip", F.when(note, 1).otherwise(0))
+    lead = F.substring("raw_text", F.lit(1), F.get("_usable", c("_skip"))["pos"])
+    values = F.transform(F.slice("_usable", c("_skip") + 1, F.size("_usable")), lambda t: t["value"])
+    return rows.withColumn("label", clean_label(lead)).withColumn("_values", values).drop("_usable", "_skip")
 
 
 def parse_lines(lines: DataFrame, rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES,
@@ -156,7 +147,7 @@ def parse_lines(lines: DataFrame, rules: Sequence[R.ConceptRule] = R.CONCEPT_RUL
         c("kind") != "unknown", c("concept").isNotNull(), F.size("_values"), c("page_no") > 0
     )
     return rows.withColumn("parsed", F.coalesce(parsed, F.lit(False))).select(
-        *[n for n in lines.columns if n not in ("raw_text", "kind")],
+        *[n for n in lines.columns if n not in ("raw_text", "kind", "tokens")],
         F.when(c("parsed"), c("item_kind")).otherwise(c("kind")).alias("kind"),
         "parsed",
         F.when(c("parsed"), confidence).when(c("is_heading"), HEADING_CONFIDENCE)
@@ -183,10 +174,13 @@ def items_from_lines(parsed: DataFrame, doc: str = "doc_id") -> DataFrame:
     whole document.
     """
     line_id = F.concat_ws(":", "kind", F.format_string("%09d", "page_no"), F.format_string("%09d", "line_no"))
-    return parsed.filter("parsed").select(
+    # The outer form keeps the optimizer from evaluating the values twice, in a
+    # filter below the lines; lines without values drop out afterwards.
+    rows = parsed.select(
         doc, line_id.alias("line_id"), "label", "concept", "kind", "confidence", "page_no",
-        F.inline("values"),
-    ).select(doc, *ITEM_COLUMNS)
+        F.inline_outer("values"),
+    )
+    return rows.filter(F.col("period").isNotNull()).select(doc, *ITEM_COLUMNS)
 
 
 def unparsed_lines(raw_lines: DataFrame, include_parsed: bool = False, limit: int | None = None,
@@ -377,7 +371,7 @@ def statement_membership(items: DataFrame, rules: Sequence[R.ConceptRule] = R.CO
     main = F.when(by_label.isin(*R.PRIMARY_KINDS), by_label).otherwise("unknown")
     own = F.when(F.col("kind").isin(*R.PRIMARY_KINDS), F.col("kind"))
     kinds = F.array_distinct(F.array_compact(F.array(main, own)))
-    return items.withColumn("statement", F.explode(kinds))
+    return items.withColumn("statement", F.explode_outer(kinds))
 
 
 def statement_summary(members: DataFrame, documents: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
