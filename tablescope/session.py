@@ -32,14 +32,19 @@ def local_session(cpus: int | str = "*", app: str = "tablescope") -> SparkSessio
     return configure(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several jobs read.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see: the one named in ``spark.checkpoint.dir``.
 
-    Uses the shared folder the cluster names in ``spark.checkpoint.dir``; only
-    where none is set (tests on one machine) a folder of its own.
+    Only where none is set (tests on one machine) a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-checkpoint-"))
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return named or tempfile.mkdtemp(prefix="run-shared-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several jobs read to the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

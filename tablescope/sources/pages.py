@@ -21,10 +21,10 @@ NO_OCR_TEXT = "OCR produced no readable text for this page."
 NO_DOCUMENT_TEXT = "No extractable PDF text was found."
 
 
-def _join_fragments(line: pd.DataFrame) -> str:
-    """Fragments of one line, left to right, with blanks for the gaps."""
+def _line_text(fragments: list[tuple[float, float, str]]) -> str:
+    """Fragments ``(x, width, text)`` of one line with blanks for the gaps."""
     text, end = "", None
-    for x, width, piece in line.sort_values("x", kind="stable")[["x", "w", "str"]].itertuples(index=False):
+    for x, width, piece in sorted(fragments, key=lambda f: f[0]):
         if end is not None:
             if x - end > WIDE_GAP:
                 text += "   "
@@ -41,15 +41,19 @@ def _page_of_fragments(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
     From the top down, a fragment opens a line when it lies more than the
     tolerance below the fragment that opened the current one.
     """
-    page = page[page["str"].notna()]
-    page = page[(page["str"].str.strip() != "") | (page["w"] > 0)]
-    page = page.sort_values(["y", "x"], ascending=[False, True], kind="stable")
-    numbers, opened, number = [], None, -1
-    for y in page["y"]:
+    shown = [
+        (y, x, width, piece)
+        for x, y, width, piece in zip(page["x"], page["y"], page["w"], page["str"])
+        if piece is not None and (piece.strip() or width > 0)
+    ]
+    lines: list[list] = []
+    opened = None
+    for y, x, width, piece in sorted(shown, key=lambda f: (-f[0], f[1])):
         if opened is None or opened - y > LINE_TOLERANCE:
-            opened, number = y, number + 1
-        numbers.append(number)
-    texts = [_join_fragments(line) for _, line in page.groupby(numbers, sort=True)]
+            opened = y
+            lines.append([])
+        lines[-1].append((x, width, piece))
+    texts = [_line_text(line) for line in lines]
     return pd.DataFrame({"doc_id": [key[0]], "page_no": [key[1]],
                          "text": ["\n".join(t for t in texts if t.strip())]})
 

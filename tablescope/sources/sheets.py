@@ -20,6 +20,7 @@ from tablescope.functions.text import trim_ws
 from tablescope.functions.values import parse_number
 from tablescope.operators.carry import carry_forward
 from tablescope.operators.facts import analysis_summary, to_facts
+from tablescope.session import cut_lineage
 
 SHEET = ("workbook", "sheet")
 # Rows searched for a header and rows after it that count.
@@ -38,6 +39,8 @@ _ROWS_PER_BLOCK = 4_096
 
 def read_cells(cells: DataFrame) -> DataFrame:
     """Cells with trimmed text and readable number; blank cells dropped."""
+    if "number" in cells.columns:
+        return cells
     text = trim_ws(F.coalesce("text", F.col("num").cast("string"), F.lit("")))
     return cells.select(
         *SHEET, "row", "col", text.alias("text"), "num",
@@ -45,6 +48,11 @@ def read_cells(cells: DataFrame) -> DataFrame:
     ).filter(F.col("text") != "")
 
 
+def prepare_cells(cells: DataFrame) -> DataFrame:
+    """Readable cells, written once: a workbook is read several times over."""
+    return cells if "number" in cells.columns else cut_lineage(read_cells(cells))
+
+
 # Generic sheets -----------------------------------------------------------
 
 def sheet_headers(cells: DataFrame) -> DataFrame:
@@ -205,7 +213,8 @@ def _layout(cells: DataFrame, headers: DataFrame, limit: Column) -> DataFrame:
 
 def _to_facts(rows: DataFrame, sheets: DataFrame, metric: Column, period: Column) -> DataFrame:
     c = F.col
-    return rows.join(sheets, list(SHEET)).withColumn("_v", F.explode("amounts")).select(
+    kinds = sheets.select(*SHEET, "statement_type", "unit")
+    return rows.join(kinds, list(SHEET)).withColumn("_v", F.explode("amounts")).select(
         F.col("workbook").alias("doc_id"), "sheet", c("statement_type").alias("statement"),
         F.coalesce("section", F.lit("")).alias("section"), "line_item", metric.alias("metric"),
         period.alias("period"), c("_v.amount").alias("amount"), F.coalesce("unit", F.lit("")).alias("unit"),
@@ -218,25 +227,25 @@ def _to_facts(rows: DataFrame, sheets: DataFrame, metric: Column, period: Column
 def sheet_period_facts(cells: DataFrame) -> DataFrame:
     """Facts of sheets with period columns; headings carry forward."""
     c = F.col
+    cells = prepare_cells(cells)
     sheets = _typed_sheets(cells)
-    cells = cells.join(sheets.select(*SHEET), list(SHEET), "left_semi")
-    headers = sheet_period_header(cells)
+    headers = cut_lineage(sheet_period_header(cells).join(sheets, list(SHEET)))  # one row per sheet
     columns = read_cells(cells).join(headers.select(*SHEET, "header_row"), list(SHEET)).filter(
         c("row") == c("header_row")
     ).select(*SHEET, "col", sheet_period_label(c("text"), c("num")).alias("name")).filter(c("name").isNotNull())
-    rows = _labelled_rows(cells, _layout(cells, headers, c("first_period_col")), columns)
+    layout = cut_lineage(_layout(cells, headers, c("first_period_col")))
+    rows = _labelled_rows(cells, layout, columns)
     filled = carry_forward(rows, SHEET, ["row"], F.floor(c("row") / _ROWS_PER_BLOCK), {"section": "heading"})
-    return _to_facts(filled, sheets, F.lit("Amount"), c("_v.name"))
+    return _to_facts(filled, headers, F.lit("Amount"), c("_v.name"))
 
 
 def sheet_metric_facts(cells: DataFrame) -> DataFrame:
     """Facts of sheets without period columns: one per metric column."""
     c = F.col
-    sheets = _typed_sheets(cells)
-    cells = cells.join(sheets.select(*SHEET), list(SHEET), "left_semi").join(
-        sheet_period_header(cells).select(*SHEET), list(SHEET), "left_anti")
-    headers = metric_header(cells)
-    layout = _layout(cells, headers, c("last_col") + 1)
+    cells = prepare_cells(cells)
+    sheets = _typed_sheets(cells).join(sheet_period_header(cells).select(*SHEET), list(SHEET), "left_anti")
+    headers = cut_lineage(metric_header(cells).join(sheets, list(SHEET)))  # one row per sheet
+    layout = cut_lineage(_layout(cells, headers, c("last_col") + 1))
     width = headers.select(*SHEET, "header_row", F.explode(F.sequence(F.lit(0), c("last_col"))).alias("col"))
     names = read_cells(cells).select(*SHEET, c("row").alias("header_row"), "col", c("text").alias("_name"))
     columns = width.join(names, [*SHEET, "header_row", "col"], "left").join(
@@ -249,7 +258,7 @@ def sheet_metric_facts(cells: DataFrame) -> DataFrame:
         rows, SHEET, ["row"], F.floor(c("row") / _ROWS_PER_BLOCK),
         {"section": "heading", "section_period": "heading_period"})
     period = F.coalesce(year_from_text(c("line_item")), c("section_period"), F.lit("Unspecified period"))
-    return _to_facts(filled, sheets, c("_v.name"), period)
+    return _to_facts(filled, headers, c("_v.name"), period)
 
 
 def _typed_sheets(cells: DataFrame) -> DataFrame:
@@ -259,6 +268,7 @@ def _typed_sheets(cells: DataFrame) -> DataFrame:
 
 def sheet_facts(cells: DataFrame) -> DataFrame:
     """Facts of all financial sheets."""
+    cells = prepare_cells(cells)
     return sheet_period_facts(cells).unionByName(sheet_metric_facts(cells))
 
 

@@ -136,10 +136,14 @@ def _text_amounts(spark, sf):
 
 
 @query("periods_in_text", """
-with y as (select doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:FY\\s*)?((?:19|20)[0-9]{2})\\b', 1)) as y from documents)
-select doc_id, 'FY ' || y as period from y group by 1, 2""")
+select o_custkey as doc_id, 'FY ' || y as period from (
+ select o_custkey, unnest([year(o_orderdate), year(o_orderdate) - 1]) as y from orders) group by 1, 2""")
 def _periods_in_text(spark, sf):
-    years = D.text_years(table(spark, sf, "documents"))
+    """Years named in the notes of each customer."""
+    year = F.year("o_orderdate")
+    text = F.format_string("Year ended 31 December %d, no 12019 or x2018 (FY %d)", year, year - 1)
+    notes = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), text.alias("text"))
+    years = D.text_years(notes)
     return years.select("doc_id", F.explode(F.transform("years", M.period_label)).alias("period"))
 
 
