@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescope import rules as R
@@ -35,40 +36,46 @@ def _line_text(fragments: list[tuple[float, float, str]]) -> str:
     return text.rstrip()
 
 
-def _page_of_fragments(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+def _page_text(fragments: list[dict]) -> str:
     """Text of one page.
 
     From the top down, a fragment opens a line when it lies more than the
     tolerance below the fragment that opened the current one.
     """
-    shown = [
-        (y, x, width, piece)
-        for x, y, width, piece in zip(page["x"], page["y"], page["w"], page["str"])
-        if piece is not None and (piece.strip() or width > 0)
-    ]
     lines: list[list] = []
     opened = None
-    for y, x, width, piece in sorted(shown, key=lambda f: (-f[0], f[1])):
-        if opened is None or opened - y > LINE_TOLERANCE:
-            opened = y
+    for f in sorted(fragments, key=lambda f: (-f["y"], f["x"])):
+        if opened is None or opened - f["y"] > LINE_TOLERANCE:
+            opened = f["y"]
             lines.append([])
-        lines[-1].append((x, width, piece))
+        lines[-1].append((f["x"], f["w"], f["str"]))
     texts = [_line_text(line) for line in lines]
-    return pd.DataFrame({"doc_id": [key[0]], "page_no": [key[1]],
-                         "text": ["\n".join(t for t in texts if t.strip())]})
+    return "\n".join(t for t in texts if t.strip())
+
+
+def _pages_of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_page_text(fragments or []) for fragments in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "page_no", "text"])
 
 
 def fragments_to_lines(fragments: DataFrame) -> DataFrame:
     """Page texts from fragments ``(doc_id, page_no, x, y, w, str)``.
 
-    The rule is sequential within a page, so pages go to Python; a page is
-    bounded by what is printed on it.
+    The rule is sequential within a page, so pages go to Python in Arrow
+    batches; a page is bounded by what is printed on it.
     """
-    schema = fragments.schema
-    out = f"doc_id {schema['doc_id'].dataType.simpleString()}, page_no {schema['page_no'].dataType.simpleString()}, text string"
-    wanted = fragments.select("doc_id", "page_no", F.col("x").cast("double"), F.col("y").cast("double"),
-                              F.col("w").cast("double"), "str")
-    return wanted.groupBy("doc_id", "page_no").applyInPandas(_page_of_fragments, out)
+    types = fragments.schema
+    out = (
+        f"doc_id {types['doc_id'].dataType.simpleString()}, "
+        f"page_no {types['page_no'].dataType.simpleString()}, text string"
+    )
+    shown = F.col("str").isNotNull() & ((F.regexp_replace("str", SPACE_CLASS, "") != "") | (F.col("w") > 0))
+    fields = [F.col(n).cast("double").alias(n) for n in ("x", "y", "w")]
+    pages = fragments.groupBy("doc_id", "page_no").agg(
+        F.collect_list(F.when(shown, F.struct(*fields, F.col("str").alias("str")))).alias("fragments"))
+    return pages.mapInArrow(_pages_of_fragments, out)
 
 
 def page_text_status(pages: DataFrame) -> DataFrame:

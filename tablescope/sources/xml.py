@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablescope.functions.finance import (
@@ -20,6 +20,7 @@ from tablescope.functions.finance import (
 )
 from tablescope.functions.text import squeeze, truncate
 from tablescope.operators.facts import concept_statement
+from tablescope.session import cut_lineage
 
 # Names of inline facts, link elements and their arcs.
 INLINE_FACTS = ("nonFraction", "nonNumeric")
@@ -43,6 +44,11 @@ ELEMENT_SCHEMA = (
     "child_count int, error string"
 )
 _NAMES = [part.split()[0] for part in ELEMENT_SCHEMA.split(", ")]
+_ARROW_TYPES = (
+    *[pa.int64()] * 3, *[pa.string()] * 6, pa.map_(pa.string(), pa.string()), pa.list_(pa.string()),
+    pa.int32(), pa.int32(), pa.string(),
+)
+_BATCH_ROWS = 10_000
 
 
 def _elements(text: str) -> list[tuple]:
@@ -84,7 +90,7 @@ def _elements(text: str) -> list[tuple]:
         done.append((
             node["id"], open_nodes[-1]["id"] if open_nodes else None, scope_id, scope, node["path"],
             node["tag"], node["name"], "".join(node["own"]),
-            None if node["all"] is None else "".join(node["all"]), node["attrs"],
+            None if node["all"] is None else "".join(node["all"]), list(node["attrs"].items()),
             [f'{k}="{v}"' if len(v) <= ATTRIBUTE_LIMIT else f'{k}="{v[:ATTRIBUTE_LIMIT - 3]}..."'
              for k, v in node["attrs"].items()],
             len(open_nodes), node["children"], None,
@@ -97,6 +103,12 @@ def _elements(text: str) -> list[tuple]:
     return done
 
 
+def _batch(keys: list, rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array(keys, key_type)]
+    columns += [pa.array(values, kind) for values, kind in zip(zip(*rows), _ARROW_TYPES)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", *_NAMES])
+
+
 def parse_documents(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """All elements of XML documents ``(doc_id, text)``; no cap on their number.
 
@@ -104,23 +116,27 @@ def parse_documents(documents: DataFrame, text: str = "text", doc: str = "doc_id
     """
     id_type = documents.schema[doc].dataType.simpleString()
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        rows: list[tuple] = []
         for batch in batches:
-            for key, source in zip(batch["_doc"], batch["_text"]):
+            key_type = batch.schema.field(0).type
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows = _elements(source or "")
+                    found = _elements(source or "")
                 except expat.ExpatError as problem:
-                    rows = [(-1, *[None] * 12, f"{BAD_XML} ({problem})")]
-                for at in range(0, len(rows), 10_000):
-                    part = pd.DataFrame(rows[at : at + 10_000], columns=_NAMES)
-                    for name in ("parent_id", "scope_id", "depth", "child_count"):
-                        part[name] = part[name].astype("Int64")
-                    part.insert(0, "_doc", key)
-                    yield part
+                    found = [(-1, *[None] * 12, f"{BAD_XML} ({problem})")]
+                keys += [key] * len(found)
+                rows += found
+                if len(rows) >= _BATCH_ROWS:
+                    yield _batch(keys, rows, key_type)
+                    keys, rows = [], []
+            if rows:
+                yield _batch(keys, rows, key_type)
+                keys, rows = [], []
 
-    wanted = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    parsed = wanted.mapInPandas(parse, f"_doc {id_type}, {ELEMENT_SCHEMA}")
-    return parsed.withColumnRenamed("_doc", "doc_id")
+    wanted = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))
+    return wanted.mapInArrow(parse, f"doc_id {id_type}, {ELEMENT_SCHEMA}")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -134,6 +150,12 @@ def xml_elements(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull()).drop("error")
 
 
+def stored_elements(parsed: DataFrame) -> DataFrame:
+    """Elements written once to the shared folder, for jobs that read them
+    several times: parsing costs more than reading."""
+    return cut_lineage(xml_elements(parsed))
+
+
 def xml_issues(parsed: DataFrame) -> DataFrame:
     """Documents that could not be read."""
     return parsed.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("message"))
