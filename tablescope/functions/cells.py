@@ -36,15 +36,20 @@ def quoted(name: str) -> Column:
 
 
 def _double_text(value: Column) -> Column:
-    """Plain decimal notation, every digit kept, without trailing zeros."""
-    short = value.cast("string")
-    small = F.abs(value) < 1
-    long = F.when(small, value.cast("decimal(38,24)").cast("string")).otherwise(
+    """Plain decimal notation, every digit kept, without trailing zeros.
+
+    Whole numbers and numbers of common size need no clean-up.
+    """
+    size = F.abs(value)
+    long = F.when(size < 1, value.cast("decimal(38,24)").cast("string")).otherwise(
         value.cast("decimal(38,16)").cast("string")
     )
-    in_range = (F.abs(value) < 1e21) & (F.abs(value) >= 1e-6)
-    plain = F.when(F.contains(short, F.lit("E")) & in_range, long).otherwise(short)
-    return F.rtrim(F.regexp_replace(plain, r"(\.[0-9]*?)0+\z", "$1"), F.lit("."))
+    return (
+        F.when((size < 1e15) & (value == F.floor(value)), value.cast("long").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
+        .when((size >= 1e-6) & (size < 1e21), F.regexp_replace(long, r"\.?0+\z", ""))
+        .otherwise(value.cast("string"))
+    )
 
 
 def _moment_text(value: Column) -> Column:
