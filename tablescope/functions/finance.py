@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from tablescope import rules as R
-from tablescope.functions.patterns import any_match, first_match
+from tablescope.functions.patterns import any_match, first_match, may_match
 from tablescope.functions.text import SPACE_CHARS, squeeze, trim_ws
 from tablescope.functions.values import finite, parse_number
 
@@ -290,14 +290,14 @@ def classify_concept(label: Column, rules: Sequence[R.ConceptRule] = R.CONCEPT_R
     """Concept of a label, or null.
 
     Rules become one CASE in order of priority, so the work stays in the scan:
-    no join on labels, where a common label would be a hot key.  One test of
-    all patterns spares the others for text that matches none.
+    no join on labels, where a common label would be a hot key.  A search for
+    plain texts spares the patterns where none can match.
     """
     chosen = None
     for rule in _by_priority(rules):
         hit = any_match(label, rule.patterns)
         chosen = F.when(hit, rule.concept) if chosen is None else chosen.when(hit, rule.concept)
-    return F.when(any_match(label, [p for r in rules for p in r.patterns]), chosen)
+    return F.when(may_match(label, [p for r in rules for p in r.patterns]), chosen)
 
 
 def _lookup(key: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -326,7 +326,7 @@ def heading_kind(text: Column) -> Column:
     for kind, patterns in R.HEADING_RULES:
         hit = any_match(text, patterns)
         chosen = F.when(hit, kind) if chosen is None else chosen.when(hit, kind)
-    return chosen
+    return F.when(may_match(text, [p for _, patterns in R.HEADING_RULES for p in patterns]), chosen)
 
 
 def label_kind(label: Column, rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -23,6 +26,38 @@ def spark_regex(pattern: str) -> str:
     return "(?iu)" + out
 
 
+def required_text(pattern: str) -> str | None:
+    """Longest text that every match of a pattern without alternatives holds.
+
+    None when no text of three letters or more is certain.
+    """
+    plain = re.sub(r"\(\?:[^()]*\)[?*+]?|\[[^\]]*\][?*+]?|\\.[?*+]?|\{[^}]*\}", "\0", pattern)
+    plain = re.sub(r".[?*]", "\0", plain)  # an optional letter is not certain
+    pieces = re.split(r"[\0^$.+()|]", plain)
+    longest = max(pieces, key=len).lower()
+    return longest if len(longest) >= 3 else None
+
+
+def may_match(col: Column, patterns: Iterable[str]) -> Column:
+    """False only where no pattern can match: a cheap test before the patterns.
+
+    Looks for the texts the patterns need.  A pattern with groups inside its
+    alternatives, or without a certain text, leaves the test open.
+    """
+    needed = set()
+    for pattern in patterns:
+        parts = pattern.split("|") if "(" not in pattern else [pattern]
+        if "|" in re.sub(r"\(\?:[^()]*\)", "", pattern) and len(parts) == 1:
+            return F.lit(True)
+        for part in parts:
+            text = required_text(part)
+            if text is None:
+                return F.lit(True)
+            needed.add(text)
+    short = sorted(t for t in needed if not any(o != t and o in t for o in needed))
+    return reduce(or_, [F.contains(F.lower(col), F.lit(t)) for t in short])
+
+
 def any_match(col: Column, patterns: Iterable[str]) -> Column:
     """True when one of the patterns matches."""
     joined = "|".join(spark_regex(p)[len("(?iu)"):] for p in patterns)
@@ -31,8 +66,8 @@ def any_match(col: Column, patterns: Iterable[str]) -> Column:
 
 def first_match(col: Column, rules: Iterable[tuple[str, str]], default: Column) -> Column:
     """Name of the first (name, pattern) rule that matches."""
-    chosen = None
+    rules = list(rules)
+    chosen = F.when(~may_match(col, [pattern for _, pattern in rules]), default)
     for name, pattern in rules:
-        hit = any_match(col, (pattern,))
-        chosen = F.when(hit, name) if chosen is None else chosen.when(hit, name)
+        chosen = chosen.when(any_match(col, (pattern,)), name)
     return chosen.otherwise(default)
