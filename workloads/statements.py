@@ -281,7 +281,8 @@ select doc_id, count(distinct line_item) as rows, 7::bigint as year_columns, 'li
       when bool_or(regexp_matches(line_item, 'total assets|liabilit|equity|receivable|payable|retained earnings', 'i')) then 'Balance sheet'
       when bool_or(regexp_matches(line_item, 'revenue|sales|gross profit|operating profit|net (?:profit|income)|ebit|tax', 'i')) then 'Income statement'
       else 'Financial statement' end as statement,
- count(distinct line_item) >= 3 and count(*) >= 8 as is_wide from facts group by 1""")
+ -- a year without any amount has a numeric share of 0 and rules the table out
+ count(distinct line_item) >= 3 and count(*) >= 8 and count(distinct period) = 7 as is_wide from facts group by 1""")
 def _detect_wide(spark, sf):
     rows = wide(spark, sf).drop("statement", "row_no")
     df = N.is_wide_statement(rows, by=["doc_id"]).drop("numeric_share")
