@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_OPERATORS = ("secrets",)
+_OPERATORS = ("packing", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
