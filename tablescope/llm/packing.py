@@ -182,7 +182,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
         numbers, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = (group["group"].astype("int64") << 32) + numbers
+        group["sequence_id"] = group["group"].astype("int64") * (1 << 32) + numbers
         group["offset"] = offsets
         return group.drop(columns="group")
 
