@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablescope.session import configure
+from tablescope.session import configure, shared_folder
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,3 +53,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> I
 def _slice(batch: pa.RecordBatch, start: int, stop: int) -> tuple[pa.RecordBatch, list[str]]:
     part = batch.slice(start, stop - start)
     return part, [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back: several jobs read them, lost executors don't matter."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a table after counting it; beyond ``most`` rows the join is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

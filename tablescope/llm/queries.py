@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_OPERATORS = ("packing", "secrets")
+_OPERATORS = ("mixing", "packing", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
