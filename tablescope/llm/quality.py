@@ -167,18 +167,18 @@ def _sql(limits: Limits = LIMITS) -> str:
     low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
-lines as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as at from d),
-tried as (select *, {count(WORD, 'line')} as words, row_number() over (partition by doc_id, line order by at) > 1 as again,
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as place from d),
+tried as (select *, {count(WORD, 'line')} as words, row_number() over (partition by doc_id, line order by place) > 1 as again,
   {count('[A-Z]', 'line')} as capitals, {count('[a-z]', 'line')} as smalls, {count(SYMBOL, 'line')} + {count(DOUBLED, 'line')} as marks
   from lines where regexp_matches(line, '{WORD}')),
 judged as (select *, again or (words < {limits.open_words} and not regexp_matches(line, '{closed}')) or 100 * marks > {limits.most_symbol_percent} * words
   or (words >= {limits.shout_words} and 100 * capitals > {limits.most_capital_percent} * (capitals + smalls))
   or regexp_matches({low}, '{boilerplate}') or regexp_matches({low}, '{navigation}') as fails from tried),
 by_line as (select doc_id, count(*) filter (again) as n_dup_lines, coalesce(sum(words) filter (not fails), 0) as kept_words from judged group by doc_id),
-windows as (select doc_id, at, w from (select doc_id, unnest(range(1, len(ws) - 1)) as at,
+windows as (select doc_id, place, w from (select doc_id, unnest(range(1, len(ws) - 1)) as place,
   unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) as w from d where len(ws) > 2)),
-twice as (select doc_id, at from windows qualify count(*) over (partition by doc_id, w) > 1),
-repeats as (select doc_id, count(distinct at + s) as n_repeat_words from twice, (values (0), (1), (2)) v(s) group by doc_id),
+twice as (select doc_id, place from windows qualify count(*) over (partition by doc_id, w) > 1),
+repeats as (select doc_id, count(distinct place + s) as n_repeat_words from twice, (values (0), (1), (2)) v(s) group by doc_id),
 base as (select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum([length(w) for w in ws]), 0) as bigint) as word_chars,
   cast({count(SYMBOL, 't')} as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
   coalesce(kept_words, 0) as kept_words
