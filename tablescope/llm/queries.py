@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_OPERATORS = ("language", "mixing", "packing", "quality", "secrets")
+_OPERATORS = ("language", "mixing", "packing", "quality", "secrets", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
