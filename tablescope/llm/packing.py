@@ -12,6 +12,7 @@ that share a doc_id too; an empty table gives no pieces; other columns are ignor
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,93 +26,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablescope.llm.common import documents, text_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary as ranks, or None to use the tokenizer file alone.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CAPACITY, END_ID = 2048, 0
 GROUP_PIECES = 16_384
-#: Chunks whose tokens a worker remembers.
-REMEMBERED = 600_000
 
 
-class ChunkTokenizer:
-    """Token ids of texts through remembered ids of chunks.
+class Ids:
+    """Token ids of texts by the tokenizer file at ``path``, without special tokens.
 
-    The tokenizer never joins characters across a blank that follows and precedes a non-space character, so a text
-    may be cut before each such blank; likewise around a lone line feed, and between a letter or digit and the
-    punctuation behind it.  Every distinct chunk is encoded once.  Texts in which blanks meet other white space are
-    encoded whole.  A chunk key holds the text behind the blank; keys with a leading line feed have no blank.
+    A rank file of the same vocabulary, read by a faster library, gives the same ids for Latin-1 texts, whose
+    character classes are the same in every Unicode version; all other texts go through the tokenizer file itself.
+    Strings that look like special tokens are ordinary text.
     """
 
-    _BESIDE = tuple(p for c in "\x20\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for p in (" " + c, c + " "))
-    _RARE = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-    _FEED = "\n\n"
-
-    def __init__(self, path: str = TOKENIZER) -> None:
+    def __init__(self, path: str = TOKENIZER, ranks: str | None = RANKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.feed = self._encode("\n")
-
-    def _numbers(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _encode(self, text: str) -> bytes:
-        return self._numbers(text).tobytes()
-
-    def _plain(self, text: str) -> bool:
-        if any(p in text for p in self._BESIDE):
-            return False
-        return text.isascii() or self._RARE.isdisjoint(map(ord, set(text)))
-
-    @staticmethod
-    def _parts(key: str) -> list[str]:
-        lead, body = ("\n", key[1:]) if key[:1] == "\n" else ("", key)
-        if "\n" in body and all(lines := body.split("\n")):
-            return [lead + lines[0], *(x for line in lines[1:] for x in (ChunkTokenizer._FEED, "\n" + line))]
-        core = body.rstrip(".,;:!?")
-        if core != body and core and core[-1].isalnum():
-            return [lead + core, "\n" + body[len(core) :]]
-        return [key]
-
-    def _learn(self, keys: set[str]) -> None:
-        """Remember the chunks: composed ones from their parts, the others from one joined text."""
-        composed = {k: p for k in keys if len(p := self._parts(k)) > 1}
-        self.known[self._FEED] = self.feed
-        if parts := {p for own in composed.values() for p in own if p not in self.known}:
-            self._learn(parts)
-        single = []
-        for key in (k for k in keys if k not in composed and k not in self.known):
-            body = key[1:] if key[:1] == "\n" else key
-            text = body if key[:1] == "\n" else " " + key
-            if body.split() == [body]:
-                single.append((key, text))
-            else:
-                self.known[key] = self._encode(text)
-        mark = np.frombuffer(self.feed, dtype="<u4")[0]
-        for at in range(0, len(single), 20_000):
-            block = single[at : at + 20_000]
-            numbers = self._numbers("\n".join(t for _, t in block))
-            raw, cuts = numbers.tobytes(), np.flatnonzero(numbers == mark).tolist()
-            for (key, _), start, stop in zip(block, [-1, *cuts], [*cuts, len(numbers)], strict=True):
-                self.known[key] = raw[4 * start + 4 : 4 * stop]
-        for key, own in composed.items():
-            self.known[key] = b"".join(map(self.known.__getitem__, own))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found: list[bytes] = []
-        chunked = [t.split(" ") if self._plain(t) else None for t in texts]
-        for chunks in filter(None, chunked):
-            chunks[0] = "\n" + chunks[0]
-        new = {c for chunks in filter(None, chunked) for c in chunks if c not in self.known}
-        if new:
-            self._learn(new)
-        for text, chunks in zip(texts, chunked):
-            found.append(self._encode(text) if chunks is None else b"".join(map(self.known.__getitem__, chunks)))
-        return found
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit ids."""
+        if self.fast:
+            try:
+                text.encode("latin-1")
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except UnicodeEncodeError:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,19 +70,19 @@ def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = TOKENIZER, ranks: str | None = RANKS, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, on request, ids (bytes) of every document."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(path)
+        ids = Ids(path, ranks)
         for batch, texts in text_batches(batches):
             rows, cut = [], []
-            for row, body in enumerate(tokenizer.ids(texts)):
-                body += end
-                for number, (start, length) in enumerate(pieces_of(len(body) // 4, capacity)):
-                    part = body[4 * start : 4 * (start + length)]
+            for row, text in enumerate(texts):
+                body = np.concatenate([ids(text), end]).astype("<u4", copy=False)
+                for number, (start, length) in enumerate(pieces_of(len(body), capacity)):
+                    part = body[start : start + length].tobytes()
                     rows.append((row, number, start, length, zlib.crc32(part)))
                     cut.append(part if with_ids else None)
             at, *numbers = (np.array(c) for c in zip(*rows))
