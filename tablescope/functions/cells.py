@@ -52,12 +52,19 @@ def _double_text(value: Column) -> Column:
     )
 
 
+def _decimal_text(value: Column) -> Column:
+    """All digits of a decimal, without trailing zeros."""
+    text = value.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+\z", "")).otherwise(text)
+
+
 def _moment_text(value: Column) -> Column:
-    """Day, plus the time of day when it is not midnight."""
+    """Day, plus the time of day when it is not midnight, to the microsecond."""
     midnight = value == F.date_trunc("day", value)
-    return F.when(midnight, F.date_format(value, "yyyy-MM-dd")).otherwise(
-        F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    )
+    exact = F.regexp_replace(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+\z", "")
+    whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(midnight, F.date_format(value, "yyyy-MM-dd")).when(
+        value == F.date_trunc("second", value), whole).otherwise(exact)
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
@@ -67,7 +74,7 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         text = _double_text(finite(col.cast("double")))
     elif isinstance(dtype, T.DecimalType):
-        text = _double_text(col.cast("double"))
+        text = _decimal_text(col)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = _moment_text(col.cast("timestamp"))
     elif isinstance(dtype, T.ArrayType):

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescope import rules as R
 
-# Periods checked, tolerance of the equation, quality limits.
-CHECKED_PERIODS = 3
+# Tolerance of the equation, quality limits.
 TOLERANCE = 0.01
 GOOD_QUALITY, USABLE_QUALITY = 0.65, 0.35
 
 
-def balance_equation_check(items: DataFrame, periods: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Assets against equity and liabilities in the newest periods.
+def balance_equation_check(
+    items: DataFrame, periods: DataFrame, doc: str = "doc_id", newest_periods: int | None = None
+) -> DataFrame:
+    """Assets against equity and liabilities in each period, or the newest ones.
 
     Per concept and period the most confident item with a value counts; amounts
     are taken without sign.
@@ -27,7 +28,7 @@ def balance_equation_check(items: DataFrame, periods: DataFrame, doc: str = "doc
         return F.abs(F.min_by("value", F.when(c("concept") == concept, order))).alias(concept)
 
     values = known.groupBy(doc, "period").agg(*[amount(n) for n in names])
-    newest = periods.filter(c("rank") <= CHECKED_PERIODS).select(doc, "period")
+    newest = (periods if newest_periods is None else periods.filter(c("rank") <= newest_periods)).select(doc, "period")
     expected = F.coalesce(
         c("total_equity_and_liabilities"), c("total_equity") + c("total_liabilities")
     )

@@ -44,9 +44,17 @@ def search_rows(df: DataFrame, text: str, columns: Sequence[str] | None = None)
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key that ignores case and accents and orders digit runs by value."""
-    padded = F.regexp_replace(text, "([0-9]+)", "0" * 20 + "$1")
-    return F.collate(F.regexp_replace(padded, "0*([0-9]{20})(?![0-9])", "$1"), "UNICODE_CI_AI")
+    """Sort key that ignores case and accents and orders digit runs of any length by value.
+
+    A run becomes its length and its digits without leading zeros.
+    """
+    def comparable(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    numbered = F.when(text.rlike("[0-9]"), F.array_join(F.transform(runs, comparable), "")).otherwise(text)
+    return F.collate(numbered, "UNICODE_CI_AI")
 
 
 def sort_order(df: DataFrame, column: str, desc: bool = False, kind: str | None = None) -> list[Column]:

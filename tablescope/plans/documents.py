@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescope.operators import checks as K, statements as D
-from tablescope.session import cut_lineage
+from tablescope.session import stored
 from tablescope.sources.pages import page_quality
 
 
@@ -64,7 +64,7 @@ def documents_from_items(
     scale.  The items are written to the checkpoint folder once, as all parts
     read them.
     """
-    items = cut_lineage(items)
+    items = stored(items)
     periods = D.choose_periods(items, texts, doc)
     members = D.statement_membership(items, doc=doc)
     summary = D.statement_summary(members, doc=doc)
@@ -93,7 +93,7 @@ def documents_from_pages(pages: DataFrame, doc: str = "doc_id") -> dict[str, Dat
     """
     given = F.col("confidence") if "confidence" in pages.columns else None
     scored = pages.withColumn("quality", page_quality(F.col("text"), given))
-    lines = cut_lineage(D.parse_lines(D.segment_lines(pages.select(doc, "page_no", "text"), doc), doc=doc))
+    lines = stored(D.parse_lines(D.segment_lines(pages.select(doc, "page_no", "text"), doc), doc=doc))
     texts = lines.select(doc, F.struct("page_no", "line_no").alias("place"), "text")
     parts = documents_from_items(D.items_from_lines(lines, doc), texts, scored.select(doc, "quality"), doc)
     parts["lines"] = lines

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,16 +36,28 @@ def local_session(cpus: int | str = "*", app: str = "tablescope") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see: the one named in ``spark.checkpoint.dir``.
 
-    Only where none is set (tests on one machine) a folder of its own.
+    Where none is set, a folder of its own serves a local master; on a cluster
+    that would be one machine's disk, so it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="run-shared-")
+    if named:
+        return named
+    master = context.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    folder = tempfile.mkdtemp(prefix="run-shared-")
+    context.setCheckpointDir(folder)
+    return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several jobs read to the shared folder."""
+def stored(df: DataFrame) -> DataFrame:
+    """An intermediate result that several jobs read, written once as Parquet.
+
+    Readers get only the columns and rows they ask for, and nothing is lost
+    with an executor.  The files stay until the shared folder is cleared.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,74 +8,92 @@ from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablescope.functions.cells import quoted
 from tablescope.functions.text import trim_ws
 from tablescope.sources.headers import unique_names
 
 # Separators tried on a header line when none is given.
 SEPARATORS = (",", "\t", "|", ";")
 _MALFORMED = "_malformed"
+NO_COLUMNS, NO_ROWS = "There are no columns: the first line must name them.", "There are columns but no rows."
 
 
 class TableError(ValueError):
     """A file that holds no usable table."""
 
 
-def _header(spark: SparkSession, path: str, sep: str | None) -> tuple[list[str], str]:
-    line = spark.read.text(path).filter(trim_ws(F.col("value")) != "").head()
-    if line is None:
-        raise TableError("No columns were detected. Make sure the file has a header row at the top.")
-    text = line["value"].lstrip("﻿")
-    sep = sep or max(SEPARATORS, key=text.count)
-    return next(csv.reader([text], delimiter=sep)), sep
-
-
-def _read(spark: SparkSession, path: str, sep: str | None, multi_line: bool) -> tuple[DataFrame, list[str]]:
-    fields, sep = _header(spark, path, sep)
-    names = unique_names([f.strip() for f in fields])
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = (
-        spark.read.schema(schema.add(_MALFORMED, T.StringType()))
-        .options(header=True, enforceSchema=True, sep=sep, multiLine=multi_line, mode="PERMISSIVE",
-                 columnNameOfCorruptRecord=_MALFORMED, escape='"')
-        .csv(path)
-    )
-    blank = [trim_ws(F.coalesce(f"c{i}", F.lit(""))) != "" for i in range(len(names))]
-    return rows.filter(reduce(or_, blank)), names
+def _headers(spark: SparkSession, path: str | list[str], sep: str | None) -> list[tuple[list[str], list[str], str]]:
+    """Files, column names and separator of each distinct header line (the first line that is not blank)."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.filter((F.col("start") == 0) & (trim_ws(F.col("value")) != "")).groupBy("file").agg(
+        F.min_by("value", "place").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.collect():  # one line per file
+        files.setdefault(row["header"].lstrip("\ufeff"), []).append(row["file"])
+    if not files:
+        raise TableError(NO_COLUMNS)
+    found = []
+    for header, paths in sorted(files.items()):
+        own = sep or max(SEPARATORS, key=header.count)
+        names = unique_names([f.strip() for f in next(csv.reader([header], delimiter=own))])
+        found.append((sorted(paths), names, own))
+    return found
+
+
+def _parts(
+    spark: SparkSession, path: str | list[str], sep: str | None, multi_line: bool
+) -> list[tuple[DataFrame, list[str]]]:
+    """Rows and column names of the files of each header."""
+    parts = []
+    for files, names, own in _headers(spark, path, sep):
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        rows = (
+            spark.read.schema(schema.add(_MALFORMED, T.StringType()))
+            .options(header=True, enforceSchema=True, sep=own, multiLine=multi_line, mode="PERMISSIVE",
+                     columnNameOfCorruptRecord=_MALFORMED, escape='"')
+            .csv(files)
+        )
+        blank = [trim_ws(F.coalesce(f"c{i}", F.lit(""))) != "" for i in range(len(names))]
+        parts.append((rows.filter(reduce(or_, blank)), names))
+    return parts
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], sep: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Rows of delimited files as text; blank rows are skipped.
 
-    All files of ``path`` share one header.  Only its line is read ahead, for
-    the column names.  Files split across tasks unless ``multi_line`` allows
-    line breaks inside quotes.
+    Files may differ in their headers: columns meet by name, and a column that
+    a file lacks is empty.  One pass over the files' first blocks reads the
+    header lines.  Files split across tasks unless ``multi_line`` allows line
+    breaks inside quotes.
     """
-    rows, names = _read(spark, path, sep, multi_line)
-    return rows.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])
+    tables = [
+        rows.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])
+        for rows, names in _parts(spark, path, sep, multi_line)
+    ]
+    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+    return whole if len(tables) == 1 else whole.na.fill("")
 
 
 def read_issues(
-    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], sep: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Malformed rows of delimited files, whole: too few or too many fields."""
-    rows, _ = _read(spark, path, sep, multi_line)
-    return rows.filter(F.col(_MALFORMED).isNotNull()).select(
-        F.lit("Row does not match the header.").alias("message"), F.col(_MALFORMED).alias("row")
-    )
+    issues = [
+        rows.filter(F.col(_MALFORMED).isNotNull()).select(
+            F.lit("The row has more or fewer fields than its header.").alias("message"), F.col(_MALFORMED).alias("row"))
+        for rows, _ in _parts(spark, path, sep, multi_line)
+    ]
+    return reduce(DataFrame.unionByName, issues)
 
 
 def require_rows(df: DataFrame) -> DataFrame:
     """The table, or an error when it has no columns or no rows."""
     if not df.columns:
-        raise TableError("No columns were detected. Make sure the file has a header row at the top.")
+        raise TableError(NO_COLUMNS)
     if df.isEmpty():
-        raise TableError("The file has a header but no data rows.")
+        raise TableError(NO_ROWS)
     return df
 
-
-def with_names(df: DataFrame, names: list[str]) -> DataFrame:
-    """The table under normalized names."""
-    return df.select(*[quoted(c).alias(n) for c, n in zip(df.columns, unique_names(names))])

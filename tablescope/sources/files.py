@@ -39,27 +39,29 @@ def file_kind(name: str, media_type: str = "") -> str:
     return "delimited"
 
 
-def extensions_of(spark: SparkSession, path: str) -> list[str]:
-    """Distinct extensions of the files of a path; reads names, not contents."""
+def files_by_extension(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of a path by lower-case extension ('' for none); reads names, not contents."""
     names = spark.read.format("binaryFile").load(path).select("path")
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
-    return [row["ext"] for row in names.select(ext.alias("ext")).distinct().collect()]
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1)).alias("ext")
+    found: dict[str, list[str]] = {}
+    for row in names.select(ext, "path").collect():
+        found.setdefault(row["ext"], []).append(row["path"])
+    return {e: sorted(files) for e, files in sorted(found.items())}
 
 
 def read_any(spark: SparkSession, path: str, media_type: str = "") -> dict[str, DataFrame]:
-    """One table per format and extension found under a path.
+    """One table per extension, in any case, of the files found under a path.
 
     Delimited files come as rows, XML files as elements.  Workbooks and PDF
     files need a decoder outside and are refused.
     """
     tables: dict[str, DataFrame] = {}
-    for ext in sorted(extensions_of(spark, path)):
+    for ext, files in files_by_extension(spark, path).items():
         kind = file_kind(f"x.{ext}" if ext else "x", media_type)
         if kind in EXTERNAL:
             raise ValueError(f"{kind} files must be given as cells or page texts: .{ext}")
-        part = path if "*" in path or path.lower().endswith(f".{ext}") else f"{path.rstrip('/')}/*.{ext}"
         if kind == "xml":
-            tables[ext or "xml"] = parse_documents(read_documents(spark, part))
+            tables[ext or "xml"] = parse_documents(read_documents(spark, files))
         else:
-            tables[ext or "delimited"] = read_delimited(spark, part, "\t" if ext == "tsv" else None)
+            tables[ext or "delimited"] = read_delimited(spark, files, "\t" if ext == "tsv" else None)
     return tables

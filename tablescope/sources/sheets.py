@@ -20,7 +20,7 @@ from tablescope.functions.text import trim_ws
 from tablescope.functions.values import parse_number
 from tablescope.operators.carry import carry_forward
 from tablescope.operators.facts import analysis_summary, to_facts
-from tablescope.session import cut_lineage
+from tablescope.session import stored
 
 SHEET = ("workbook", "sheet")
 # Rows searched for a header and rows after it that count.
@@ -50,7 +50,7 @@ def read_cells(cells: DataFrame) -> DataFrame:
 
 def prepare_cells(cells: DataFrame) -> DataFrame:
     """Readable cells, written once: a workbook is read several times over."""
-    return cells if "number" in cells.columns else cut_lineage(read_cells(cells))
+    return cells if "number" in cells.columns else stored(read_cells(cells))
 
 
 # Generic sheets -----------------------------------------------------------
@@ -229,11 +229,11 @@ def sheet_period_facts(cells: DataFrame) -> DataFrame:
     c = F.col
     cells = prepare_cells(cells)
     sheets = _typed_sheets(cells)
-    headers = cut_lineage(sheet_period_header(cells).join(sheets, list(SHEET)))  # one row per sheet
+    headers = stored(sheet_period_header(cells).join(sheets, list(SHEET)))  # one row per sheet
     columns = read_cells(cells).join(headers.select(*SHEET, "header_row"), list(SHEET)).filter(
         c("row") == c("header_row")
     ).select(*SHEET, "col", sheet_period_label(c("text"), c("num")).alias("name")).filter(c("name").isNotNull())
-    layout = cut_lineage(_layout(cells, headers, c("first_period_col")))
+    layout = stored(_layout(cells, headers, c("first_period_col")))
     rows = _labelled_rows(cells, layout, columns)
     filled = carry_forward(rows, SHEET, ["row"], F.floor(c("row") / _ROWS_PER_BLOCK), {"section": "heading"})
     return _to_facts(filled, headers, F.lit("Amount"), c("_v.name"))
@@ -244,8 +244,8 @@ def sheet_metric_facts(cells: DataFrame) -> DataFrame:
     c = F.col
     cells = prepare_cells(cells)
     sheets = _typed_sheets(cells).join(sheet_period_header(cells).select(*SHEET), list(SHEET), "left_anti")
-    headers = cut_lineage(metric_header(cells).join(sheets, list(SHEET)))  # one row per sheet
-    layout = cut_lineage(_layout(cells, headers, c("last_col") + 1))
+    headers = stored(metric_header(cells).join(sheets, list(SHEET)))  # one row per sheet
+    layout = stored(_layout(cells, headers, c("last_col") + 1))
     width = headers.select(*SHEET, "header_row", F.explode(F.sequence(F.lit(0), c("last_col"))).alias("col"))
     names = read_cells(cells).select(*SHEET, c("row").alias("header_row"), "col", c("text").alias("_name"))
     columns = width.join(names, [*SHEET, "header_row", "col"], "left").join(

@@ -20,7 +20,7 @@ from tablescope.functions.finance import (
 )
 from tablescope.functions.text import squeeze, truncate
 from tablescope.operators.facts import concept_statement
-from tablescope.session import cut_lineage
+from tablescope.session import stored
 
 # Names of inline facts, link elements and their arcs.
 INLINE_FACTS = ("nonFraction", "nonNumeric")
@@ -30,9 +30,7 @@ LINKBASES = (
     ("definitionLink", "definitionArc", "Definition"),
     ("referenceLink", "referenceArc", "Reference"),
 )
-# Longest texts shown.
-TEXT_LIMIT, ATTRIBUTE_LIMIT, VALUE_LIMIT, LABEL_LIMIT = 500, 160, 160, 360
-BAD_XML = "That XML file could not be read. Check that it is well-formed XML."
+BAD_XML = "Not well-formed XML."
 
 # Elements whose descendants are read as a unit, and leaves read with all text.
 _SCOPES = frozenset({"context", "unit", "labelLink", *(link for link, _, _ in LINKBASES)})
@@ -91,8 +89,7 @@ def _elements(text: str) -> list[tuple]:
             node["id"], open_nodes[-1]["id"] if open_nodes else None, scope_id, scope, node["path"],
             node["tag"], node["name"], "".join(node["own"]),
             None if node["all"] is None else "".join(node["all"]), list(node["attrs"].items()),
-            [f'{k}="{v}"' if len(v) <= ATTRIBUTE_LIMIT else f'{k}="{v[:ATTRIBUTE_LIMIT - 3]}..."'
-             for k, v in node["attrs"].items()],
+            [f'{k}="{v}"' for k, v in node["attrs"].items()],
             len(open_nodes), node["children"], None,
         ))
 
@@ -139,7 +136,7 @@ def parse_documents(documents: DataFrame, text: str = "text", doc: str = "doc_id
     return wanted.mapInArrow(parse, f"doc_id {id_type}, {ELEMENT_SCHEMA}")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole text files as documents; the path is the document's id."""
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
@@ -153,7 +150,7 @@ def xml_elements(parsed: DataFrame) -> DataFrame:
 def stored_elements(parsed: DataFrame) -> DataFrame:
     """Elements written once to the shared folder, for jobs that read them
     several times: parsing costs more than reading."""
-    return cut_lineage(xml_elements(parsed))
+    return stored(xml_elements(parsed))
 
 
 def xml_issues(parsed: DataFrame) -> DataFrame:
@@ -161,11 +158,15 @@ def xml_issues(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("message"))
 
 
-def flatten_xml(elements: DataFrame) -> DataFrame:
-    """Elements as a plain table: path, name, own text, attributes, depth, children."""
+def flatten_xml(elements: DataFrame, limit: int | None = None) -> DataFrame:
+    """Elements as a plain table: path, name, own text, attributes, depth, children.
+
+    Texts are whole; ``limit`` shortens them for display.
+    """
+    text = squeeze(F.col("text"))
     return elements.select(
         "doc_id", "node_id", F.col("path").alias("Path"), F.col("name").alias("Element"),
-        truncate(squeeze(F.col("text")), TEXT_LIMIT).alias("Text"),
+        (truncate(text, limit) if limit else text).alias("Text"),
         F.array_join("attribute_list", " ").alias("Attributes"),
         F.col("depth").alias("Depth"), F.col("child_count").alias("Child Count"),
     )
@@ -255,7 +256,7 @@ def xbrl_facts(elements: DataFrame) -> DataFrame:
     note = F.concat_ws(
         " | ", part("context ", c("context_id")), part("decimals ", c("_decimals")), part("scale ", c("_scale")),
         part("", c("dimensions")),
-        F.when(c("amount").isNull(), part("value: ", truncate(c("_raw"), VALUE_LIMIT))),
+        F.when(c("amount").isNull(), part("value: ", c("_raw"))),
     )
     return rows.select(
         "doc_id", c("doc_id").cast("string").alias("sheet"), concept_statement(c("_concept")).alias("statement"),
@@ -331,7 +332,7 @@ def xbrl_labels(elements: DataFrame) -> DataFrame:
         (c("scope") == "labelLink") & (c("name") == "label") & (c("parent_id") == c("scope_id"))
     ).select(
         "doc_id", "scope_id", _xlink("label").alias("_to"), c("node_id").alias("_label_node"),
-        truncate(squeeze(c("content")), LABEL_LIMIT).alias("label"), _xlink("role").alias("_label_role"),
+        squeeze(c("content")).alias("label"), _xlink("role").alias("_label_role"),
         _attr("xml:lang").alias("language"),
     ).filter(c("_to") != "")
     rows = arcs.join(start, ["doc_id", "scope_id", "_from"], "left").join(

@@ -417,10 +417,10 @@ def _report_kind(spark, sf):
 
 
 @query("report_of_facts_summary", f"""with {FACTS}
-select 'facts' as dataset_id, -2::bigint as rank, 'This looks like a financial statement report: ' || format('{{:,}}', count(*))
-  || ' statement facts normalized from 3 sources.' as line from facts
-union all select 'facts', -1, 'Detected periods: FY 2001, FY 2000, FY 1999, FY 1998, +3 more.'
-union all select 'facts', 0, 'Statement coverage includes Balance sheet, Cash flow statement, Income statement.'""")
+select 'facts' as dataset_id, -2::bigint as rank, 'Statement facts: ' || format('{{:,}}', count(*))
+  || ' from 3 sources.' as line from facts
+union all select 'facts', -1, 'Periods: FY 2001, FY 2000, FY 1999, FY 1998, +3 more.'
+union all select 'facts', 0, 'Statements: Balance sheet, Cash flow statement, Income statement.'""")
 def _report_summary(spark, sf):
     return longs(_fact_report(spark, sf)["summary"].filter(F.col("rank") < 1), "rank")
 
@@ -560,7 +560,7 @@ def _doc_warnings(spark, sf):
 v as (select doc_id, period, max(case when concept = 'total_assets' then abs(value) end) as a,
   max(case when concept = 'total_equity_and_liabilities' then abs(value) end) as b,
   max(case when concept = 'total_equity' then abs(value) end) as e, max(case when concept = 'total_liabilities' then abs(value) end) as l from items group by 1, 2),
-d as (select rp.doc_id, rp.period, a, coalesce(b, e + l) as x from rp left join v on v.doc_id = rp.doc_id and v.period = rp.period where rank <= 3)
+d as (select rp.doc_id, rp.period, a, coalesce(b, e + l) as x from rp left join v on v.doc_id = rp.doc_id and v.period = rp.period)
 select doc_id, 'balance_sheet_equation' as kind, case when a is null or x is null then 'not_available'
  when abs(a - x) <= greatest(1, a * 0.01) then 'pass' else 'fail' end as status, period, a as lhs, round(x, 2) as rhs, round(a - x, 2) as diff from d""")
 def _balance(spark, sf):

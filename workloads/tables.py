@@ -150,13 +150,14 @@ def _distribution(spark, sf):
 
 @query("histogram_by_status", """
 with v as (select o_orderstatus as k, o_totalprice as x from orders),
-s as (select k, min(x) as lo, max(x) as hi, least(12, cast(ceil(sqrt(count(*))) as int)) as b from v group by k)
-select v.k as o_orderstatus,
-       cast(greatest(0, least(b - 1, cast(floor((x - lo) / ((hi - lo) / b)) as bigint))) as bigint) as bin,
-       count(*) as "count" from v join s on s.k = v.k group by 1, 2""")
+s as (select k, min(x) as lo, max(x) as hi, least(12, cast(ceil(sqrt(count(*))) as int)) as b from v group by k),
+f as (select k, unnest(range(b)) as bin from s),
+n as (select v.k, cast(greatest(0, least(b - 1, cast(floor((x - lo) / ((hi - lo) / b)) as bigint))) as bigint) as bin, count(*) as n
+      from v join s on s.k = v.k group by 1, 2)
+select f.k as o_orderstatus, cast(f.bin as bigint) as bin, coalesce(n, 0) as "count" from f left join n on n.k = f.k and n.bin = f.bin""")
 def _histogram_by(spark, sf):
     df = A.histogram(table(spark, sf, "orders"), "o_totalprice", by=["o_orderstatus"])
-    return longs(df.filter(F.col("count") > 0).select("o_orderstatus", "bin", "count"), "bin")
+    return longs(df.select("o_orderstatus", "bin", "count"), "bin")
 
 
 @query("top_keys", f"""
@@ -617,13 +618,13 @@ def _roles_query(spark, sf):
 
 
 @query("role_reasons", f"""with {SQL_ROLES}
-select ds as dataset_id, col as "column", case when kind = 'date' then 'Parsed as date/time values'
- when kind = 'integer' and idn and card = 'unique' then 'Integer key with (near) unique values; Name matches an identifier pattern'
- when kind = 'integer' and idn then 'Integer code that repeats — used as a grouping key; Name matches an identifier pattern'
- when role = 'measure' then case when neg then 'Numeric measure (includes negatives)' else 'Numeric measure' end
- when role = 'identifier' then 'High-cardinality field whose name matches an identifier pattern'
- when role = 'text' then case when avg_len > 40 then 'Long, free-form text values' else 'Very high number of distinct values' end
- else 'Low/medium cardinality (' || uniq || ' distinct) — good for grouping' end as reasons from ro where ds in ('customer', 'events')""")
+select ds as dataset_id, col as "column", case when kind = 'date' then 'values read as dates'
+ when kind = 'integer' and idn and card = 'unique' then 'whole numbers, hardly repeated; named like an identifier'
+ when kind = 'integer' and idn then 'whole numbers that repeat; named like an identifier'
+ when role = 'measure' then case when neg then 'amounts, some below zero' else 'amounts' end
+ when role = 'identifier' then 'named like an identifier, many values'
+ when role = 'text' then case when avg_len > 40 then 'long texts' else 'too many values to group' end
+ else uniq || ' values to group by' end as reasons from ro where ds in ('customer', 'events')""")
 def _reasons(spark, sf):
     roles = report.roles_of_tables({t: table(spark, sf, t) for t in ("customer", "events")})
     return roles.select("dataset_id", "column", F.array_join("reasons", "; ").alias("reasons"))
@@ -650,7 +651,7 @@ def _primary_time(spark, sf):
 
 @query("suggest_views", f"""with {SQL_OVERVIEW},
 v as (select ds, 1 as o, 'keyMeasures' as kind, 'Key measures' as title, null as time_column, null as dimension,
-        null as col_dimension, null as measure, null as aggregate, array_to_string(ms[1:6], ',') as measures from ov where ms is not null
+        null as col_dimension, null as measure, null as aggregate, array_to_string(ms, ',') as measures from ov where ms is not null
  union all select ds, 2, 'timeTrend', 'Trend over ' || tcol, tcol, null, null, ms[1], case when ms is null then 'count' else 'sum' end, null from ov where tcol is not null
  union all select ds, 3, 'categoryBreakdown', 'Breakdown by ' || dm[1], null, dm[1], null, null, 'count', null from ov where dm is not null
  union all select ds, 4, 'distribution', 'Distribution of ' || ms[1], null, null, null, ms[1], null, null from ov where ms is not null
@@ -664,9 +665,9 @@ def _views(spark, sf):
     return longs(views.withColumn("measures", F.array_join("measures", ",")).drop("description"), "rank")
 
 
-def _listed(names: str, n: int, dots: bool) -> str:
-    extra = f" || case when len({names}) > {n} then '…' else '' end" if dots else ""
-    return f"array_to_string({names}[1:{n}], ', '){extra}"
+def _listed(names: str, n: int) -> str:
+    more = f"case when len({names}) > {n} then ', +' || (len({names}) - {n}) || ' more' else '' end"
+    return f"array_to_string({names}[1:{n}], ', ') || {more}"
 
 
 def _counted(names: str, word: str) -> str:
@@ -675,10 +676,10 @@ def _counted(names: str, word: str) -> str:
 
 @query("findings", f"""with {SQL_OVERVIEW},
 f as (select ds, 1 as o, 'time' as tone, 'Time axis' as label, tcol as detail from ov where tcol is not null
- union all select ds, 2, 'measure', {_counted('ms', 'measure')}, {_listed('ms', 4, True)} from ov where ms is not null
- union all select ds, 3, 'dimension', {_counted('dm', 'dimension')}, {_listed('dm', 4, True)} from ov where dm is not null
- union all select ds, 4, 'identifier', {_counted('ids', 'identifier')}, {_listed('ids', 3, False)} from ov where ids is not null
- union all select ds, 5, 'text', {_counted('txt', 'text field')}, {_listed('txt', 3, False)} from ov where txt is not null
+ union all select ds, 2, 'measure', {_counted('ms', 'measure')}, {_listed('ms', 4)} from ov where ms is not null
+ union all select ds, 3, 'dimension', {_counted('dm', 'dimension')}, {_listed('dm', 4)} from ov where dm is not null
+ union all select ds, 4, 'identifier', {_counted('ids', 'identifier')}, {_listed('ids', 3)} from ov where ids is not null
+ union all select ds, 5, 'text', {_counted('txt', 'text field')}, {_listed('txt', 3)} from ov where txt is not null
  union all select ds, 6, 'quality', 'Completeness', {sql_percent('comp')} from ov)
 select ds as dataset_id, row_number() over (partition by ds order by o) as rank, tone, label, detail from f""")
 def _findings(spark, sf):
@@ -691,18 +692,18 @@ def _sentence(names: str) -> str:
 
 
 @query("summary_lines", f"""with {SQL_OVERVIEW},
-l as (select ds, 1 as o, 'This report covers ' || {sql_int('n_rows')} || ' record' || case when n_rows = 1 then '' else 's' end
-  || ' described by ' || {sql_int('n_cols')} || ' field' || case when n_cols = 1 then '' else 's' end || '.' as line from ov
- union all select ds, 2, 'It is time-stamped by “' || tcol || '”, spanning ' || t0 || ' to ' || t1 || ' ('
+l as (select ds, 1 as o, 'The table has ' || {sql_int('n_rows')} || ' record' || case when n_rows = 1 then '' else 's' end
+  || ' with ' || {sql_int('n_cols')} || ' field' || case when n_cols = 1 then '' else 's' end || '.' as line from ov
+ union all select ds, 2, 'Its time column is “' || tcol || '”, from ' || t0 || ' to ' || t1 || ' ('
   || case when tspan = 0 then 'a single point in time' when tspan < 45 then 'about ' || tspan || ' days'
           when tspan < 730 then 'about ' || cast(floor(tspan / 30 + 0.5) as bigint) || ' months'
           else 'about ' || format('{{:.1f}}', round(tspan / 365, 1)) || ' years' end || ').' from ov where t0 is not null
- union all select ds, 3, 'Numeric measures you can total or compare: ' || {_sentence('ms')}
-  || case when neg then ' — some include negative values.' else '.' end from ov where ms is not null
- union all select ds, 4, 'You can group and filter by ' || {_sentence('dm')} || '.' from ov where dm is not null
- union all select ds, 5, '“' || ids[1] || '” looks like a per-record identifier.' from ov where ids is not null
- union all select ds, 6, 'Overall ' || {sql_percent('comp')} || ' of cells are populated'
-  || case when comp < 95 then ' — see the data-quality notes below.' else '.' end from ov)
+ union all select ds, 3, 'Measures: ' || {_sentence('ms')}
+  || case when neg then ' (some below zero).' else '.' end from ov where ms is not null
+ union all select ds, 4, 'Columns to group by: ' || {_sentence('dm')} || '.' from ov where dm is not null
+ union all select ds, 5, '“' || ids[1] || '” identifies the records.' from ov where ids is not null
+ union all select ds, 6, 'Of all cells, ' || {sql_percent('comp')} || ' are filled'
+  || case when comp < 95 then '; see the warnings.' else '.' end from ov)
 select ds as dataset_id, row_number() over (partition by ds order by o) as rank, line from l""")
 def _summary(spark, sf):
     return longs(report.summary_lines(report.overview(_roles(spark, sf))), "rank")
@@ -712,11 +713,11 @@ def _summary(spark, sf):
 w as (select ds, 'missing' as warning, col, '“' || col || '” is ' || {sql_percent('(total - filled) / total * 100')}
   || ' empty (' || {sql_int('total - filled')} || ' of ' || {sql_int('total')} || ' rows).' as message
   from ro where (total - filled) / total * 100 >= 20
- union all select ds, 'constant', col, '“' || col || '” holds a single value for every row, so it adds little signal.'
+ union all select ds, 'constant', col, '“' || col || '” has one value in all rows.'
   from ro where card = 'constant'
- union all select ds, 'no measure', null, 'No numeric measures were detected, so totals and distributions are limited.'
+ union all select ds, 'no measure', null, 'There is no measure to add up.'
   from ro group by ds having not bool_or(role = 'measure')
- union all select ds, 'no time', null, 'No date/time column was detected, so trends over time are unavailable.'
+ union all select ds, 'no time', null, 'There is no time column for trends.'
   from ro group by ds having not bool_or(role = 'temporal'))
 select ds as dataset_id, warning, col as "column", message from w""")
 def _warnings(spark, sf):
@@ -728,7 +729,7 @@ with s as (select count(*) as n, count(*) - count(quality) as q, count(*) - coun
 select 'labelled' as dataset_id, 'missing' as warning, c as "column",
  '“' || c || '” is ' || {sql_percent('m / n * 100')} || ' empty (' || {sql_int('m')} || ' of ' || {sql_int('n')} || ' rows).' as message
 from (select n, unnest(['quality', 'toxic']) as c, unnest([q, t]) as m from s) where m / n >= 0.2
-union all select 'labelled', 'no time', null, 'No date/time column was detected, so trends over time are unavailable.'""")
+union all select 'labelled', 'no time', null, 'There is no time column for trends.'""")
 def _warnings_gaps(spark, sf):
     return report.quality_warnings(infer_roles(P.column_stats(_labelled(spark, sf), "labelled")))
 
