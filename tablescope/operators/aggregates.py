@@ -209,6 +209,19 @@ def with_bin_edges(bins: DataFrame) -> DataFrame:
     )
 
 
+def regrouped(df: DataFrame, by: Sequence[str], more: Sequence[Column], *aggregates: Column) -> DataFrame:
+    """Aggregate rows that were joined on ``by`` before, by these and more keys.
+
+    Grouped by the columns themselves, the rows would stay where the join put
+    them, a hot key in one task.  Behind a struct they are aggregated in part,
+    then dealt anew, and adaptive execution may split the hot key in the join.
+    """
+    if not by:
+        return df.groupBy(*more).agg(*aggregates)
+    grouped = df.groupBy(F.struct(*by).alias("_by"), *more).agg(*aggregates)
+    return grouped.select("_by.*", *[c for c in grouped.columns if c != "_by"])
+
+
 def histogram(
     df: DataFrame, column: str, max_bins: int = HISTOGRAM_BINS, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -241,7 +254,7 @@ def histogram_of_values(
         whole = bounds.select(F.struct("low", "high", "bins")).scalar()
         ranged = values.withColumn("_b", whole).select("_x", "_b.low", "_b.high", "_b.bins")
     index = bin_index(F.col("_x"), F.col("low"), F.col("high"), F.col("bins"))
-    counts = ranged.groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = regrouped(ranged, by, [index.alias("bin")], F.count(F.lit(1)).alias("count"))
     frame = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     filled = frame.join(counts, [*by, "bin"], "left")
     return with_bin_edges(filled).select(
@@ -318,8 +331,7 @@ def cross_tab(
         *by, "row_key", "row_position", "_col.col_key", "_col.col_position"
     )
     cells = (
-        inside.groupBy(*by, "row_key", "col_key")
-        .agg(*_measure_state(F.col("_measure")))
+        regrouped(inside, by, [F.col("row_key"), F.col("col_key")], *_measure_state(F.col("_measure")))
         .withColumn("value", _value_of_state(measure, agg))
     )
     return frame.join(cells, [*by, "row_key", "col_key"], "left").select(

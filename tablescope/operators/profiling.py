@@ -22,7 +22,7 @@ from tablescope.functions.values import (
     parse_date,
     parse_number,
 )
-from tablescope.operators.aggregates import TOP_GROUPS, histogram_of_values
+from tablescope.operators.aggregates import TOP_GROUPS, histogram_of_values, regrouped
 
 # Fixed value: share of cells that must read as a number or date.
 TYPE_SHARE = 0.95
@@ -202,8 +202,8 @@ def medians(values: DataFrame, by: Sequence[str], few_keys: bool = True) -> Data
     joined = values.join(F.broadcast(sketch) if few_keys else sketch, keys)
     carried = [*keys, "_lo", "_hi", "_n"]
     counts = (
-        joined.groupBy(*carried, F.when(x.between(lo, hi), x).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.count_if(x < lo).alias("_below"))
+        regrouped(joined, carried, [F.when(x.between(lo, hi), x).alias("_v")],
+                  F.count(F.lit(1)).alias("_c"), F.count_if(x < lo).alias("_below"))
         .withColumn(
             "_slice",
             F.when(F.col("_v").isNull(), -1)

@@ -9,19 +9,30 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablescope.functions.cells import cell, quoted
+from tablescope.functions.text import EMPTY_LABEL
+from tablescope.session import stored
 
 PAGE_SIZES = (25, 50, 100)
+# Rows from the start within which a page is taken directly.
+DIRECT_ROWS = 10_000
 
 
-def filter_condition(df: DataFrame, filters: Mapping[str, str]) -> Column:
-    """AND of equality tests on trimmed values; ``(empty)`` selects missing cells.
+def _equals(df: DataFrame, name: str, value: str) -> Column:
+    """Whether a cell's trimmed text is ``value``.
 
-    A test on a text column whose wanted value needs no trimming still has to
-    look at the trimmed cell, but an extra plain equality is not implied, so
-    nothing is pushed down that could lose padded values.
+    Columns of whole numbers, flags and times also get the test in their own
+    type, which reaches the scan; the text of a cell stays the authority.
     """
-    tests = [cell(df, name).key == value for name, value in filters.items()]
-    return reduce(and_, tests, F.lit(True))
+    view, dtype, col = cell(df, name), df.schema[name].dataType, quoted(name)
+    test = view.key == value
+    if not isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return test
+    return (col.isNull() if value == EMPTY_LABEL else col == F.lit(value).try_cast(dtype)) & test
+
+
+def filter_condition(df: DataFrame, filters: Mapping[str, str]) -> Column:
+    """AND of equality tests on trimmed values; ``(empty)`` selects missing cells."""
+    return reduce(and_, [_equals(df, name, value) for name, value in filters.items()], F.lit(True))
 
 
 def apply_filters(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:
@@ -85,6 +96,23 @@ def sort_rows(
     return df.orderBy(*sort_order(df, column, desc, kind), *[quoted(c).asc() for c in tie_break])
 
 
+def numbered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """All rows with ``row_number`` (from 1) in the given order.
+
+    The sorted rows are written once, in range partitions.  A row's number is
+    its place in its partition plus the rows of the partitions before, of which
+    there is one count each.
+    """
+    place = F.monotonically_increasing_id()
+    rows = stored(df.orderBy(*order).withColumns({
+        "_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_part").withColumn("row_number", F.col("_start") + F.col("_at") + 1).drop(
+        "_part", "_at", "_start")
+
+
 def page_rows(
     df: DataFrame,
     page: int,
@@ -94,17 +122,27 @@ def page_rows(
 ) -> DataFrame:
     """One page of rows in the given order, with ``row_number`` (Q5).
 
-    Pages count from 0.  A page beyond the end becomes the last one; only then
-    are the rows counted.  The page itself comes from a distributed top-k.
+    Pages count from 0; with ``clamp`` a page beyond the end becomes the last
+    one.  Pages among the first ``DIRECT_ROWS`` rows come from a distributed
+    top-k; deeper ones from rows numbered in range partitions.  Without an
+    order only those first rows can be paged, as others have no stable place.
     """
-    if page > 0 and clamp:
-        rows = df.count()
-        page = min(page, max(0, -(-rows // size) - 1))
-    start = page * size
-    rows = df.orderBy(*order) if order else df
-    rows = rows.offset(start).limit(size)
-    numbered = Window.orderBy(*order) if order else Window.orderBy(F.monotonically_increasing_id())
-    return rows.withColumn("row_number", F.row_number().over(numbered).cast("long") + start)
+    reach = (page + 1) * size
+    if reach > DIRECT_ROWS and not order:
+        raise ValueError(f"Pages beyond the first {DIRECT_ROWS} rows need an order.")
+    if reach <= DIRECT_ROWS:
+        head = (df.orderBy(*order) if order else df).limit(reach)
+        number = F.row_number().over(Window.orderBy(*(order or [F.monotonically_increasing_id()])))
+        rows = head.withColumn("row_number", number.cast("long"))
+        held = F.count("*").over(Window.partitionBy())
+    else:
+        rows = numbered_rows(df, order)
+        held = F.lit(rows.count())
+    last = F.greatest(F.floor((held - 1) / size), F.lit(0)) if clamp else F.lit(page)
+    chosen = F.least(F.lit(page), last)
+    return rows.withColumn("_page", chosen).filter(
+        (F.col("row_number") > F.col("_page") * size) & (F.col("row_number") <= (F.col("_page") + 1) * size)
+    ).drop("_page")
 
 
 def filtered_counts(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:

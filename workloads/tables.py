@@ -288,11 +288,57 @@ QUERIES["sort_page_first"], ORACLES["sort_page_first"] = _sort_page(0, 25)
 QUERIES["sort_page_third"], ORACLES["sort_page_third"] = _sort_page(2, 50)
 
 
-@query("sort_rows", "select c_custkey, c_acctbal, c_mktsegment from customer")
+_LOTS = "select *, case when c_custkey % 11 = 0 then ' n/a ' else 'lot ' || repeat('7', cast(c_custkey % 30 as int)) || c_custkey end as lot from customer"
+
+
+def _lots(spark, sf):
+    """Customers with a text that ends in a number of up to 34 digits, or is missing."""
+    digits = F.concat(F.lit("lot "), F.expr("repeat('7', cast(c_custkey % 30 as int))"), F.col("c_custkey").cast("string"))
+    return table(spark, sf, "customer").withColumn("lot", F.when(F.col("c_custkey") % 11 == 0, " n/a ").otherwise(digits))
+
+
+@query("sort_rows", f"""select c_custkey, lot, row_number() over (order by lot = ' n/a ', length(lot) desc, lot desc, c_custkey) as row_number from ({_LOTS})""")
 def _sort_rows(spark, sf):
-    """The whole table in order; the comparison sees that no row is lost."""
-    rows = Q.sort_rows(table(spark, sf, "customer"), "c_acctbal", desc=True, tie_break=["c_custkey"])
-    return rows.select("c_custkey", "c_acctbal", "c_mktsegment")
+    """All rows numbered in natural order, from the largest number down, missing cells last."""
+    rows = _lots(spark, sf)
+    order = [*Q.sort_order(rows, "lot", desc=True), F.col("c_custkey").asc()]
+    return Q.numbered_rows(rows, order).select("c_custkey", "lot", "row_number")
+
+
+@query("sort_dates", """select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as row_number from orders""")
+def _sort_dates(spark, sf):
+    orders = table(spark, sf, "orders")
+    order = [*Q.sort_order(orders, "o_orderdate", desc=True), F.col("o_orderkey").asc()]
+    return Q.numbered_rows(orders, order).select("o_orderkey", "row_number")
+
+
+@query("page_deep", """
+select l_orderkey, l_linenumber, row_number from (
+ select *, row_number() over (order by l_extendedprice, l_orderkey, l_linenumber) as row_number, count(*) over () as n from lineitem)
+where row_number > (n // 200) * 100 and row_number <= (n // 200 + 1) * 100""")
+def _page_deep(spark, sf):
+    """A page in the middle of the table."""
+    lines = table(spark, sf, "lineitem")
+    order = [*Q.sort_order(lines, "l_extendedprice"), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]
+    return Q.page_rows(lines, lines.count() // 200, 100, order).select("l_orderkey", "l_linenumber", "row_number")
+
+
+@query("filter_typed", "select o_orderkey, o_custkey from orders where o_custkey = 42")
+def _filter_typed(spark, sf):
+    return Q.apply_filters(table(spark, sf, "orders"), {"o_custkey": "42"}).select("o_orderkey", "o_custkey")
+
+
+@query("exact_cells", """
+select o_orderkey, case when o_custkey % 3 = 0 then '' || o_orderkey else o_orderkey || '.00000000000000000' || (o_custkey % 3) end as amount,
+ case when o_custkey % 3 = 0 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00.00000' || (o_custkey % 3) end as moment
+from orders""")
+def _exact_cells(spark, sf):
+    """Decimals that differ in their last digit and times that differ by a microsecond stay apart."""
+    rest = (F.col("o_custkey") % 3).cast("int")
+    amount = (F.col("o_orderkey").cast("decimal(19,0)") + rest.cast("decimal(1,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)")).cast("decimal(38,18)")
+    moment = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + rest)
+    return canonicalize_cells(table(spark, sf, "orders").select(amount.alias("amount"), moment.alias("moment"), "o_orderkey")).withColumn(
+        "o_orderkey", F.col("o_orderkey").cast("long"))
 
 
 @query("page_clamped", """
