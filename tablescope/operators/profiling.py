@@ -258,13 +258,6 @@ def numeric_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), ex
     return basic.select(*keys, "n", "min", "max", "mean", "median", "std_dev")
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Exact number of distinct trimmed values per column."""
-    return value_counts(df, cols, by).groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("_filled")
-    ).drop("_filled")
-
-
 def top_values(
     df: DataFrame, cols: Sequence[str] | None = None, limit: int = TOP_GROUPS, by: Sequence[str] = ()
 ) -> DataFrame:

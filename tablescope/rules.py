@@ -211,7 +211,3 @@ TAXONOMY_PREFIXES = ("ifrs-full", "us-gaap", "dei", "srt", "ecd", "esef_cor", "s
 IDENTIFIER_NAME = (
     r"(^|[_\s-])(id|ids|uuid|guid|key|code|ref|no|num|number|hash|sku|isbn|ean)([_\s-]|$)"
 )
-
-# Columns of a table of statement facts.
-FACT_FIELDS = ("Sheet", "Statement", "Section", "Line Item", "Metric", "Period", "Amount", "Unit",
-               "Note", "Source Row")

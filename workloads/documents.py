@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tablescope.functions import finance as M
+from tablescope.plans import documents as plan
 from tablescope.functions.text import describe_span, split_lines, squeeze, title_from_name, truncate
 from tablescope.session import shared_folder
 from tablescope.sources import files, pages as G, sheets as S, xml as X
@@ -394,6 +395,23 @@ def _xbrl_notes(spark, sf):
     return df.filter(F.col("row_no") > 2).select("doc_id", "row_no", "note", "section")
 
 
+@query("documents_from_workbook", f"""with {FACTS}
+select {_BOOK} as workbook, count(*) as rows, 'items' as kind from facts group by doc_id
+union all select 'c' || (c_custkey // 100), count(*) * 4, 'records' from customer group by 1""")
+def _documents_from_workbook(spark, sf):
+    """Items of the financial workbooks, records of the lists."""
+    parts = plan.documents_from_workbook(statement_cells(spark, sf).unionByName(customer_cells(spark, sf)))
+    items = parts["items"].groupBy(F.col("doc_id").alias("workbook")).agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("items"))
+    return items.unionByName(parts["records"].groupBy("workbook").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("records")))
+
+
+@query("documents_from_xml", """
+select o_orderkey as doc_id, 3::bigint as item_rows, 2::bigint as periods from orders""")
+def _documents_from_xml(spark, sf):
+    parts = plan.documents_from_xml(stored(instances(spark, sf)))
+    return parts["items"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("item_rows"), F.count_distinct("period").alias("periods"))
+
+
 def linkbases(spark, sf) -> DataFrame:
     """One small linkbase per part: a calculation and labels in two languages."""
     xml = (

@@ -616,6 +616,26 @@ def _route(spark, sf):
     return longs(routed.groupBy("doc_id", "route").agg(F.count(F.lit(1)).alias("item_rows")), "route")
 
 
+@query("documents_from_table", f"""with {ITEMS}
+select doc_id, count(distinct line_id) as line_items, count(*) as item_rows, (select count(*) from facts f where f.doc_id = i.doc_id) as raw_lines from items i
+group by 1 having count(distinct line_id) >= 4 or count(distinct concept) >= 2""")
+def _documents_from_table(spark, sf):
+    rows = facts(spark, sf).select(
+        "doc_id", "row_no", F.col("sheet").alias("Sheet"), F.col("statement").alias("Statement"), F.col("line_item").alias("Line Item"),
+        F.col("period").alias("Period"), F.col("amount").alias("Amount"))
+    parts = plan.documents_from_table(rows, "row_no")
+    raw = parts["raw_lines"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("raw_lines"))
+    counts = parts["items"].groupBy("doc_id").agg(F.count_distinct("line_id").alias("line_items"), F.count(F.lit(1)).alias("item_rows"))
+    return parts["documents"].select("doc_id").join(counts, "doc_id").join(raw, "doc_id")
+
+
+@query("wide_table_analysis", f"""with {FACTS}
+select count(*) as facts, count(distinct period) as periods, round(sum(amount), 2) as amount from facts""")
+def _wide_table_analysis(spark, sf):
+    found = plan.statement_table_facts(wide(spark, sf))
+    return rounded(found.agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("period").alias("periods"), F.sum("amount").alias("amount")), 2)
+
+
 # Text pages ---------------------------------------------------------------
 
 def statement_pages(spark, sf) -> DataFrame:
