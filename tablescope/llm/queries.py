@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_OPERATORS = ("fingerprints", "jaccard", "language", "mixing", "packing", "quality", "secrets", "toxicity")
+_OPERATORS = ("chats", "fingerprints", "jaccard", "language", "mixing", "packing", "quality", "secrets", "token_counts", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
