@@ -117,7 +117,9 @@ def mixed_pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     pieces = rows.filter("size > 0").withColumn("block", F.explode(covers))
     low = F.greatest(F.col("start"), F.col("block") * block)
     pieces = pieces.withColumns({"low": low, "high": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)})
-    joined = pieces.join(slots.select("sid", "block", "pass", F.col("words").alias("of_block")), ["sid", "block"], "left")
+    # Spark takes exploded rows for as few as their source and would broadcast the slots.
+    of_slots = slots.select("sid", "block", "pass", F.col("words").alias("of_block")).hint("merge")
+    joined = pieces.join(of_slots, ["sid", "block"], "left")
     got = F.least("high", F.col("block") * block + F.coalesce("of_block", F.lit(0))) - F.col("low")
     return joined.withColumns({"from_word": F.col("low") - F.col("start"), "words": F.greatest(got, F.lit(0))}).drop("low", "high", "of_block", "block")
 
@@ -139,22 +141,23 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     A document taken whole keeps its text; otherwise the taken stretches are joined.  n_chars follows if it is there.
     Rows equal in doc_id, source and text count once.  Documents without words are left out.
     """
-    own = docs.dropDuplicates(["doc_id", "source", "text"]) if not docs.isEmpty() else docs
-    key = F.xxhash64("text")
-    sizes = stored(own.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("text_key")))
+    # As one column, the documents' columns cannot meet names used here.
+    own = docs.dropDuplicates(["doc_id", "source", "text"]).select(F.struct(*docs.columns).alias("row"))
+    key = F.xxhash64("row.text")
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sizes = stored(own.select("row.doc_id", "row.source", size, key.alias("text_key")))
     sources = stored(with_slots(source_targets(sizes), block))
     rows = placed(sizes, sources).select("sid", "doc_id", "text_key", "size", "start")
     pieces = mixed_pieces(rows, mix_slots(sources, block, seed=seed), block).filter("words > 0")
     stretches = F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("stretches")
     plan = pieces.groupBy("sid", "start", "doc_id", "text_key", "size", "pass").agg(F.sum("words").alias("taken"), stretches)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "size", "taken", "stretches")
-    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-    cut = F.aggregate("stretches", F.lit(""), lambda a, s: F.concat(a, F.array_join(F.slice(F.col("_words"), (s["from_word"] + 1).cast("int"), s["words"].cast("int")), "")))
-    joined = joined.withColumn("_words", F.when(F.col("taken") < F.col("size"), words))
-    text = F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text"))
+    joined = own.join(plan, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (key == F.col("text_key")))
+    all_words = F.regexp_extract_all("row.text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
+    joined = joined.withColumn("all_words", F.when(F.col("taken") < F.col("size"), all_words))
+    cut = F.aggregate("stretches", F.lit(""), lambda a, s: F.concat(a, F.array_join(F.slice("all_words", (s["from_word"] + 1).cast("int"), s["words"].cast("int")), "")))
+    text = F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("row.text"))
     changed = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    return joined.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
