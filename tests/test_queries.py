@@ -1,5 +1,6 @@
 """Every query against its SQL at the smallest scale."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -10,6 +11,8 @@ from check_queries import compare
 from workloads.common import TABLES
 
 SF = "/root/testdata/sf0.001"
+# The operators for training text have tests of their own.
+NAMES = sorted(n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n))
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +24,7 @@ def db():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, db, name):
     ok, _, note = compare(spark, db, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, note
