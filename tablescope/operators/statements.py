@@ -211,6 +211,18 @@ def _pick(on_duplicate: str, value: Column, row_no: Column) -> Column:
     return F.max_by(value, row_no)
 
 
+def _classified_labels(rows: DataFrame, rules: Sequence[R.ConceptRule]) -> DataFrame:
+    """Kind and concept of each distinct (``_statement``, ``label``).
+
+    The rules read an aggregated copy of the label: a filter on their result
+    then stays above the aggregate, and no rule is tried on every row.
+    """
+    labels = rows.groupBy("_statement", "label").agg(F.max("label").alias("_own"))
+    return labels.select(
+        "_statement", "label", label_kind(F.concat_ws(" ", "_statement", "_own"), rules).alias("kind"),
+        classify_concept(F.col("_own"), rules).alias("concept"))
+
+
 def items_from_facts(
     facts: DataFrame, row_no: str = "row_no", on_duplicate: str = "last",
     rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES, doc: str = "doc_id",
@@ -224,9 +236,7 @@ def items_from_facts(
         F.coalesce("statement", F.lit("")).alias("_statement"),
         F.coalesce("sheet", F.lit("")).alias("_sheet"), quoted(row_no).alias("_row"),
     ).filter((c("label") != "") & (c("period") != "") & c("_amount").isNotNull())
-    rows = rows.withColumn("kind", label_kind(F.concat_ws(" ", "_statement", "label"), rules)).withColumn(
-        "concept", classify_concept(c("label"), rules)
-    )
+    rows = rows.join(_classified_labels(rows, rules), ["_statement", "label"])
     value = signed_value(c("_amount"), c("label"), c("kind"))
     grouped = rows.groupBy(doc, "kind", "label", "concept", "_sheet", "period").agg(
         _pick(on_duplicate, value, c("_row")).alias("value")
