@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescope import rules as R
@@ -22,60 +19,58 @@ NO_OCR_TEXT = "OCR produced no readable text for this page."
 NO_DOCUMENT_TEXT = "No extractable PDF text was found."
 
 
-def _line_text(fragments: list[tuple[float, float, str]]) -> str:
-    """Fragments ``(x, width, text)`` of one line with blanks for the gaps."""
-    text, end = "", None
-    for x, width, piece in sorted(fragments, key=lambda f: f[0]):
-        if end is not None:
-            if x - end > WIDE_GAP:
-                text += "   "
-            elif not (text.endswith(" ") or piece.startswith(" ")):
-                text += " "
-        text += piece
-        end = x + width
-    return text.rstrip()
+def _placed(fragments: Column) -> Column:
+    """Fragments from the top down with the number of their line.
 
+    A fragment opens a line when it lies more than the tolerance below the
+    fragment that opened the current one.
+    """
+    start = F.struct(
+        F.lit(None).cast("double").alias("opened"), F.lit(-1).alias("line"),
+        F.array().cast("array<struct<line:int,x:double,w:double,str:string>>").alias("out"))
 
-def _page_text(fragments: list[dict]) -> str:
-    """Text of one page.
+    def add(seen: Column, f: Column) -> Column:
+        opens = seen["opened"].isNull() | (seen["opened"] + f["down"] > LINE_TOLERANCE)
+        line = F.when(opens, seen["line"] + 1).otherwise(seen["line"])
+        placed = F.struct(line.alias("line"), f["x"].alias("x"), f["w"].alias("w"), f["str"].alias("str"))
+        return F.struct(
+            F.when(opens, -f["down"]).otherwise(seen["opened"]).alias("opened"), line.alias("line"),
+            F.concat(seen["out"], F.array(placed)).alias("out"))
 
-    From the top down, a fragment opens a line when it lies more than the
-    tolerance below the fragment that opened the current one.
-    """
-    lines: list[list] = []
-    opened = None
-    for f in sorted(fragments, key=lambda f: (-f["y"], f["x"])):
-        if opened is None or opened - f["y"] > LINE_TOLERANCE:
-            opened = f["y"]
-            lines.append([])
-        lines[-1].append((f["x"], f["w"], f["str"]))
-    texts = [_line_text(line) for line in lines]
-    return "\n".join(t for t in texts if t.strip())
+    return F.aggregate(F.array_sort(fragments), start, add)["out"]
 
 
-def _pages_of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [_page_text(fragments or []) for fragments in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "page_no", "text"])
+def _joined(placed: Column) -> Column:
+    """Lines of placed fragments, from left to right, with blanks for the gaps."""
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("line"),
+        F.lit(None).cast("double").alias("end"))
+
+    def add(seen: Column, f: Column) -> Column:
+        same, beside = seen["line"] == f["line"], seen["end"].isNotNull()
+        gap = F.when(f["x"] - seen["end"] > WIDE_GAP, "   ").when(
+            seen["text"].endswith(" ") | f["str"].startswith(" "), "").otherwise(" ")
+        text = F.when(same & beside, F.concat(seen["text"], gap, f["str"])).otherwise(f["str"])
+        done = F.when(same, seen["done"]).otherwise(F.array_append(seen["done"], seen["text"]))
+        return F.struct(done.alias("done"), text.alias("text"), f["line"].alias("line"), (f["x"] + f["w"]).alias("end"))
+
+    lines = F.aggregate(F.array_sort(placed), start, add, lambda seen: F.array_append(seen["done"], seen["text"]))
+    trimmed = F.transform(lines, lambda line: F.regexp_replace(line, SPACE_CLASS + r"+\z", ""))
+    return F.array_join(F.filter(trimmed, lambda line: F.regexp_replace(line, SPACE_CLASS, "") != ""), "\n")
 
 
 def fragments_to_lines(fragments: DataFrame) -> DataFrame:
     """Page texts from fragments ``(doc_id, page_no, x, y, w, str)``.
 
-    The rule is sequential within a page, so pages go to Python in Arrow
-    batches; a page is bounded by what is printed on it.
+    The rule is sequential within a page, so a page's fragments are gathered;
+    they are bounded by what is printed on it.
     """
-    types = fragments.schema
-    out = (
-        f"doc_id {types['doc_id'].dataType.simpleString()}, "
-        f"page_no {types['page_no'].dataType.simpleString()}, text string"
-    )
     shown = F.col("str").isNotNull() & ((F.regexp_replace("str", SPACE_CLASS, "") != "") | (F.col("w") > 0))
-    fields = [F.col(n).cast("double").alias(n) for n in ("x", "y", "w")]
-    pages = fragments.groupBy("doc_id", "page_no").agg(
-        F.collect_list(F.when(shown, F.struct(*fields, F.col("str").alias("str")))).alias("fragments"))
-    return pages.mapInArrow(_pages_of_fragments, out)
+    x, y, w = (F.col(n).cast("double") for n in ("x", "y", "w"))
+    piece = F.struct((-y).alias("down"), x.alias("x"), w.alias("w"), F.col("str").alias("str"))
+    pages = fragments.groupBy("doc_id", "page_no").agg(F.collect_list(F.when(shown, piece)).alias("_pieces"))
+    return pages.withColumn("_placed", _placed(F.col("_pieces"))).select(
+        "doc_id", "page_no", _joined(F.col("_placed")).alias("text"))
 
 
 def page_text_status(pages: DataFrame) -> DataFrame:

@@ -55,22 +55,33 @@ def prepare_cells(cells: DataFrame) -> DataFrame:
 
 # Generic sheets -----------------------------------------------------------
 
-def sheet_headers(cells: DataFrame) -> DataFrame:
-    """Best header row of each sheet among its first rows."""
+def sheet_headers(cells: DataFrame, within: int = HEADER_ROWS, after_rows: int = DENSE_ROWS) -> DataFrame:
+    """Best header row of each sheet among its first rows.
+
+    The test is defined by its windows: rows ``within`` which a header is
+    sought, and rows after it whose cells speak for it.
+    """
     c = F.col
-    filled = read_cells(cells).filter(c("row") < HEADER_ROWS + DENSE_ROWS)
+    filled = read_cells(cells).filter(c("row") < within + after_rows)
     textual = F.when(parse_number(c("text")).isNull(), 2).otherwise(0)
     rows = filled.groupBy(*SHEET, "row").agg(
         F.count(F.lit(1)).alias("_cells"), F.sum(textual).alias("_texts"))
-    after = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(1, DENSE_ROWS)
+    after = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(1, after_rows)
     score = c("_cells") * 3 + c("_texts") + F.coalesce(F.sum("_cells").over(after), F.lit(0))
-    scored = rows.withColumn("score", score).filter(c("row") < HEADER_ROWS)
+    scored = rows.withColumn("score", score).filter(c("row") < within)
     return scored.groupBy(*SHEET).agg(
         F.min_by("row", F.struct((-c("score")).alias("s"), c("row").alias("r"))).alias("header_row"),
         F.max("score").alias("score"),
     )
 
 
+def rows_above_header(cells: DataFrame) -> DataFrame:
+    """Cells above the header of each generic sheet: titles and notes that are no records."""
+    headers = sheet_headers(cells).select(*SHEET, "header_row")
+    return read_cells(cells).join(headers, list(SHEET)).filter(F.col("row") < F.col("header_row")).select(
+        *SHEET, "row", "col", "text")
+
+
 def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Names of the columns of each sheet: blanks filled, repeats numbered from 2."""
     c = F.col
@@ -109,18 +120,18 @@ def merge_by_name(*tables: DataFrame) -> DataFrame:
 
 # Financial sheets ---------------------------------------------------------
 
-def sheet_statement_type(cells: DataFrame) -> DataFrame:
-    """Statement type of each sheet from its name and first rows, or null."""
-    head = read_cells(cells).filter(F.col("row") < TYPE_ROWS).groupBy(*SHEET).agg(
+def sheet_statement_type(cells: DataFrame, rows: int = TYPE_ROWS) -> DataFrame:
+    """Statement type of each sheet from its name and first ``rows``, or null."""
+    head = read_cells(cells).filter(F.col("row") < rows).groupBy(*SHEET).agg(
         F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("_cells")
-    )  # at most TYPE_ROWS rows of one sheet
+    )  # at most ``rows`` rows of one sheet
     sample = F.concat_ws(" ", "sheet", F.array_join(F.transform("_cells", lambda x: x["text"]), " "))
     return head.select(*SHEET, first_match(sample, R.SHEET_TYPE_RULES, F.lit(None).cast("string")).alias("statement_type"))
 
 
-def detect_unit(cells: DataFrame) -> DataFrame:
-    """Unit of each sheet from its first cells."""
-    head = read_cells(cells).filter((F.col("row") < UNIT_ROWS) & (F.col("col") < UNIT_COLUMNS))
+def detect_unit(cells: DataFrame, rows: int = UNIT_ROWS, columns: int = UNIT_COLUMNS) -> DataFrame:
+    """Unit of each sheet from the cells of its first ``rows`` and ``columns``."""
+    head = read_cells(cells).filter((F.col("row") < rows) & (F.col("col") < columns))
     units = head.withColumn("_u", unit_of(F.col("text"))).filter(F.col("_u").isNotNull())
     return units.groupBy(*SHEET).agg(F.min_by("_u", F.struct("row", "col")).alias("unit"))
 
@@ -159,15 +170,18 @@ def metric_header(cells: DataFrame) -> DataFrame:
         F.min("row").alias("header_row"), F.min_by("_last", "row").alias("last_col"))
 
 
-def sheet_label_column(cells: DataFrame, headers: DataFrame, limit: Column) -> DataFrame:
-    """Column of the labels left of ``limit``: most text in the next rows.
+def sheet_label_column(
+    cells: DataFrame, headers: DataFrame, limit: Column, columns: int = LABEL_COLUMNS, rows: int = LABEL_ROWS
+) -> DataFrame:
+    """Column of the labels left of ``limit``: most text in the next ``rows``.
 
-    ``limit`` is an expression over the header row of a sheet.
+    ``limit`` is an expression over the header row of a sheet; only the first
+    ``columns`` are tried.
     """
     c = F.col
-    bound = headers.select(*SHEET, "header_row", F.greatest(F.lit(1), F.least(limit, F.lit(LABEL_COLUMNS))).alias("_limit"))
+    bound = headers.select(*SHEET, "header_row", F.greatest(F.lit(1), F.least(limit, F.lit(columns))).alias("_limit"))
     near = read_cells(cells).join(bound, list(SHEET)).filter(
-        (c("col") < c("_limit")) & (c("row") > c("header_row")) & (c("row") <= c("header_row") + LABEL_ROWS))
+        (c("col") < c("_limit")) & (c("row") > c("header_row")) & (c("row") <= c("header_row") + rows))
     points = F.least(F.lit(LABEL_TEXT), F.length("text")) - F.when(c("number").isNotNull(), LABEL_NUMBER).otherwise(0)
     scored = near.groupBy(*SHEET, "col").agg(F.sum(points).alias("_score"))
     # Columns without any cell score 0 and still beat a negative score.
