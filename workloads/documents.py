@@ -453,11 +453,14 @@ def _shapes(spark, sf):
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("xml_issues")
+@query("xml_issues", """
+select o_orderkey as doc_id, 'Not well-formed XML.' as message from orders where o_orderkey % 3 = 0""")
 def _issues(spark, sf):
-    """Web pages read as XML: most are not well-formed, and are reported."""
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return X.xml_issues(X.parse_documents(pages)).select("doc_id", F.regexp_extract("message", r"\A([^(]*\.)", 1).alias("message"))
+    """Small documents of the orders; every third lacks its end tag and is reported."""
+    key = F.col("o_orderkey")
+    body = F.concat(F.lit("<o><k>"), key.cast("string"), F.lit("</k>"), F.when(key % 3 == 0, "").otherwise("</o>"))
+    made = table(spark, sf, "orders").select(key.alias("doc_id"), body.alias("text"))
+    return X.xml_issues(X.parse_documents(made)).select("doc_id", F.regexp_extract("message", r"\A([^(]*\.)", 1).alias("message"))
 
 
 @query("concept_names", """
