@@ -37,6 +37,8 @@ WORDS, PERCENT = 5, 80
 #: Share of the set by which the first filter's prefixes are longer.
 LONGER = 0.15
 BINS = 16
+#: Bytes of text that are shingled at once; each takes some 60 bytes of memory meanwhile.
+SLICE = 1_500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -116,7 +118,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, SLICE):
             sets = shingler(texts)
             prefixes = [_mixed(s[: len(s) - least_overlap(len(s), percent) + _longer(len(s))]).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -129,7 +131,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 # Document frequencies in buckets of tokens --------------------------------------------------------------
 
 _BLOCK = "bucket int, class binary, n binary, tokens_of binary, tokens binary"
-_MAPPED_TOKENS = 2_000_000
+_MAPPED_TOKENS = 1_000_000
 
 
 def _bucket_count(tokens: int) -> int:
@@ -138,7 +140,10 @@ def _bucket_count(tokens: int) -> int:
 
 
 def _dealt(sets: DataFrame, buckets: int) -> DataFrame:
-    """The tokens of (class, n, tokens) by bucket: per block its classes, their n, how many tokens of each, the tokens."""
+    """The tokens of (class, n, tokens), or the mixed shingles of (class, n, shingles), by bucket: per block its classes,
+    their n, how many tokens of each, the tokens."""
+    column = "tokens" if "tokens" in sets.columns else "shingles"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in held_tokens])
@@ -153,20 +158,23 @@ def _dealt(sets: DataFrame, buckets: int) -> DataFrame:
 
         held_class, held_n, held_tokens, size = [], [], [], 0
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("class", "n", "tokens")]
-            for key, n, raw in zip(*columns):
-                if raw:
+            for key, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if column == "tokens":
+                    tokens = np.frombuffer(own.as_py(), dtype=np.uint64)
+                else:
+                    tokens = _mixed(np.asarray(own.values).view(np.uint64))
+                if len(tokens):
                     held_class.append(key)
                     held_n.append(n)
-                    held_tokens.append(np.frombuffer(raw, dtype=np.uint64))
-                    size += len(held_tokens[-1])
+                    held_tokens.append(tokens)
+                    size += len(tokens)
                 if size >= _MAPPED_TOKENS:
                     yield flushed()
                     held_class, held_n, held_tokens, size = [], [], [], 0
         if size:
             yield flushed()
 
-    return sets.select("class", "n", "tokens").mapInArrow(run, _BLOCK)
+    return sets.select("class", "n", column).mapInArrow(run, _BLOCK)
 
 
 def _runs(keys: np.ndarray, ns: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -311,7 +319,7 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
     """class, n and shingles of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for _, texts in text_batches(batches):
+        for _, texts in text_batches(batches, SLICE):
             sets = shingler(texts)
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                                              ["class", "n", "shingles"])
@@ -319,16 +327,6 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, n long, shingles array<long>")
 
 
-def _as_tokens(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            tokens = [_mixed(np.asarray(lists[i].values).view(np.uint64)).tobytes() for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary())], ["class", "n", "tokens"])
-
-    return sets.select("class", "n", "shingles").mapInArrow(run, "class long, n long, tokens binary")
-
-
 def _tokens_in(sets: DataFrame, column: str) -> int:
     size = F.octet_length(column) / 8 if column == "tokens" else F.size(column)
     return int(sets.agg(F.sum(size)).first()[0] or 0)
@@ -346,7 +344,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     theirs = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_smallest")), "left_semi")
     sets = stored(_shingles(theirs, words).dropDuplicates(["class"]).join(partners.select("class"), "class", "left_semi"))
     tokens = _tokens_in(sets, "shingles")
-    postings = stored(_prefix_postings(_dealt(_as_tokens(sets), _bucket_count(tokens)), _bucket_count(tokens), percent))
+    postings = stored(_prefix_postings(_dealt(sets, _bucket_count(tokens)), _bucket_count(tokens), percent))
     first = stored(_verified(_first_pairs(postings, percent), sets, percent))
     other = _verified(_other_pairs(postings, connected(first), percent), sets, percent)
     component = connected(first.unionByName(other))
