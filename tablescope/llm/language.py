@@ -31,7 +31,9 @@ from tablescope.llm.common import documents, fold, text_batches
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 ROWS_PER_LANGUAGE, ROUNDS, SMOOTHING = 5_000, 2, 0.1
-UNKNOWN_LOGP, LONGEST, REMEMBERED = -14.0, 24, 400_000
+UNKNOWN_LOGP, LONGEST, REMEMBERED = -14.0, 24, 300_000
+#: Words scored at once; each takes some 4 kB of memory meanwhile.
+AT_ONCE = 4_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -205,8 +207,8 @@ class Scorer:
         split = [words_of(t) if self.model.languages and any(map(str.isalpha, t)) else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in self.known})
         new.sort()
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
+        for at in range(0, len(new), AT_ONCE):
+            block = new[at : at + AT_ONCE]
             self.known.update(zip(block, range(len(self.known), len(self.known) + len(block))))
             self.scores = np.concatenate([self.scores, self.vocabulary.forward(block, self.model.logp).astype(np.float32)])
         for row, words in enumerate(split):
