@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tablescope.llm.common import documents
 
 LEAST, MOST = 0.01, 0.2
-#: Subsets that hold an eighth of the lexicon, and a sixty-fourth.
-DENSE, SPARSE = 4, 40
+#: Dense subsets, each with an eighth of the lexicon; ``SPLIT`` of them are split into as many sparse ones.
+FAN_OUT, SPLIT = 8, 4
+#: What the hash of no terms looks like.
+EMPTY = "2A"
 BUCKET_ROWS, MOST_BUCKETS, FAN = 1024, 1 << 18, 64
 
 
@@ -44,38 +46,35 @@ def _constant(numbers: list[int], kind: str = "bigint") -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, sorted(numbers))) + "]"), f"array<{kind}>")
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _bits(hashes: Column, width: int, at: int) -> Column:
-    return F.filter(hashes, lambda h: F.shiftrightunsigned(h, at * width).bitwiseAND(F.lit((1 << width) - 1)) == 0)
-
-
-def _seeded(seed: int):
-    return lambda h: F.xxhash64(h, F.lit(seed))
+def with_fingerprint(df: DataFrame, text: str, terms: list[int], name: str) -> DataFrame:
+    """Adds the fingerprint of a text column: one hash per lexicon subset, EMPTY where the text has no term in it.
 
+    The lowest three bits of a term's hash place it in one of the dense subsets, the next three in a sparse one within
+    that.  A text without any term of the lexicon has a single '*' hash of all its terms.
+    """
+    # As functions over an array, the steps stay apart: Spark would write out elements of a plain array in place.
+    places = F.array(*[F.lit(k) for k in range(FAN_OUT)])
 
-def fingerprint(text: Column, terms: list[int]) -> Column:
-    """One hash per lexicon subset, '' where the text has no term in it; a single '*' hash if it has none at all."""
-    def one(kept: Column) -> Column:
-        return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.hex(F.xxhash64(kept)))
+    def dealt(hashes: Column, shift: int, use) -> Column:
+        return F.transform(places, lambda k: use(F.filter(hashes, lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(FAN_OUT - 1)) == k)))
 
-    def subsets(kept: Column) -> Column:
-        dense = [one(_bits(kept, 3, k)) for k in range(DENSE)]
-        sparse = [_let(F.transform(kept, _seeded(seed)), lambda again: F.array(*[one(_bits(again, 6, k)) for k in range(10)])) for seed in range(SPARSE // 10)]
-        return F.concat(F.array(*dense), *sparse)
+    def hashed(kept_terms: Column) -> Column:
+        return F.hex(F.xxhash64(kept_terms))
 
-    known = _constant(terms)
-    return _let(term_hashes(text), lambda own: _let(F.array_sort(F.array_intersect(own, known)), lambda kept: F.when(
-        F.size(kept) > 0, subsets(kept)).otherwise(F.array(F.concat(F.lit("*"), F.hex(F.xxhash64(F.array_sort(own))))))))
+    own, kept, parts = (f"_{part}_{name}" for part in ("own", "kept", "parts"))
+    df = df.withColumn(own, term_hashes(F.col(text)))
+    df = df.withColumn(kept, F.array_sort(F.array_intersect(own, _constant(terms))))
+    df = df.withColumn(parts, dealt(F.col(kept), 0, lambda p: p))
+    sparse = F.flatten(F.transform(F.slice(parts, 1, SPLIT), lambda p: dealt(p, 3, hashed)))
+    hashes = F.concat(F.transform(parts, hashed), sparse)
+    whole = F.array(F.concat(F.lit("*"), F.hex(F.xxhash64(F.array_sort(own)))))
+    return df.withColumn(name, F.when(F.size(kept) > 0, hashes).otherwise(whole)).drop(own, kept, parts)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among subsets with terms; fingerprints of different kinds are unlike."""
-    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != "")), lambda x: x))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != "") | (y != "")), lambda x: x))
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda x: x))
+    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) | (y != EMPTY)), lambda x: x))
     return F.when(F.size(a) != F.size(b), F.lit(0.0)).when(some == 0, F.lit(1.0)).otherwise(equal / some)
 
 
@@ -119,19 +118,20 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and fingerprint (array of hashes) of every document."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return own.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), lexicon(own)).alias("fingerprint"))
+    return with_fingerprint(own, "text", lexicon(own), "fingerprint").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = lexicon(own)
-    rows = with_next(own.withColumn("fp", fingerprint(F.col("text"), terms)), ["text", "fp"])
+    rows = with_next(with_fingerprint(own, "text", terms, "fp"), ["text", "fp"])
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     rows = rows.withColumns({"n_chars": size.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half))})
-    rows = rows.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), terms).alias("edited_fp"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.array_join("fp", ".").alias("fingerprint"), F.array_join("edited_fp", ".").alias("edited_fingerprint"),
-                       likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    rows = with_fingerprint(rows.select("doc_id", "n_chars", "fp", "next_fp", "edited"), "edited", terms, "edited_fp")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("fp", ".").alias("fingerprint"),
+                       F.array_join("edited_fp", ".").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                       likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
 QUERIES = {"op8_imatch": op8_imatch}
