@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablescope.llm.common import documents, fold, text_batches
 
 PER_CLASS, MOST_TERMS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 4_096, 15, 64, 0.3
-#: Distinct query vectors whose answers a worker remembers.
-REMEMBERED = 50_000
+#: Distinct query vectors whose answers a worker remembers, and queries that a search takes at once.
+REMEMBERED, QUERIES_AT_ONCE = 20_000, 128
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -39,39 +39,68 @@ def terms_of(text: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term, with the largest weight of each block of ``BLOCK`` examples."""
+    """Unit vectors of examples in blocks of ``BLOCK``: each block's postings by term, and the largest weight of each
+    term in each block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int) -> None:
-        self.examples, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        rows = [(t, e, w) for e, vector in enumerate(vectors) for t, w in vector.items()]
-        rows.sort()
-        self.example = np.array([r[1] for r in rows], dtype=np.int64)
-        self.weight = np.array([r[2] for r in rows], dtype=np.float64)
-        self.begin = np.searchsorted(np.array([r[0] for r in rows], dtype=np.int64), np.arange(terms + 1))
-        self.most = np.zeros((terms, blocks))
-        for t, e, w in rows:
-            self.most[t, e // BLOCK] = max(self.most[t, e // BLOCK], w)
-
-    def nearest(self, query: dict[int, float], count: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising number."""
-        if not query or not self.examples:
-            return []
-        bound = sum(w * self.most[t] for t, w in query.items())
-        order = np.lexsort((np.arange(len(bound)), -bound))
-        found: list[tuple[float, int]] = []
-        for step in range(0, len(order), 8):
-            blocks = [b for b in order[step : step + 8].tolist() if bound[b] > 0]
-            if not blocks or (len(found) == count and bound[blocks[0]] < -found[-1][0] - 1e-12):
-                break
-            for b in blocks:
-                cosine = np.zeros(BLOCK)
-                for t, w in query.items():
-                    low, high = self.begin[t], self.begin[t + 1]
-                    i, j = low + np.searchsorted(self.example[low:high], (b * BLOCK, (b + 1) * BLOCK))
-                    cosine[self.example[i:j] - b * BLOCK] += w * self.weight[i:j]
-                found += [(-round(float(cosine[k]), 12), b * BLOCK + k) for k in np.flatnonzero(cosine).tolist() if b * BLOCK + k != without]
-            found = sorted(found)[:count]
-        return [(-c, e) for c, e in found]
+        self.examples, self.blocks = len(vectors), []
+        self.most = np.zeros((terms, -(-len(vectors) // BLOCK)))
+        for b in range(self.most.shape[1]):
+            part = vectors[b * BLOCK : (b + 1) * BLOCK]
+            known = sorted(set().union(*part))
+            place = {t: i for i, t in enumerate(known)}
+            postings = np.zeros((len(known), len(part)))
+            for e, vector in enumerate(part):
+                for t, w in vector.items():
+                    postings[place[t], e] = w
+            self.most[known, b] = postings.max(axis=1)
+            self.blocks.append((np.array(known, dtype=np.int64), postings))
+
+    def _score(self, queries: np.ndarray, wanted: np.ndarray, cosines: np.ndarray) -> None:
+        """Adds the cosines of the wanted (query, block) pairs, a block's postings at a time."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            terms, postings = self.blocks[b]
+            rows = np.flatnonzero(wanted[:, b])
+            cosines[rows, b, : postings.shape[1]] = (queries[np.ix_(rows, terms)] @ postings).round(12)
+
+    def nearest_of(self, vectors: list[dict[int, float]], count: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector (cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising
+        number; ``without`` names one example to leave out for each.
+
+        Each query first meets its four blocks of the highest bounds; then only blocks whose bound reaches the least
+        cosine among the nearest so far.
+        """
+        if not vectors or not self.examples:
+            return [[] for _ in vectors]
+        queries = np.zeros((len(vectors), self.most.shape[0]))
+        for i, vector in enumerate(vectors):
+            queries[i, list(vector)] = list(vector.values())
+        bound = queries @ self.most
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :4]
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, best, True, axis=1)
+        cosines = np.zeros((len(vectors), bound.shape[1], BLOCK))
+        self._score(queries, first & (bound > 0), cosines)
+        if without:
+            left_out = np.arange(len(vectors)), np.array(without) // BLOCK, np.array(without) % BLOCK
+            cosines[left_out] = 0
+        seen = np.take_along_axis(cosines, best[:, :, None], axis=1).reshape(len(vectors), -1)
+        at = max(0, seen.shape[1] - count)
+        least = np.partition(seen, at, axis=1)[:, at] if seen.shape[1] > count else np.zeros(len(vectors))
+        self._score(queries, ~first & (bound > 0) & (bound >= least[:, None] - 1e-9), cosines)
+        if without:
+            cosines[left_out] = 0
+        found = []
+        for row, reach in zip(cosines.reshape(len(vectors), -1), np.maximum(least, 1e-12)):
+            hits = np.flatnonzero(row >= reach)
+            if len(hits) > count:
+                hits = hits[row[hits] >= np.partition(row[hits], -count)[-count]]
+            order = np.lexsort((hits, -row[hits]))[:count]
+            found.append(list(zip(row[hits[order]].tolist(), hits[order].tolist())))
+        return found
+
+    def nearest(self, query: dict[int, float], count: int) -> list[tuple[float, int]]:
+        return self.nearest_of([query], count)[0]
 
 
 @dataclass
@@ -182,12 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         model.idf = [float(np.log((1 + total) / (1 + held.get(t, 0))) + 1) for t in names]
     vectors = _vectors(examples, model)
     examples.unpersist()
-    filled = [v for v in vectors if v[2]]
+    # Examples with the same strongest term share blocks, which makes the bounds sharp.
+    filled = sorted((v for v in vectors if v[2]), key=lambda v: (max(v[2], key=lambda x: x[1])[0], v[0]))
     model.ids, model.labels = [v[0] for v in filled], [v[1] for v in filled]
     model.index = BlockMaxIndex([dict(v[2]) for v in filled], max(1, len(model.terms)))
     bare = [model.stands_for[v[1]] * np.array([1, v[1]]) for v in vectors if not v[2]]
     model.without_terms = float(sum(b[1] for b in bare) / sum(b[0] for b in bare)) if bare else 0.0
-    points = [(model.vote(near), v[1], model.stands_for[v[1]]) for e, v in enumerate(filled) if (near := model.index.nearest(dict(v[2]), NEIGHBOURS, e))]
+    points = []
+    for low in range(0, len(filled), QUERIES_AT_ONCE):
+        part = filled[low : low + QUERIES_AT_ONCE]
+        others = model.index.nearest_of([dict(v[2]) for v in part], NEIGHBOURS, list(range(low, low + len(part))))
+        points += [(model.vote(near), v[1], model.stands_for[v[1]]) for v, near in zip(part, others) if near]
     model.steps = isotonic(points) if points else ([0.0], [model.without_terms])
     return model
 
@@ -220,18 +254,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, remembered = shared.value, {}
         for batch, texts in text_batches(batches):
-            scores, evidence = [], []
-            for text in texts:
-                vector = model.vector(text)
-                key = tuple(vector.items())
-                if key not in remembered:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    near = model.index.nearest(vector, NEIGHBOURS) if model.index else []
+            vectors = [model.vector(text) for text in texts]
+            keys = [tuple(v.items()) for v in vectors]
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            new = [k for k in dict.fromkeys(keys) if k not in remembered]
+            for low in range(0, len(new), QUERIES_AT_ONCE):
+                part = [dict(k) for k in new[low : low + QUERIES_AT_ONCE]]
+                nearest = model.index.nearest_of(part, NEIGHBOURS) if model.index else [[] for _ in part]
+                for key, vector, near in zip(new[low : low + QUERIES_AT_ONCE], part, nearest):
                     remembered[key] = model.score(vector, near), [{"doc_id": model.ids[e], "cosine": c, "label": model.labels[e]} for c, e in near]
-                one, found = remembered[key]
-                scores.append(one)
-                evidence.append(found)
+            scores, evidence = [remembered[k][0] for k in keys], [remembered[k][1] for k in keys]
             predicted = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.list_(example))],
                                              ["doc_id", "score", "predicted", "evidence"])
