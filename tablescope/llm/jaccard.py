@@ -24,6 +24,7 @@ names a component; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -332,12 +333,23 @@ def _tokens_in(sets: DataFrame, column: str) -> int:
     return int(sets.agg(F.sum(size)).first()[0] or 0)
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; linked: |A and B| * 100 >= percent * |A or B|."""
+@dataclass
+class Classes:
+    """What a join finds: its documents (doc_id, n, class), the classes of those with shingles (class, smallest, n,
+    copies), the sets of the classes that may have partners (class, n, shingles), and the components of linked classes
+    (class, component)."""
+
+    rows: DataFrame
+    classes: DataFrame
+    sets: DataFrame
+    component: DataFrame
+
+
+def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Classes:
     rows = stored(_sets(docs, words, percent))
     full = rows.filter("n > 0")
     shared = _shared_counts(_dealt(full, _bucket_count(_tokens_in(full, "tokens"))))
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"))
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     needed = F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) * LONGER) + 1
     partners = stored(classes.join(shared, "class").filter(F.col("shared") >= needed).select("class", "smallest"))
     chosen = small(partners.select(F.col("smallest").alias("_smallest")).distinct(), 1_000_000)
@@ -347,12 +359,19 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     postings = stored(_prefix_postings(_dealt(sets, _bucket_count(tokens)), _bucket_count(tokens), percent))
     first = stored(_verified(_first_pairs(postings, percent), sets, percent))
     other = _verified(_other_pairs(postings, connected(first), percent), sets, percent)
-    component = connected(first.unionByName(other))
-    named = classes.select("class", "smallest").join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return Classes(rows, classes, sets, connected(first.unionByName(other)))
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; linked: |A and B| * 100 >= percent * |A or B|.
+
+    The links themselves, and how many each document has, come from ``links``."""
+    found = classes_of(docs, words, percent)
+    named = found.classes.select("class", "smallest").join(found.component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     named = named.join(names, "component").select("class", "component_id")
-    out = full.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = found.rows.filter("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = found.rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
