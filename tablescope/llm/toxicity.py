@@ -8,7 +8,8 @@ by falling bound and stops when no unseen block can hold a nearer example, so th
 Their votes, weighed by squared cosine and by how many labelled rows an example stands for, are calibrated by
 isotonic steps fitted to the examples with each left out in turn.  The neighbours are the evidence.
 
-Only the kept terms (``MOST_TERMS``) and the examples reach the driver.  Defined results: texts without a kept term,
+The cosine is exact over the kept terms, all that pass; the others' are left out, which finds more (figures: README).
+Only the kept terms, of the bounded sample, and the examples reach the driver.  Defined results: texts without a kept term,
 also null and empty ones, get the share of label 1 among such examples, and no evidence; without any labelled row the
 score is 0; ties in cosine go to the smaller example number; a doc_id labelled twice counts with its higher label;
 an empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm.common import documents, fold, text_batches
 
-PER_CLASS, MOST_TERMS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 4_096, 15, 64, 0.3
+PER_CLASS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 15, 64, 0.3
 #: Distinct query vectors whose answers a worker remembers, and queries that a search takes at once.
 REMEMBERED, QUERIES_AT_ONCE = 20_000, 128
 _TERM = re.compile(r"[^\W_]+")
@@ -183,7 +184,7 @@ def _kept_terms(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
     for label, size in enumerate(sizes):
         held = F.col("0") + F.col("1")
         g = g + part(F.col(str(label)), held * size / total) + part(size - F.col(str(label)), (total - held) * size / total)
-    kept = counts.select("term", F.round(2 * g, 6).alias("g")).filter(F.col("g") > 2 * np.log(20.0 * tried)).orderBy(F.desc("g"), "term").limit(MOST_TERMS)
+    kept = counts.select("term", F.round(2 * g, 6).alias("g")).filter(F.col("g") > 2 * np.log(20.0 * tried)).orderBy(F.desc("g"), "term")
     found = [r["term"] for r in kept.collect()]
     counts.unpersist()
     return found
