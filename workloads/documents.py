@@ -357,6 +357,15 @@ def _flatten(spark, sf):
     return longs(flat.filter(F.col("Path").isin(*wanted)), "Depth", "Child Count")
 
 
+def _flatten_all(spark, sf):
+    """All elements of every document."""
+    flat = X.flatten_xml(elements(instances(spark, sf)))
+    return longs(flat, "node_id", "Depth", "Child Count")
+
+
+QUERIES["flatten_xml_all"] = _flatten_all
+
+
 @query("xml_element_counts", "select count(*) * 28 as elements, count(*) as documents from orders")
 def _element_counts(spark, sf):
     return elements(instances(spark, sf)).agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("doc_id").alias("documents"))
@@ -395,6 +404,14 @@ def _xbrl_notes(spark, sf):
     return df.filter(F.col("row_no") > 2).select("doc_id", "row_no", "note", "section")
 
 
+def _xbrl_notes_all(spark, sf):
+    """The notes of every fact."""
+    return X.xbrl_facts(stored(instances(spark, sf))).select("doc_id", "row_no", "note", "section")
+
+
+QUERIES["xbrl_fact_notes_all"] = _xbrl_notes_all
+
+
 @query("documents_from_workbook", f"""with {FACTS}
 select {_BOOK} as workbook, count(*) as rows, 'items' as kind from facts group by doc_id
 union all select 'c' || (c_custkey // 100), count(*) * 4, 'records' from customer group by 1""")

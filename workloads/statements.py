@@ -568,6 +568,18 @@ def _balance(spark, sf):
     return rounded(K.balance_equation_check(rows, D.choose_periods(rows)), 2)
 
 
+def _all_checks(spark, sf):
+    """All checks, also the balance equation of each period."""
+    rows = items(spark, sf)
+    periods = D.choose_periods(rows)
+    summary = D.statement_summary(D.statement_membership(rows))
+    found = K.document_checks(rows, periods, summary, D.document_confidence(rows, periods))
+    return rounded(found.select("doc_id", "kind", "status", "period", "lhs", "rhs", "diff"), 2)
+
+
+QUERIES["document_checks_all"] = _all_checks
+
+
 @query("document_checks", f"""with {DOCUMENTS}
 select doc_id, 'period_consistency' as kind, case when count(*) filter (where n > 0 and statement <> 'unknown') = 3 then 'pass' else 'warn' end as status from sm group by 1
 union all select doc_id, 'extraction_quality', case when conf >= 0.65 then 'pass' when conf >= 0.35 then 'warn' else 'fail' end from dq""")

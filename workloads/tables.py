@@ -684,6 +684,15 @@ def _reasons(spark, sf):
     return roles.select("dataset_id", "column", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _reasons_of_all(spark, sf):
+    """Every column of every report table."""
+    return _roles(spark, sf).select("dataset_id", "column", F.array_join("reasons", "; ").alias("reasons"))
+
+
+QUERIES["role_reasons_all"] = _reasons_of_all
+ORACLES["role_reasons_all"] = ORACLES["role_reasons"].replace(" where ds in ('customer', 'events')", "")
+
+
 @query("rank_measures", f"""with {SQL_OVERVIEW}
 select ds as dataset_id, rk as rank, col as "column" from mr""")
 def _rank_measures(spark, sf):
