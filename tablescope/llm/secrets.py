@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from re import _constants as sre, _parser as sre_parser
 
 import numpy as np
@@ -55,6 +55,17 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+_BREAK, _END_OF_TOKEN = r"(?:\s|\\[nr])", r"(?![^\s\\\"',])"
+#: A whole key: its header, header fields, and base64 up to END or, without END, to the last line of base64.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*\n[A-Za-z][A-Za-z-]*: [^\n]*)*"
+    rf"(?:(?:[A-Za-z0-9+/=]|{_BREAK})*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}}{_END_OF_TOKEN})+(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:\n|\\|\Z)))?"
+    rf"|)"
+)
+#: What is redacted: as ``RULES``, whose private_key finds the header only, but the whole key.
+REDACTED = tuple(replace(r, pattern=PRIVATE_KEY) if r.kind == "private_key" else r for r in RULES)
+
 # Boolean queries: ("all",), ("tri", code), ("and", queries), ("or", queries) ------------------------------
 
 ALL = ("all",)
@@ -254,7 +265,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         run, f"doc_id {doc_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; each span (overlapping ones as one) is replaced, and n_chars follows if it is there."""
     names = docs.columns
 
