@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_OPERATORS = ("chats", "fingerprints", "jaccard", "language", "merkle", "mixing", "packing", "pieces", "quality", "secrets", "token_counts", "toxicity")
+_OPERATORS = ("chats", "fingerprints", "jaccard", "language", "merkle", "mixing", "packing", "pieces", "quality", "repeats", "secrets", "token_counts", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
