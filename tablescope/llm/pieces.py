@@ -19,9 +19,12 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,7 +32,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablescope.llm.common import documents, text_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-MARK, REMEMBERED, SHORT, _NEVER = "▁", 1 << 19, 32, float("inf")
+#: Spans that a worker remembers before it starts anew; spans up to ``SHORT`` characters are encoded many at once.
+MARK, REMEMBERED, SHORT = "▁", 1 << 19, 32
+
+
+def _without(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The table without one column of each row."""
+    return table[np.arange(table.shape[1]) != at[:, None]].reshape(len(table), -1)
+
+
+class Remembered(dict):
+    """Ids by span; an unknown span gets an empty list, to be filled by whoever takes ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, span: str) -> list[int]:
+        self[span] = ids = []
+        self.new.append(span)
+        return ids
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -85,29 +107,60 @@ class Vocabulary:
         inner = "".join(sorted(set("".join(longer)) - {MARK}))
         inside = f"[{re.escape(inner)}]"
         self.spans = re.compile(f"{MARK}+{inside}*|{inside}+|.", re.DOTALL)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered()
+        singles = [p for p in self.ids if len(p) == 1]
+        self.plain = re.compile(f"[{re.escape(''.join(singles))}]*")
+        self.of_char = np.zeros(0x110000, dtype=np.int32)
+        for char in singles:
+            self.of_char[ord(char)] = self.ids[char]
+        #: Pairs of pieces that join to a piece, as left id * size + right id; the last entry is for all other pairs.
+        self.size = len(model.pieces)
+        halves = [(self.ids.get(p[:k]), self.ids.get(p[k:]), p) for p in longer for k in range(1, len(p))]
+        joins = [(a * self.size + b, self.ids[p], self.costs[p]) for a, b, p in halves if a is not None and b is not None]
+        self.pairs = pd.Index(np.array([j[0] for j in joins], dtype=np.int64))
+        self.pair_ids = np.array([*(j[1] for j in joins), -1], dtype=np.int32)
+        self.pair_costs = np.array([*(j[2] for j in joins), np.inf], dtype=np.float32)
+
+    def joined_alike(self, spans: list[str]) -> list[list[int]]:
+        """The ids that the agenda leaves of spans of one length whose characters are all pieces.
+
+        Each span has an agenda of one cost for each adjacent pair, and all spans take their best pair at once.
+        """
+        rows = np.frombuffer("".join(spans).encode("utf-32-le"), dtype="<u4").reshape(len(spans), -1)
+        symbols = self.of_char[rows]
+        costs = self._cost(symbols[:, :-1], symbols[:, 1:])
+        left: list[list[int]] = [[]] * len(spans)
+        of = np.arange(len(spans))
+        while len(of):
+            # A column less each round: spans without a joinable pair are done, all others join one.
+            if costs.shape[1]:
+                best = costs.argmin(axis=1)
+                done = costs[np.arange(len(of)), best] == np.inf
+            else:
+                best, done = np.zeros(len(of), dtype=np.int64), np.ones(len(of), dtype=bool)
+            for k, ids in zip(of[done].tolist(), symbols[done].tolist()):
+                left[k] = ids
+            of, symbols, costs, best = of[~done], symbols[~done], costs[~done], best[~done]
+            if not len(of):
+                break
+            at = np.arange(len(of))
+            pairs = self._pair(symbols[at, best], symbols[at, best + 1])
+            symbols = _without(symbols, best + 1)
+            symbols[at, best] = self.pair_ids[self.pairs.get_indexer(pairs)]
+            costs = _without(costs, best)
+            before, behind = best > 0, best < costs.shape[1]
+            costs[at[before], best[before] - 1] = self._cost(symbols[at[before], best[before] - 1], symbols[at[before], best[before]])
+            costs[at[behind], best[behind]] = self._cost(symbols[at[behind], best[behind]], symbols[at[behind], best[behind] + 1])
+        return left
+
+    def _cost(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.pair_costs[self.pairs.get_indexer(self._pair(left, right).ravel())].reshape(left.shape)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) * self.size + right
 
     def joined(self, span: str) -> list[str]:
-        """The pieces that the agenda leaves of a span."""
-        return self._joined_short(span) if len(span) <= SHORT else self._joined_long(span)
-
-    def _joined_short(self, span: str) -> list[str]:
-        """The agenda as a list with one cost for each adjacent pair: for short spans faster than a heap."""
-        cost = self.costs.get
-        pieces = list(span)
-        agenda = [cost(a + b, _NEVER) for a, b in zip(pieces, pieces[1:])]
-        while agenda and (least := min(agenda)) != _NEVER:
-            at = agenda.index(least)
-            pieces[at] += pieces.pop(at + 1)
-            del agenda[at]
-            if at:
-                agenda[at - 1] = cost(pieces[at - 1] + pieces[at], _NEVER)
-            if at < len(agenda):
-                agenda[at] = cost(pieces[at] + pieces[at + 1], _NEVER)
-        return pieces
-
-    def _joined_long(self, span: str) -> list[str]:
-        """The agenda as a heap; pairs of which one side has been joined meanwhile are passed over."""
+        """The pieces that the agenda leaves of any span: a heap; pairs of which one side has been joined meanwhile are passed over."""
         size = len(span)
         pieces, before, after = list(span), list(range(-1, size - 1)), list(range(1, size + 1))
         agenda: list[tuple[float, int, int, int]] = []
@@ -133,26 +186,34 @@ class Vocabulary:
                 propose(before[left], left)
         return [p for p in pieces if p]
 
-    def span_ids(self, span: str) -> tuple[int, ...]:
-        found = self.known.get(span)
-        if found is None:
-            ids: list[int] = []
-            for piece in self.joined(span):
-                number = self.ids.get(piece)
-                ids += [number] if number is not None else [self.byte_ids[b] for b in piece.encode()]
-            found = tuple(ids)
-            if len(span) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[span] = found
-        return found
-
-    def encode(self, text: str, end: bool = True) -> list[int]:
+    def span_ids(self, span: str) -> list[int]:
         ids: list[int] = []
-        if text:
-            for span in self.spans.findall(MARK + text.replace(" ", MARK)):
-                ids += self.known.get(span) or self.span_ids(span)
-        return [*ids, self.end] if end else ids
+        for piece in self.joined(span):
+            number = self.ids.get(piece)
+            ids += [number] if number is not None else [self.byte_ids[b] for b in piece.encode()]
+        return ids
+
+    def encode(self, texts: list[str], end: bool = True) -> list[list[int]]:
+        """The ids of every text."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        recall = self.known.__getitem__
+        found = [list(map(recall, self.spans.findall(MARK + t.replace(" ", MARK)))) if t else [] for t in texts]
+        alike: dict[int, list[str]] = {}
+        for span in self.known.new:
+            if len(span) <= SHORT and self.plain.fullmatch(span):
+                alike.setdefault(len(span), []).append(span)
+            else:
+                recall(span).extend(self.span_ids(span))
+        for spans in alike.values():
+            for span, ids in zip(spans, self.joined_alike(spans)):
+                recall(span).extend(ids)
+        for span in self.known.new:
+            if len(span) > SHORT:
+                del self.known[span]
+        self.known.new.clear()
+        tail = [self.end] if end else []
+        return [[*itertools.chain.from_iterable(parts), *tail] for parts in found]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of some ids: the blank put in front goes, control ids say nothing and end a run of byte pieces."""
@@ -187,7 +248,7 @@ def encoded(docs: DataFrame, path: str = MODEL, end: bool = True, check: bool =
 
         own, library = vocabulary(path), SentencePieceProcessor(model_file=path) if check else None
         for batch, texts in text_batches(batches, 1_000_000):
-            ids = [own.encode(t, end) for t in texts]
+            ids = own.encode(texts, end)
             texts_again = [own.decode(i) for i in ids]
             agrees = [None] * len(ids)
             if library:
