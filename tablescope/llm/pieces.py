@@ -2,13 +2,14 @@
 
 A text starts as single characters, blanks written as a visible mark and one mark put in front.  An agenda holds the
 adjacent pairs whose joined string is a piece, best score first and leftmost among equals; the top pair is joined, and
-its new neighbours enter the agenda.  Characters without a piece become byte pieces.  Every text is also encoded by
-the sentencepiece library in the same Arrow batch; ``agrees`` says whether both give the same ids and decoded text.
+its new neighbours enter the agenda.  Characters without a piece become byte pieces.  In every Arrow batch the
+sentencepiece library encodes each span that is new to the worker and decodes all ids; ``agrees`` says whether it has
+the same ids for all spans of a text and the same decoded text.
 
 Texts fall into spans that no piece crosses: between a mark and a character before it, and around characters that are
 in no longer piece.  Joins in one span never touch another, so that spans are encoded by themselves, and frequent ones
-are remembered (at most ``REMEMBERED`` a worker; a span of any length is encoded whole).  The rule is derived from the
-vocabulary, which is refused if it breaks it.
+are remembered (about ``REMEMBERED`` a worker; a span of any length is encoded whole).  The rule is derived from the
+vocabulary, which is refused if it breaks it; tests compare whole texts with the library.
 
 Defined results: null texts are empty, and an empty text has the end id alone; equal texts get equal results; an empty
 table gives no rows; other columns are ignored.
@@ -42,16 +43,18 @@ def _without(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Remembered(dict):
-    """Ids by span; an unknown span gets an empty list, to be filled by whoever takes ``new``."""
+    """Numbers of spans; ``ids`` has what each stands for, and ``new`` the spans whose ids are still to be found."""
 
     def __init__(self) -> None:
         super().__init__()
+        self.ids: list[tuple[int, ...]] = []
         self.new: list[str] = []
 
-    def __missing__(self, span: str) -> list[int]:
-        self[span] = ids = []
+    def __missing__(self, span: str) -> int:
+        self[span] = number = len(self.ids)
+        self.ids.append(())
         self.new.append(span)
-        return ids
+        return number
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -65,8 +68,8 @@ codecs.register_error("each_byte", _each_byte)
 class Vocabulary:
     """Pieces of a model file of the merge type, with byte pieces for everything else."""
 
-    def __init__(self, path: str = MODEL) -> None:
-        from sentencepiece import sentencepiece_model_pb2 as proto
+    def __init__(self, path: str = MODEL, check: bool = True) -> None:
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
         with open(path, "rb") as file:
@@ -80,7 +83,7 @@ class Vocabulary:
         #: Minus the score, so that the best pair is the least.
         self.costs: dict[str, float] = {}
         self.byte_ids = [0] * 256
-        #: What each id stands for; ids of raw bytes and control ids.
+        #: What each id stands for; ids whose blank in front is their own, and control ids.
         self.surfaces: list[bytes] = []
         self.raw: set[int] = set()
         self.control: set[int] = set()
@@ -95,6 +98,7 @@ class Vocabulary:
                 self.raw.add(number)
             elif piece.type == kinds.UNKNOWN:
                 surface = trained.unk_surface.encode()
+                self.raw.add(number)
             elif piece.type == kinds.CONTROL:
                 self.control.add(number)
             else:
@@ -107,7 +111,9 @@ class Vocabulary:
         inner = "".join(sorted(set("".join(longer)) - {MARK}))
         inside = f"[{re.escape(inner)}]"
         self.spans = re.compile(f"{MARK}+{inside}*|{inside}+|.", re.DOTALL)
-        self.known = Remembered()
+        self.known, self.differs = Remembered(), set()
+        normal.add_dummy_prefix = False
+        self.library = SentencePieceProcessor(model_proto=model.SerializeToString()) if check else None
         singles = [p for p in self.ids if len(p) == 1]
         self.plain = re.compile(f"[{re.escape(''.join(singles))}]*")
         self.of_char = np.zeros(0x110000, dtype=np.int32)
@@ -193,27 +199,34 @@ class Vocabulary:
             ids += [number] if number is not None else [self.byte_ids[b] for b in piece.encode()]
         return ids
 
-    def encode(self, texts: list[str], end: bool = True) -> list[list[int]]:
-        """The ids of every text."""
+    def spans_of(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of every text's spans; the ids of new spans are found and compared with the library's."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        recall = self.known.__getitem__
+            self.known, self.differs = Remembered(), set()
+        known, recall = self.known, self.known.__getitem__
         found = [list(map(recall, self.spans.findall(MARK + t.replace(" ", MARK)))) if t else [] for t in texts]
         alike: dict[int, list[str]] = {}
-        for span in self.known.new:
+        for span in known.new:
             if len(span) <= SHORT and self.plain.fullmatch(span):
                 alike.setdefault(len(span), []).append(span)
             else:
-                recall(span).extend(self.span_ids(span))
+                known.ids[known[span]] = tuple(self.span_ids(span))
         for spans in alike.values():
             for span, ids in zip(spans, self.joined_alike(spans)):
-                recall(span).extend(ids)
-        for span in self.known.new:
-            if len(span) > SHORT:
-                del self.known[span]
-        self.known.new.clear()
-        tail = [self.end] if end else []
-        return [[*itertools.chain.from_iterable(parts), *tail] for parts in found]
+                known.ids[known[span]] = tuple(ids)
+        if self.library and known.new:
+            theirs = self.library.encode([span.replace(MARK, " ") for span in known.new], num_threads=1)
+            self.differs.update(known[span] for span, ids in zip(known.new, theirs) if known.ids[known[span]] != tuple(ids))
+        known.new.clear()
+        return found
+
+    def ids_of(self, found: list[list[int]], end: bool = True) -> list[list[int]]:
+        """The ids of texts from the numbers of their spans."""
+        recall, tail = self.known.ids.__getitem__, [self.end] if end else []
+        return [[*itertools.chain.from_iterable(map(recall, spans)), *tail] for spans in found]
+
+    def encode(self, texts: list[str], end: bool = True) -> list[list[int]]:
+        return self.ids_of(self.spans_of(texts), end)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of some ids: the blank put in front goes, control ids say nothing and end a run of byte pieces."""
@@ -234,9 +247,9 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=1)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, check: bool = True) -> Vocabulary:
     """One vocabulary, with the spans it remembers, for all tasks of a worker."""
-    return Vocabulary(path)
+    return Vocabulary(path, check)
 
 
 def encoded(docs: DataFrame, path: str = MODEL, end: bool = True, check: bool = True) -> DataFrame:
@@ -246,14 +259,14 @@ def encoded(docs: DataFrame, path: str = MODEL, end: bool = True, check: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
-        own, library = vocabulary(path), SentencePieceProcessor(model_file=path) if check else None
+        own, library = vocabulary(path, check), SentencePieceProcessor(model_file=path) if check else None
         for batch, texts in text_batches(batches, 1_000_000):
-            ids = own.encode(texts, end)
+            spans = own.spans_of(texts)
+            ids = own.ids_of(spans, end)
             texts_again = [own.decode(i) for i in ids]
             agrees = [None] * len(ids)
             if library:
-                theirs = zip(library.encode(texts, add_eos=end, num_threads=1), library.decode(ids, num_threads=1))
-                agrees = [pair == own_pair for pair, own_pair in zip(theirs, zip(ids, texts_again))]
+                agrees = [own.differs.isdisjoint(s) and d == t for s, d, t in zip(spans, texts_again, library.decode(ids, num_threads=1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts_again, pa.string()), pa.array(agrees, pa.bool_())],
                 ["doc_id", "ids", "decoded", "agrees"])
