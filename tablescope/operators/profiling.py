@@ -1,34 +1,30 @@
 """Type inference and column profiles.
 
-Types, completeness, ranges, distinct counts and top values come from value
-counts that are merged per task before the shuffle.  The generated code does
-not grow with the number of columns.  The exact median narrows the values by a
+Types, completeness, ranges and distinct counts come from mergeable states
+(``values``), top values from counts by digest: no text is a shuffle key.  The
+generated code does not grow with the number of columns.  The exact median narrows the values by a
 bounded sketch before anything is sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescope.functions.cells import cell, quoted
-from tablescope.functions.text import trim_ws
-from tablescope.functions.values import (
-    infer_number_kind,
-    is_numeric_type,
-    is_whole,
-    parse_boolean,
-    parse_date,
-    parse_number,
-)
+from tablescope.functions.values import infer_number_kind, is_numeric_type, is_whole
 from tablescope.operators.aggregates import TOP_GROUPS, histogram_of_values, regrouped
+from tablescope.operators.values import DIGEST, cells, column_values, head_counts, is_scalar, named, values_of_tables, whole_texts
+from tablescope.session import stored
 
 # Fixed value: share of cells that must read as a number or date.
 TYPE_SHARE = 0.95
 
 _SKETCH = 10_000  # accuracy of the quantile sketch that brackets the median
 _SLICES = 4_096  # equal slices of the bracket
+_FEW = 10_000  # digests (16 bytes and keys) that may be broadcast
 
 
 def _by(by: Sequence[str]) -> list[Column]:
@@ -50,115 +46,35 @@ def inferred_type(filled: Column, bools: Column, numbers: Column, wholes: Column
     )
 
 
-def cell_rows(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Filled cells as rows ``(column, value, _text, _x, _b, _d)``.
+def scalars_of(values: DataFrame, keys: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row per column from its state: type, completeness, range, mean.
 
-    ``value`` is the trimmed text.  Native numbers, booleans and dates come
-    along; cells of text columns (``_text``) are parsed later.
+    ``keys`` end with the column.  The rows of a state are distinct values with
+    their counts; without ``exact`` they are cells, and the number of distinct
+    ones is estimated.
     """
-    parts = []
-    for name in names:
-        view, is_text = cell(df, name), isinstance(df.schema[name].dataType, T.StringType)
-        nothing = F.lit(None)
-        parts.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.when(~view.missing, trim_ws(view.text)).alias("value"),
-                F.lit(is_text).alias("_text"),
-                (nothing.cast("double") if is_text else view.number).alias("_x"),
-                (nothing.cast("boolean") if is_text else view.boolean).alias("_b"),
-                (nothing.cast("timestamp") if is_text else view.moment.cast("timestamp")).alias("_d"),
-            )
-        )
-    return df.select(*_by(by), F.inline(F.array(*parts))).filter(F.col("value").isNotNull())
-
-
-def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows ``(column, value, n, ...)`` of the distinct trimmed values of columns.
-
-    Equal values are merged per task before the shuffle, so a value that fills
-    a third of a table travels once per task.
-    """
-    return (
-        cell_rows(df, names, by)
-        .groupBy(*by, "column", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.max("_text").alias("_text"), F.max("_x").alias("_x"),
-            F.max("_b").alias("_b"), F.max("_d").alias("_d"),
-        )
-    )
-
-
-def _readings(values: DataFrame) -> DataFrame:
-    """Parse the values of text columns; numbers win over dates."""
-    read = (
-        values.withColumn("_px", F.when(F.col("_text"), parse_number(F.col("value"))))
-        .withColumn("_pb", F.when(F.col("_text"), parse_boolean(F.col("value"))))
-    )
-    read = read.withColumn(
-        "_pd", F.when(F.col("_text") & F.col("_px").isNull(), parse_date(F.col("value")))
-    )
-    return read.withColumn("_x", F.coalesce("_x", "_px")).withColumn(
-        "_b", F.coalesce("_b", "_pb")
-    ).withColumn("_d", F.coalesce("_d", "_pd"))
-
-
-def _table_rows(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per column (and key) with its place and the number of rows."""
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("column_index")) for i, c in enumerate(names)
-    ])
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).select(*by, F.inline(entries), "total")
-
-
-def column_scalars(
-    df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), exact: bool = True
-) -> DataFrame:
-    """One row per column: type, completeness, range, mean.
-
-    Exact statistics come from the value counts, so that each distinct value is
-    parsed once.  ``exact=False`` skips the shuffle of values and estimates the
-    number of distinct ones.
-    """
-    names = _columns(df, cols, by)
-    keys = [*by, "column"]
-    if exact:
-        values = _readings(value_counts(df, names, by))
-        unique = F.count(F.lit(1))
-    else:
-        values = _readings(cell_rows(df, names, by).withColumn("n", F.lit(1)))
-        unique = F.approx_count_distinct("value", 0.01)
-    n, x, d = F.col("n"), F.col("_x"), F.col("_d")
+    n, x, d, filled = F.col("n"), F.col("x"), F.col("d"), F.col("h1").isNotNull()
+    unique = F.count_if(filled) if exact else F.approx_count_distinct("h1", 0.01)
 
     def rows_with(condition: Column) -> Column:
         return F.sum(F.when(condition, n).otherwise(0))
 
     sums = values.groupBy(*keys).agg(
-        F.sum(n).alias("filled"),
-        unique.alias("unique_count"),
-        rows_with(F.col("_b").isNotNull()).alias("bools"),
-        rows_with(x.isNotNull()).alias("numbers"),
-        rows_with(is_whole(x)).alias("wholes"),
-        rows_with(d.isNotNull()).alias("dates"),
-        F.sum(F.length("value") * n).alias("chars"),
+        F.min("column_index").alias("column_index"), F.sum(n).alias("total"), rows_with(filled).alias("filled"),
+        unique.alias("unique_count"), rows_with(F.col("b").isNotNull()).alias("bools"),
+        rows_with(x.isNotNull()).alias("numbers"), rows_with(is_whole(x)).alias("wholes"),
+        rows_with(d.isNotNull()).alias("dates"), F.sum(F.col("len") * n).alias("chars"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * n).alias("sum"),
         F.min(d).alias("first_ts"), F.max(d).alias("last_ts"),
     )
-    places = _table_rows(df, names, by)
-    if by:
-        rows = places.join(sums, keys, "left")
-    else:
-        rows = places.join(F.broadcast(sums), keys, "left")  # one row per column
-    zeros = ["filled", "unique_count", "bools", "numbers", "wholes", "dates", "chars"]
-    rows = rows.select(
-        *keys, "column_index", "total",
-        *[F.coalesce(z, F.lit(0)).cast("long").alias(z) for z in zeros],
-        "min", "max", "sum", "first_ts", "last_ts",
-    )
+    return _scalars(sums, keys)
+
+
+def _scalars(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     c = F.col
     kind = inferred_type(c("filled"), c("bools"), c("numbers"), c("wholes"), c("dates"))
     numeric, dated = is_numeric_type(c("inferred_type")), c("inferred_type") == "date"
-    return rows.withColumn("inferred_type", kind).select(
+    return sums.withColumn("inferred_type", kind).select(
         *keys, "column_index", "inferred_type", "total", "filled",
         (c("total") - c("filled")).alias("missing"),
         F.when(c("total") == 0, 0.0)
@@ -173,6 +89,46 @@ def column_scalars(
     )
 
 
+def _with_empty(rows: DataFrame, tables: Mapping[str | None, Sequence[str]], keys: Sequence[str]) -> DataFrame:
+    """Adds the columns of tables without rows; the names come from the schemas."""
+    entries = [
+        F.struct(*([] if t is None else [F.lit(t).alias("dataset_id")]), F.lit(c).alias("column"), F.lit(i).alias("_place"))
+        for t, names in tables.items() for i, c in enumerate(names)
+    ]
+    places = rows.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*entries)))
+    whole = places.join(rows, list(keys), "left")
+    zeros = {"total": 0, "filled": 0, "missing": 0, "missing_pct": 0.0, "unique_count": 0, "avg_length": 0.0}
+    return whole.withColumns({
+        "column_index": F.col("_place"), "inferred_type": F.coalesce("inferred_type", F.lit("string")),
+        **{k: F.coalesce(k, F.lit(v)) for k, v in zeros.items()}}).select(*rows.columns)
+
+
+def column_scalars(
+    df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), exact: bool = True
+) -> DataFrame:
+    """One row per column: type, completeness, range, mean.
+
+    Exact statistics come from the distinct values, which travel as digests.
+    ``exact=False`` skips their shuffle and estimates how many there are.
+    """
+    names = _columns(df, cols, by)
+    if exact:
+        values = column_values(df, names, by)
+    else:
+        values = named(cells(df, names, by).withColumn("n", F.lit(1)), names)
+    rows = scalars_of(values, [*by, "column"], exact)
+    return rows if by else _with_empty(rows, {None: names}, ["column"])
+
+
+def scalars_of_tables(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
+    """Scalar profiles of the columns of many tables, keyed by ``dataset_id``, in one job."""
+    if not exact:
+        return reduce(DataFrame.unionByName, [column_stats(df, name, exact=False) for name, df in tables.items()])
+    keys = ["dataset_id", "column"]
+    rows = scalars_of(values_of_tables(tables), keys)
+    return _with_empty(rows, {name: df.columns for name, df in tables.items()}, keys)
+
+
 def infer_types(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Inferred type of each column, from all its cells."""
     return column_scalars(df, cols, by).select(*by, "column", "inferred_type")
@@ -181,7 +137,8 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[s
 def numeric_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Readable numbers of several columns as rows ``(column, _x)``."""
     pairs = [F.struct(F.lit(c).alias("column"), cell(df, c).number.alias("_x")) for c in cols]
-    return df.select(*_by(by), F.inline(F.array(*pairs))).filter(F.col("_x").isNotNull())
+    nothing = F.array().cast("array<struct<column:string,_x:double>>")
+    return df.select(*_by(by), F.inline(F.array(*pairs) if pairs else nothing)).filter(F.col("_x").isNotNull())
 
 
 def medians(values: DataFrame, by: Sequence[str], few_keys: bool = True) -> DataFrame:
@@ -263,13 +220,28 @@ def top_values(
 ) -> DataFrame:
     """Most frequent values per column, then ``+ N more`` for the rest.
 
-    Ranking is limited per task before the shuffle, so a column of unique
-    values sends ``limit`` rows per task; the rest follows from the totals.
+    Values are counted by digest and ranked by count and their first
+    characters, in each task before the shuffle.  Longer values among the first
+    ``limit``, and those that share count and start with the last of them, get
+    their texts from a second scan and are ranked again by the whole text.
     """
-    keys = [*by, "column"]
-    counts = value_counts(df, _columns(df, cols, by), by)
-    ranking = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("value").asc())
-    top = counts.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= limit)
+    names = _columns(df, cols, by)
+    keys = [*by, "column_index"]
+    counts = head_counts(df, names, by)
+    ranking = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("head").asc(), F.col("more").asc())
+    top = counts.withColumn("_rank", F.rank().over(ranking)).filter(F.col("_rank") <= limit)
+    if any(not is_scalar(df, name) for name in names):
+        top = stored(top)
+        longer = top.filter("more").select(*keys, *DIGEST)
+        # Few, unless values differ behind the same long start only: then the join is left to Spark.
+        few = longer.limit(_FEW + 1).count() <= _FEW
+        texts = whole_texts(df, names, F.broadcast(longer) if few else longer, by)
+        on = reduce(Column.__and__, [top[k].eqNullSafe(texts[k]) for k in [*keys, *DIGEST]])
+        top = top.join(texts, on, "left").select(*[top[c] for c in top.columns], F.coalesce("text", "head").alias("value"))
+    else:
+        top = top.withColumn("value", F.col("head"))
+    final = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("value").asc())
+    top = top.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= limit)
     whole = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_rows"))
     shown = top.groupBy(*keys).agg(F.sum("n").alias("_shown"))
     rest = (
@@ -281,7 +253,8 @@ def top_values(
             (F.col("_rows") - F.col("_shown")).alias("count"),
         )
     )
-    return top.select(*keys, "rank", "value", F.col("n").alias("count")).unionByName(rest)
+    rows = top.select(*keys, "rank", "value", F.col("n").alias("count")).unionByName(rest)
+    return named(rows, names).select(*by, "column", "rank", "value", "count")
 
 
 def column_stats(df: DataFrame, dataset_id: str | None = None, by: Sequence[str] = (),
@@ -298,17 +271,22 @@ def profile(df: DataFrame, dataset_id: str | None = None, by: Sequence[str] = ()
     """Full profile, one row per column.
 
     Medians and histograms are given for numeric columns, top values for the
-    others.  All arrays are bounded (12 bins, 9 values).
+    others; the scalar profile, stored first, says which are which, so that no
+    column is read for what it lacks.  All arrays are bounded (12 bins, 9 values).
     """
-    names = _columns(df, None, by)
     keys = [*by, "column"]
-    stats = column_stats(df, None, by, exact)
-    values = numeric_long(df, names, by)
-    spread = numeric_stats(df, names, by, exact).select(*keys, "median", "std_dev")
+    stats = stored(column_stats(df, None, by, exact))
+    # One name per column of the schema: which readings each column needs.
+    kinds = stats.groupBy("column").agg(F.max(is_numeric_type(F.col("inferred_type"))), F.min(is_numeric_type(F.col("inferred_type"))))
+    some, every = ({r[0] for r in kinds.collect() if r[k]} for k in (1, 2))
+    names = _columns(df, None, by)
+    numbers, others = [c for c in names if c in some], [c for c in names if c not in every]
+    values = numeric_long(df, numbers, by)
+    spread = numeric_stats(df, numbers, by, exact).select(*keys, "median", "std_dev")
     bins = histogram_of_values(values, keys, few_keys=not by).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("bin", "start", "end", "count", "label"))).alias("histogram")
     )
-    top = top_values(df, names, by=by).groupBy(*keys).agg(
+    top = top_values(df, others, by=by).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("top_values")
     )
     numeric = is_numeric_type(F.col("inferred_type"))

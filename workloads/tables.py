@@ -432,6 +432,7 @@ COLUMNS = {
                 "l_tax:n l_returnflag:s l_linestatus:s l_shipdate:t",
     "events": "event_id:n ts:t user_id:n event_type:s value:n props:s",
     "documents": "doc_id:n text:s lang:s source:s n_chars:n",
+    "embeddings": "vec_id:n embedding:a label:n",
     "pages": "page_id:n url:s html:s",
     "benchmark": "item_id:n text:s",
     "labels": "doc_id:n quality:n toxic:n",
@@ -450,8 +451,10 @@ def sql_cells(name: str, source: str | None = None) -> str:
                          f"cast({col} as double) as x, null::timestamp as d from {source or name}")
         elif kind == "t":
             text = (f"case when {col} = date_trunc('day', {col}) then strftime({col}, '%Y-%m-%d') "
-                    f"else strftime({col}, '%Y-%m-%dT%H:%M:%S') end")
+                    f"else regexp_replace(strftime({col}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') end")
             parts.append(f"select '{name}', '{col}', {i}, {text}, null, {col} from {source or name}")
+        elif kind == "a":
+            parts.append(f"select '{name}', '{col}', {i}, cast({col} as varchar), null, null from {source or name}")
         else:
             number = (f"case when regexp_full_match({sql_trim(col)}, '[-+]?[0-9]+(\\.[0-9]+)?') "
                       f"then try_cast({sql_trim(col)} as double) end")
@@ -617,7 +620,7 @@ def _canonical(spark, sf):
 
 # Roles and reports --------------------------------------------------------
 
-_REPORT_TABLES = tuple(t for t in TABLES if t != "embeddings")
+_REPORT_TABLES = TABLES
 
 
 def _roles(spark, sf):
