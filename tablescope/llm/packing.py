@@ -3,10 +3,10 @@
 A document's tokens and one end mark are a run; runs longer than a sequence are cut into whole sequences with the
 shorter rest in front.  Pieces are dealt into groups by a hash of their key.  In a group, pieces from the longest to
 the shortest go where the sum over all residual gaps g of (open sequences with gap g) squared becomes smallest.
-Only lengths are dealt; ``packed_sequences`` joins the tokens on again.
+Whole sequences need no place in a group.  Only lengths are dealt; ``packed_sequences`` joins the tokens on again.
 
-Group sizes are bounded by ``group_pieces`` on average, whatever the table holds; a group loses a few sequences at
-most.  Defined results: null and empty texts are the end mark alone; equal rows are packed each for itself, and rows
+Groups hold ``group_pieces`` pieces on average, as many as the table has pieces below a whole sequence; a group loses
+a few sequences at most.  Defined results: null and empty texts are the end mark alone; equal rows are packed each for itself, and rows
 that share a doc_id too; an empty table gives no pieces; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescope.llm.common import documents, text_batches
+from tablescope.llm.common import documents, stored, text_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks, or None to use the tokenizer file alone.
@@ -36,16 +36,17 @@ class Ids:
     """Token ids of texts by the tokenizer file at ``path``, without special tokens.
 
     A rank file of the same vocabulary, read by a faster library, gives the same ids for Latin-1 texts, whose
-    character classes are the same in every Unicode version; all other texts go through the tokenizer file itself.
-    Strings that look like special tokens are ordinary text.
+    character classes are the same in every Unicode version; all other texts go through the tokenizer file itself, and
+    so do texts that hold the string of one of its added tokens, unless these strings are to be ``ordinary`` text.
     """
 
-    def __init__(self, path: str = TOKENIZER, ranks: str | None = RANKS) -> None:
+    def __init__(self, path: str = TOKENIZER, ranks: str | None = RANKS, ordinary: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fast = Tokenizer.from_file(path), None
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        self.added = [] if ordinary else [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         if ranks:
             import tiktoken
 
@@ -55,7 +56,7 @@ class Ids:
 
     def __call__(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids."""
-        if self.fast:
+        if self.fast and not any(token in text for token in self.added):
             try:
                 text.encode("latin-1")
                 return self.fast.encode_to_numpy(text, disallowed_special=())
@@ -141,8 +142,14 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack(tokenized_pieces(docs, capacity), max(1, -(-docs.count() // group_pieces)), capacity)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    Pieces that fill a sequence are one by themselves, with a negative number; only the others are packed.
+    """
+    pieces = stored(tokenized_pieces(docs, capacity))
+    full, rest = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
+    alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return pack(rest, max(1, -(-rest.count() // group_pieces)), capacity).unionByName(alone)
 
 
 def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -32,7 +32,7 @@ def flat_blocks(docs: DataFrame, block: int = BLOCK, path: str = TOKENIZER, rank
     end = np.array([SEPARATOR], dtype="<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, file, number = Ids(path, ranks), f"part-{TaskContext.get().partitionId():06d}", 0
+        ids, file, number = Ids(path, ranks, ordinary=True), f"part-{TaskContext.get().partitionId():06d}", 0
         held, size, names = [], 0, []
 
         def row(data: np.ndarray) -> pa.RecordBatch:
