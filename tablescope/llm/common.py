@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescope.session import configure, shared_folder
@@ -63,6 +64,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Rows as ``row`` (all columns) with a key of their own, ``row_file`` and ``row_at``, that later jobs see again.
+
+    Rows read from files are known by file and place; others are written once.
+    """
+    try:
+        return docs.select(F.xxhash64("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_at"), F.struct(*docs.columns).alias("row"))
+    except AnalysisException:
+        numbered = docs.select(F.lit(0).cast("long").alias("row_file"), F.monotonically_increasing_id().alias("row_at"), F.struct(*docs.columns).alias("row"))
+        return stored(numbered)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """Broadcast a table after counting it; beyond ``most`` rows the join is left to Spark."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

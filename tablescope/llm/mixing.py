@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablescope.llm.common import WORD, documents, small, stored
+from tablescope.llm.common import WORD, documents, small, stored, with_row_key
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words of a block, slots of an output shard, rounds of a permutation, slots made by one row.
@@ -102,7 +102,7 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     rows = s.join(t, F.col("s.source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     ahead = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
     ahead = ahead.select("sid", "bucket", (F.sum("held").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("held")).alias("before"))
-    order = [c for c in ("doc_id", "size", "text_key") if c in rows.columns]
+    order = [c for c in ("doc_id", "size", "row_file", "row_at") if c in rows.columns]
     inside = Window.partitionBy("sid", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("size").over(inside) - F.col("size"))
     return rows.join(ahead, ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("before")).drop("bucket", "before")
@@ -139,19 +139,18 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     """The mix as documents: a row per document and pass with the words taken, all columns kept.
 
     A document taken whole keeps its text; otherwise the taken stretches are joined.  n_chars follows if it is there.
-    Rows equal in doc_id, source and text count once.  Documents without words are left out.
+    Every row is a document of its own, also among equal rows.  Documents without words are left out.
     """
     # As one column, the documents' columns cannot meet names used here.
-    own = docs.dropDuplicates(["doc_id", "source", "text"]).select(F.struct(*docs.columns).alias("row"))
-    key = F.xxhash64("row.text")
+    own = with_row_key(docs)
     size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    sizes = stored(own.select("row.doc_id", "row.source", size, key.alias("text_key")))
+    sizes = stored(own.select("row.doc_id", "row.source", size, "row_file", "row_at"))
     sources = stored(with_slots(source_targets(sizes), block))
-    rows = placed(sizes, sources).select("sid", "doc_id", "text_key", "size", "start")
+    rows = placed(sizes, sources).select("sid", "row_file", "row_at", "size", "start")
     pieces = mixed_pieces(rows, mix_slots(sources, block, seed=seed), block).filter("words > 0")
     stretches = F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("stretches")
-    plan = pieces.groupBy("sid", "start", "doc_id", "text_key", "size", "pass").agg(F.sum("words").alias("taken"), stretches)
-    joined = own.join(plan, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (key == F.col("text_key")))
+    plan = pieces.groupBy("row_file", "row_at", "size", "pass").agg(F.sum("words").alias("taken"), stretches)
+    joined = own.join(plan, ["row_file", "row_at"])
     all_words = F.regexp_extract_all("row.text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     joined = joined.withColumn("all_words", F.when(F.col("taken") < F.col("size"), all_words))
     cut = F.aggregate("stretches", F.lit(""), lambda a, s: F.concat(a, F.array_join(F.slice("all_words", (s["from_word"] + 1).cast("int"), s["words"].cast("int")), "")))
