@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablescope.llm.common import documents, small, stored, text_batches
+from tablescope.llm.common import documents, small, stored, text_batches, with_row_key
 
 #: Words of a shingle, and least similarity in percent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
@@ -113,9 +113,10 @@ def _longer(n: int) -> int:
     return int(LONGER * n) + 1
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, class and the tokens of the first filter's prefix (mixed again, to be dealt evenly)."""
+def _sets(docs: DataFrame, words: int, percent: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, class and the tokens of the first filter's prefix (mixed again, to be dealt evenly); carried columns."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [(c, docs.schema[c].dataType.simpleString()) for c in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -123,10 +124,11 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = shingler(texts)
             prefixes = [_mixed(s[: len(s) - least_overlap(len(s), percent) + _longer(len(s))]).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(prefixes, pa.binary())],
-                ["doc_id", "n", "class", "tokens"])
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(prefixes, pa.binary()), *batch.columns[2:]],
+                ["doc_id", "n", "class", "tokens", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, tokens binary")
+    schema = ", ".join([f"doc_id {kind}, n long, class long, tokens binary", *(f"{c} {k}" for c, k in more)])
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema)
 
 
 # Document frequencies in buckets of tokens --------------------------------------------------------------
@@ -345,8 +347,8 @@ class Classes:
     component: DataFrame
 
 
-def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Classes:
-    rows = stored(_sets(docs, words, percent))
+def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, carried: tuple[str, ...] = ()) -> Classes:
+    rows = stored(_sets(docs, words, percent, carried))
     full = rows.filter("n > 0")
     shared = _shared_counts(_dealt(full, _bucket_count(_tokens_in(full, "tokens"))))
     classes = full.groupBy("class").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
@@ -376,9 +378,18 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, unchanged, without those that are linked to one with a smaller doc_id; null ids stay."""
-    dropped = linked(docs, words, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(small(dropped, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, unchanged, of each component one row: that of the smallest doc_id (null last, equal ids: any one).
+
+    Documents without words have no component and stay, each of its rows.
+    """
+    own, key = with_row_key(docs), ["row_file", "row_at"]
+    found = classes_of(own.select("row.doc_id", "row.text", *key), words, percent, tuple(key))
+    rows = found.rows.filter("n > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *key)).alias("best")
+    heads = rows.groupBy("class").agg(best).join(found.component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    stays = heads.groupBy("component").agg(F.min("best").alias("best")).select("best.row_file", "best.row_at")
+    dropped = rows.select(*key).join(stays, key, "left_anti")
+    return own.join(small(dropped, 1_000_000), key, "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tablescope.llm import fingerprints, jaccard, language, mixing, packing, quality, secrets, toxicity
 
@@ -58,18 +59,44 @@ def test_mix_meets_targets(awkward, block):
 
 
 def test_mixed_documents_hold_the_words_taken(awkward):
-    own = awkward.dropDuplicates(["doc_id", "source", "text"])
     mixed = mixing.mixed_documents(awkward, 8)
     assert mixed.columns == awkward.columns
-    goals = {r["doc_id"]: r["taken"] for r in mixing.mix(own.withColumn("text_key", F.lit(0)), 8).collect()}
-    got = collections.Counter()
+    got, sizes = collections.Counter(), collections.Counter()
     texts = {(i, s): t for i, t, _, s in ROWS}
+    for _, t, _, s in ROWS:
+        sizes[s] += len(words(t))
     for r in mixed.collect():
-        got[r["doc_id"]] += len(words(r["text"]))
+        got[r["source"]] += len(words(r["text"]))
         assert r["n_chars"] == len(r["text"])
         if len(words(r["text"])) == len(words(texts[r["doc_id"], r["source"]])):
             assert r["text"] == texts[r["doc_id"], r["source"]]
-    assert sum(got.values()) == pytest.approx(sum(goals.values()), abs=4)
+    for source, goal in plain_targets(sizes).items():
+        assert abs(got[source] - goal) <= 1
+
+
+def test_rows_alike_under_two_sources_are_mixed_apart(spark, nothing):
+    text = sentence(4, 70)
+    rows = [(k % 10, text, "ab"[k % 2]) for k in range(60)] + [(None, text, "a")] * 3 + [(7, sentence(k, 40), "b") for k in range(5)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), 16).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    for r in mixed:
+        taken[r["source"]] += len(words(r["text"]))
+    for source, goal in plain_targets(sizes).items():
+        assert abs(taken[source] - goal) <= 1
+    assert mixing.mixed_documents(nothing).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark, awkward, nothing):
+    text, other = sentence(4, 70), sentence(5, 70)
+    rows = [(1, text, "a")] * 3 + [(None, text, "b"), (7, text + " x", "a"), (7, other, "clean"), (9, None, "empty"), (9, None, "empty"), (8, "", "empty")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["bucket"]) for r in got if r["text"]) == [("1", text, "a"), ("7", other, "clean")]
+    assert sorted((r["doc_id"], r["text"] or "") for r in got if not r["text"]) == [(8, ""), (9, ""), (9, "")]
+    assert jaccard.one_of_each(nothing).count() == 0
+    left = jaccard.one_of_each(awkward)
+    assert left.columns == awkward.columns and left.count() == len({t for _, t, _, _ in ROWS if words(t)}) - 1 + sum(not words(t) for _, t, _, _ in ROWS)
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 257])
@@ -282,6 +309,22 @@ def test_fast_ids_are_the_tokenizer_s(text):
 
 
 IDS, PLAIN = packing.Ids(), packing.Ids(ranks=None)
+FILE = Tokenizer.from_file(packing.TOKENIZER)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "a b", "漢", "é"]), st.characters(exclude_categories=["Cs"])), max_size=20).map("".join))
+def test_ids_are_those_of_the_plain_call(text):
+    assert IDS(text).tolist() == FILE.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_do_not_fill_a_group(spark):
+    docs = spark.createDataFrame([(k, sentence(k, 20_000)) for k in range(4)] + [(k, sentence(k, 30)) for k in range(4, 40)], "doc_id long, text string")
+    rows = packing.packed_pieces(docs, capacity=256, group_pieces=16).collect()
+    full = [r for r in rows if r["length"] == 256]
+    assert len(full) > 200 and len({r["sequence_id"] for r in full}) == len(full) and all(r["offset"] == 0 and r["sequence_id"] < 0 for r in full)
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in rows if r["length"] < 256)
+    assert max(groups.values()) <= 40 and min(groups) >= 0
 
 
 @settings(max_examples=100, deadline=None)
