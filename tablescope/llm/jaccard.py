@@ -144,7 +144,7 @@ def _bucket_count(tokens: int) -> int:
 
 def _dealt(sets: DataFrame, buckets: int) -> DataFrame:
     """The tokens of (class, n, tokens), or the mixed shingles of (class, n, shingles), by bucket: per block its classes,
-    their n, how many tokens of each, the tokens."""
+    their n, how many tokens of each, the tokens.  A task deals a class once, however many copies it has."""
     column = "tokens" if "tokens" in sets.columns else "shingles"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +160,12 @@ def _dealt(sets: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], ["bucket", "class", "n", "tokens_of", "tokens"])
 
         held_class, held_n, held_tokens, size = [], [], [], 0
+        seen: set[int] = set()
         for batch in batches:
             for key, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if key in seen:
+                    continue
+                seen.add(key)
                 if column == "tokens":
                     tokens = np.frombuffer(own.as_py(), dtype=np.uint64)
                 else:
