@@ -103,8 +103,16 @@ def numbered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     its place in its partition plus the rows of the partitions before, of which
     there is one count each.
     """
+    return placed_rows(df.orderBy(*order))
+
+
+def placed_rows(df: DataFrame) -> DataFrame:
+    """All rows with ``row_number`` (from 1) in the order of their partitions.
+
+    The rows are written once, so that all later readers see the same places.
+    """
     place = F.monotonically_increasing_id()
-    rows = stored(df.orderBy(*order).withColumns({
+    rows = stored(df.withColumns({
         "_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}))
     parts = rows.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,15 +133,16 @@ def page_rows(
     Pages count from 0; with ``clamp`` a page beyond the end becomes the last
     one.  Pages among the first ``DIRECT_ROWS`` rows come from a distributed
     top-k; deeper ones from rows numbered in range partitions.  Without an
-    order only those first rows can be paged, as others have no stable place.
+    order rows keep the places they are read at, at any depth: they are
+    numbered by partition, without a sort.
     """
     reach = (page + 1) * size
-    if reach > DIRECT_ROWS and not order:
-        raise ValueError(f"Pages beyond the first {DIRECT_ROWS} rows need an order.")
-    if reach <= DIRECT_ROWS:
-        head = (df.orderBy(*order) if order else df).limit(reach)
-        number = F.row_number().over(Window.orderBy(*(order or [F.monotonically_increasing_id()])))
-        rows = head.withColumn("row_number", number.cast("long"))
+    if not order:
+        rows = placed_rows(df)
+        held = F.lit(rows.count())
+    elif reach <= DIRECT_ROWS:
+        number = F.row_number().over(Window.orderBy(*order))
+        rows = df.orderBy(*order).limit(reach).withColumn("row_number", number.cast("long"))
         held = F.count("*").over(Window.partitionBy())
     else:
         rows = numbered_rows(df, order)
