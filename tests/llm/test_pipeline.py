@@ -91,3 +91,14 @@ def test_packing_stage(steps):
             at += length
         assert at <= 2048
     assert len(used) <= 1.05 * sum(r["length"] for r in after) / 2048 + 1
+
+
+@pytest.mark.parametrize("table", ["awkward", "nothing"])
+def test_stages_take_awkward_rows(spark, request, table):
+    docs = request.getfixturevalue(table)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, SF))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        docs = out
+    assert (docs.count() > 0) == (table == "awkward")
