@@ -1,24 +1,26 @@
 """Operator 7: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows, ``per_class`` of each label at most, picked by a hash of doc_id.
-Their terms are kept if a likelihood-ratio test ties them to the label, corrected for the number of terms tried;
-document frequencies of the kept terms are counted over all documents.  The examples' vectors form a block-max
-inverted index: for each term its postings, and the largest weight in each block of examples.  A search visits blocks
-by falling bound and stops when no unseen block can hold a nearer example, so that the ``NEIGHBOURS`` nearest are exact.
-Their votes, weighed by squared cosine and by how many labelled rows an example stands for, are calibrated by
-isotonic steps fitted to the examples with each left out in turn.  The neighbours are the evidence.
-
-The cosine is exact over the kept terms, all that pass; the others' are left out, which finds more (figures: README).
-Only the kept terms, of the bounded sample, and the examples reach the driver.  Defined results: texts without a kept term,
-also null and empty ones, get the share of label 1 among such examples, and no evidence; without any labelled row the
-score is 0; ties in cosine go to the smaller example number; a doc_id labelled twice counts with its higher label;
-an empty table gives an empty result; other columns are ignored.
+Every term of an example has its place in the vectors.  A term weighs (1 + ln count) x idf x label weight: document
+frequencies are counted over all documents, and the label weight rises from ``FLOOR`` with the likelihood ratio between
+term and label, up to the bar that a test over all terms would set, so that it ranks terms and leaves none out.  The
+examples' vectors form a block-max inverted index: for each term its postings, and its largest weight in each block of
+examples.  A search visits blocks by falling bound and stops when no unseen block can hold a nearer example, so that the
+``NEIGHBOURS`` nearest are exact.  Their votes, weighed by squared cosine and by how many labelled rows an example stands
+for, are calibrated by isotonic pools fitted to the examples with each left out in turn, joined by straight lines.  The
+neighbours are the evidence.
+
+Only the examples, their terms and the counts of these reach the driver, all bounded by the sample.  Defined results: texts
+that share no term with an example, also null and empty ones, get the share of label 1 among examples without terms (0 if
+there are none), and no evidence; with labels of one kind only, all label weights are equal and the score is that label;
+without any labelled row it is 0; ties in cosine go to the smaller example number; a doc_id labelled twice counts with its
+higher label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,106 +32,100 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablescope.llm.common import documents, fold, text_batches
 
 PER_CLASS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 15, 64, 0.3
-#: Distinct query vectors whose answers a worker remembers, and queries that a search takes at once.
-REMEMBERED, QUERIES_AT_ONCE = 20_000, 128
+#: Label weight of a term that says nothing about the label; one at the bar weighs 1 more.
+FLOOR = 0.05
+#: Texts whose answers a worker remembers (by digest), and blocks that a search visits first.
+REMEMBERED, FIRST_BLOCKS = 20_000, 8
 _TERM = re.compile(r"[^\W_]+")
 
+#: Term numbers, rising, and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+
 
 def terms_of(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def _places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one range after the other, and the length of each range."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths), lengths
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks of ``BLOCK``: each block's postings by term, and the largest weight of each
-    term in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int) -> None:
-        self.examples, self.blocks = len(vectors), []
-        self.most = np.zeros((terms, -(-len(vectors) // BLOCK)))
-        for b in range(self.most.shape[1]):
-            part = vectors[b * BLOCK : (b + 1) * BLOCK]
-            known = sorted(set().union(*part))
-            place = {t: i for i, t in enumerate(known)}
-            postings = np.zeros((len(known), len(part)))
-            for e, vector in enumerate(part):
-                for t, w in vector.items():
-                    postings[place[t], e] = w
-            self.most[known, b] = postings.max(axis=1)
-            self.blocks.append((np.array(known, dtype=np.int64), postings))
-
-    def _score(self, queries: np.ndarray, wanted: np.ndarray, cosines: np.ndarray) -> None:
-        """Adds the cosines of the wanted (query, block) pairs, a block's postings at a time."""
-        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-            terms, postings = self.blocks[b]
-            rows = np.flatnonzero(wanted[:, b])
-            cosines[rows, b, : postings.shape[1]] = (queries[np.ix_(rows, terms)] @ postings).round(12)
-
-    def nearest_of(self, vectors: list[dict[int, float]], count: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each vector (cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising
-        number; ``without`` names one example to leave out for each.
-
-        Each query first meets its four blocks of the highest bounds; then only blocks whose bound reaches the least
-        cosine among the nearest so far.
-        """
-        if not vectors or not self.examples:
-            return [[] for _ in vectors]
-        queries = np.zeros((len(vectors), self.most.shape[0]))
-        for i, vector in enumerate(vectors):
-            queries[i, list(vector)] = list(vector.values())
-        bound = queries @ self.most
-        best = np.argsort(-bound, axis=1, kind="stable")[:, :4]
-        first = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(first, best, True, axis=1)
-        cosines = np.zeros((len(vectors), bound.shape[1], BLOCK))
-        self._score(queries, first & (bound > 0), cosines)
-        if without:
-            left_out = np.arange(len(vectors)), np.array(without) // BLOCK, np.array(without) % BLOCK
-            cosines[left_out] = 0
-        seen = np.take_along_axis(cosines, best[:, :, None], axis=1).reshape(len(vectors), -1)
-        at = max(0, seen.shape[1] - count)
-        least = np.partition(seen, at, axis=1)[:, at] if seen.shape[1] > count else np.zeros(len(vectors))
-        self._score(queries, ~first & (bound > 0) & (bound >= least[:, None] - 1e-9), cosines)
-        if without:
-            cosines[left_out] = 0
-        found = []
-        for row, reach in zip(cosines.reshape(len(vectors), -1), np.maximum(least, 1e-12)):
-            hits = np.flatnonzero(row >= reach)
-            if len(hits) > count:
-                hits = hits[row[hits] >= np.partition(row[hits], -count)[-count]]
-            order = np.lexsort((hits, -row[hits]))[:count]
-            found.append(list(zip(row[hits[order]].tolist(), hits[order].tolist())))
-        return found
-
-    def nearest(self, query: dict[int, float], count: int) -> list[tuple[float, int]]:
-        return self.nearest_of([query], count)[0]
+    """Vectors of examples in blocks of ``BLOCK``.
+
+    Postings lie by term and example.  An entry is one term in one block: its largest weight and its first posting.
+    """
+
+    def __init__(self, vectors: list[Vector], terms: int) -> None:
+        self.examples, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        of = term * max(1, self.blocks) + self.example // BLOCK
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        self.posting = np.append(starts, len(of))
+        self.block = self.example[starts] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.entry = np.searchsorted(term[starts], np.arange(terms + 1))
+
+    def nearest(self, query: Vector, count: int, without: int | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising number;
+        ``without`` names one example to leave out."""
+        terms, weights = query
+        if not len(terms) or not self.examples:
+            return []
+        entries, lengths = _places(self.entry[terms], self.entry[terms + 1])
+        of_entry, block = np.repeat(weights, lengths), self.block[entries]
+        bound = np.bincount(block, self.most[entries] * of_entry, minlength=self.blocks)
+        by_bound = np.argsort(-bound, kind="stable")
+        cosines, least, low, step = np.zeros(self.examples), 1e-12, 0, FIRST_BLOCKS
+        while low < self.blocks and bound[by_bound[low]] >= least - 1e-9 and bound[by_bound[low]] > 0:
+            visited = np.zeros(self.blocks, dtype=bool)
+            some = by_bound[low : low + step]
+            visited[some[bound[some] >= least - 1e-9]] = True
+            mine = np.flatnonzero(visited[block])
+            places, lengths = _places(self.posting[entries[mine]], self.posting[entries[mine] + 1])
+            cosines += np.bincount(self.example[places], self.weight[places] * np.repeat(of_entry[mine], lengths), minlength=self.examples)
+            if without is not None:
+                cosines[without] = 0
+            if self.examples > count:
+                least = max(1e-12, np.partition(cosines, -count)[-count])
+            low, step = low + step, step * 2
+        cosines = cosines.round(12)
+        hits = np.flatnonzero(cosines >= max(1e-12, round(least, 12)))
+        order = np.lexsort((hits, -cosines[hits]))[:count]
+        return list(zip(cosines[hits[order]].tolist(), hits[order].tolist()))
 
 
 @dataclass
 class Model:
     terms: dict[str, int] = field(default_factory=dict)
-    idf: list[float] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     index: BlockMaxIndex | None = None
     ids: list = field(default_factory=list)
     labels: list[int] = field(default_factory=list)
     stands_for: tuple[float, float] = (1.0, 1.0)
-    steps: tuple[list[float], list[float]] = ((), ())
+    #: Mean vote and score of each isotonic pool.
+    steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
     without_terms: float = 0.0
 
-    def vector(self, text: str) -> dict[int, float]:
+    def vector(self, text: str) -> Vector:
         counts = Counter(self.terms[w] for w in terms_of(text) if w in self.terms)
-        weights = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = sum(w * w for w in weights.values()) ** 0.5
-        return {t: float(w / norm) for t, w in sorted(weights.items())}
+        terms = np.array(sorted(counts), dtype=np.int64)
+        weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.weights[terms]
+        return terms, weights / max(np.sqrt((weights * weights).sum()), 1e-300)
 
     def vote(self, nearest: list[tuple[float, int]]) -> float:
         weights = [c * c * self.stands_for[self.labels[e]] for c, e in nearest]
         return sum(w for w, (_, e) in zip(weights, nearest) if self.labels[e]) / sum(weights)
 
-    def score(self, vector: dict[int, float], nearest: list[tuple[float, int]]) -> float:
-        if not nearest:
-            return self.without_terms
-        starts, values = self.steps
-        return values[max(0, bisect_right(starts, self.vote(nearest) + 1e-9) - 1)]
+    def score(self, nearest: list[tuple[float, int]]) -> float:
+        return float(np.interp(self.vote(nearest), *self.steps)) if nearest else self.without_terms
 
 
 def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
@@ -148,46 +144,55 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], lis
     return [p[0] for p in pools], [p[1] / p[2] for p in pools]
 
 
-def _term_counts(texts: DataFrame, keys: list[str], only: frozenset[str] | None = None) -> DataFrame:
-    """Documents that hold each term, by the key columns; with ``only``, of those terms."""
-    kinds = ", ".join(f"{k} int" for k in keys)
+def centres(points: list[tuple[float, float, float]], starts: list[float]) -> np.ndarray:
+    """Weighted mean vote of each isotonic pool."""
+    votes, _, weights = np.array(points).T
+    pool = np.searchsorted(starts, votes, side="right") - 1
+    return np.bincount(pool, votes * weights) / np.bincount(pool, weights)
+
+
+def _term_counts(texts: DataFrame, key: str | None = None, vocabulary: dict[str, int] | None = None) -> pa.Table:
+    """Documents that hold each term, by the integer key column if any; with a vocabulary, its terms by number."""
+    kind, shared = ("string", None) if vocabulary is None else ("int", texts.sparkSession.sparkContext.broadcast(vocabulary))
+    names = [key or "all", "term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed() -> pa.RecordBatch:
-            rows = list(counts)
-            arrays = [pa.array([r[i] for r in rows], pa.int32()) for i in range(len(keys))]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([r[-1] for r in rows], pa.string()), pa.array(list(counts.values()), pa.int64())], [*keys, "term", "n"])
+            keys, terms = zip(*counts) if counts else ((), ())
+            arrays = [pa.array(keys, pa.int32()), pa.array(terms, pa.string() if shared is None else pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, [*names, "n"])
 
         counts: Counter = Counter()
         for batch, held in text_batches(batches):
-            of = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys))) if keys else [()] * len(held)
-            for key, text in zip(of, held):
+            keys = batch.column(batch.schema.get_field_index(key)).to_pylist() if key else [0] * len(held)
+            for k, text in zip(keys, held):
                 found = set(terms_of(text))
-                counts.update((*key, t) for t in (found & only if only is not None else found))
+                counts.update((k, t) for t in (found if shared is None else [shared.value[t] for t in found if t in shared.value]))
             if len(counts) > 300_000:
                 yield flushed()
                 counts.clear()
         yield flushed()
 
-    return texts.select(*keys, "text").mapInArrow(run, f"{kinds}{', ' * bool(kinds)}term string, n long").groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+    columns = [key, "text"] if key else ["text"]
+    return texts.select(*columns).mapInArrow(run, f"`{names[0]}` int, term {kind}, n long").groupBy(*names).agg(F.sum("n").alias("n")).toArrow()
 
 
-def _kept_terms(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
-    """Terms whose presence depends on the label: G over 2 ln(20 terms), the strongest first."""
-    counts = _term_counts(examples, ["label"]).groupBy("term").pivot("label", [0, 1]).agg(F.sum("n")).na.fill(0).cache()
-    total, tried = float(sum(sizes)), max(1, counts.count())
+def likelihood_ratios(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """G of term and label, from the examples of each label (rows) that hold each term (columns), and the labels' sizes."""
+    total, both = sizes.sum(), held.sum(axis=0)
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
-    g = F.lit(0.0)
-    for label, size in enumerate(sizes):
-        held = F.col("0") + F.col("1")
-        g = g + part(F.col(str(label)), held * size / total) + part(size - F.col(str(label)), (total - held) * size / total)
-    kept = counts.select("term", F.round(2 * g, 6).alias("g")).filter(F.col("g") > 2 * np.log(20.0 * tried)).orderBy(F.desc("g"), "term")
-    found = [r["term"] for r in kept.collect()]
-    counts.unpersist()
-    return found
+    return 2 * sum(part(h, both * n / total) + part(n - h, (total - both) * n / total) for h, n in zip(held, sizes))
+
+
+def label_weights(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``FLOOR`` for a term that is as frequent under either label, up to 1 more at the bar of 2 ln(20 terms)."""
+    if not sizes.all():
+        return np.ones(held.shape[1])
+    bar = 2 * np.log(20.0 * max(1, held.shape[1]))
+    return FLOOR + np.clip(likelihood_ratios(held, sizes) / bar, 0, 1) ** 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -202,28 +207,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     # At most about 2 * per_class rows: a parameter bounds what is broadcast.
     examples = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").cache()
     taken = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    class_sizes = (taken.get(0, 0), taken.get(1, 0))
     model = Model(stands_for=tuple(sizes.get(k, 0) / max(1, taken.get(k, 0)) for k in (0, 1)))
-    if all(class_sizes):
-        names = _kept_terms(examples, class_sizes)
-        model.terms = {t: i for i, t in enumerate(names)}
-        total = docs.count()
-        held = {r["term"]: r["n"] for r in _term_counts(docs, [], frozenset(names)).collect()}
-        model.idf = [float(np.log((1 + total) / (1 + held.get(t, 0))) + 1) for t in names]
+    counts = _term_counts(examples, "label")
+    words = counts["term"].to_pylist()
+    model.terms = {t: i for i, t in enumerate(sorted(set(words)))}
+    held = np.zeros((2, len(model.terms)))
+    held[counts["label"].to_numpy(), [model.terms[t] for t in words]] = counts["n"].to_numpy()
+    frequencies, frequency = _term_counts(docs, None, model.terms), np.zeros(len(model.terms))
+    frequency[frequencies["term"].to_numpy()] = frequencies["n"].to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + frequency)) + 1
+    model.weights = idf * label_weights(held, np.array([taken.get(k, 0) for k in (0, 1)], dtype=float))
     vectors = _vectors(examples, model)
     examples.unpersist()
     # Examples with the same strongest term share blocks, which makes the bounds sharp.
-    filled = sorted((v for v in vectors if v[2]), key=lambda v: (max(v[2], key=lambda x: x[1])[0], v[0]))
+    filled = sorted((v for v in vectors if len(v[2][0])), key=lambda v: (v[2][0][v[2][1].argmax()], v[0]))
     model.ids, model.labels = [v[0] for v in filled], [v[1] for v in filled]
-    model.index = BlockMaxIndex([dict(v[2]) for v in filled], max(1, len(model.terms)))
-    bare = [model.stands_for[v[1]] * np.array([1, v[1]]) for v in vectors if not v[2]]
+    model.index = BlockMaxIndex([v[2] for v in filled], len(model.terms))
+    bare = [model.stands_for[v[1]] * np.array([1, v[1]]) for v in vectors if not len(v[2][0])]
     model.without_terms = float(sum(b[1] for b in bare) / sum(b[0] for b in bare)) if bare else 0.0
-    points = []
-    for low in range(0, len(filled), QUERIES_AT_ONCE):
-        part = filled[low : low + QUERIES_AT_ONCE]
-        others = model.index.nearest_of([dict(v[2]) for v in part], NEIGHBOURS, list(range(low, low + len(part))))
-        points += [(model.vote(near), v[1], model.stands_for[v[1]]) for v, near in zip(part, others) if near]
-    model.steps = isotonic(points) if points else ([0.0], [model.without_terms])
+    found = [(model.index.nearest(v[2], NEIGHBOURS, i), v[1]) for i, v in enumerate(filled)]
+    points = [(round(model.vote(near), 9), label, model.stands_for[label]) for near, label in found if near]
+    if points:
+        starts, values = isotonic(points)
+        model.steps = centres(points, starts), np.array(values)
+    else:
+        model.steps = np.zeros(1), np.array([model.without_terms])
     return model
 
 
@@ -232,51 +240,55 @@ def _share(bound: int, size: int, wide: int):
 
 
 def _vectors(examples: DataFrame, model: Model) -> list[tuple]:
-    """(doc_id, label, [(term, weight)]) of every example, by doc_id."""
+    """(doc_id, label, vector) of every example, by doc_id."""
     kind = examples.schema["doc_id"].dataType.simpleString()
+    shared = examples.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            vectors = [list(model.vector(t).items()) for t in texts]
+            vectors = [shared.value.vector(t) for t in texts]
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "label")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([[t for t, _ in v] for v in vectors], pa.list_(pa.int32())), pa.array([[w for _, w in v] for v in vectors], pa.list_(pa.float64()))],
-                                             ["doc_id", "label", "terms", "weights"])
+            lists = [pa.array([v[k] for v in vectors], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, *lists], ["doc_id", "label", "terms", "weights"])
 
-    rows = examples.mapInArrow(run, f"doc_id {kind}, label int, terms array<int>, weights array<double>").collect()
-    return sorted((r["doc_id"], r["label"], list(zip(r["terms"], r["weights"]))) for r in rows)
+    rows = examples.mapInArrow(run, f"doc_id {kind}, label int, terms array<bigint>, weights array<double>").toArrow()
+    vectors = [(t.values.to_numpy(), w.values.to_numpy(zero_copy_only=False)) for t, w in zip(rows["terms"], rows["weights"])]
+    return sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), vectors), key=lambda v: (v[0], v[1], len(v[2][0]), v[2][0].tolist(), v[2][1].tolist()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and the evidence: array of (doc_id, cosine, label) of the nearest examples."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    example = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, remembered = shared.value, {}
+
+        def answer(text: str) -> tuple:
+            key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if key not in remembered:
+                if len(remembered) >= REMEMBERED:
+                    remembered.clear()
+                nearest = model.index.nearest(model.vector(text), NEIGHBOURS) if model.index else []
+                remembered[key] = model.score(nearest), [{"doc_id": model.ids[e], "cosine": c, "label": model.labels[e]} for c, e in nearest]
+            return remembered[key]
+
         for batch, texts in text_batches(batches):
-            vectors = [model.vector(text) for text in texts]
-            keys = [tuple(v.items()) for v in vectors]
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            new = [k for k in dict.fromkeys(keys) if k not in remembered]
-            for low in range(0, len(new), QUERIES_AT_ONCE):
-                part = [dict(k) for k in new[low : low + QUERIES_AT_ONCE]]
-                nearest = model.index.nearest_of(part, NEIGHBOURS) if model.index else [[] for _ in part]
-                for key, vector, near in zip(new[low : low + QUERIES_AT_ONCE], part, nearest):
-                    remembered[key] = model.score(vector, near), [{"doc_id": model.ids[e], "cosine": c, "label": model.labels[e]} for c, e in near]
-            scores, evidence = [remembered[k][0] for k in keys], [remembered[k][1] for k in keys]
+            ids = batch.column(0)
+            example = pa.struct([("doc_id", ids.type), ("cosine", pa.float64()), ("label", pa.int32())])
+            scores, evidence = zip(*map(answer, texts))
             predicted = [int(s >= THRESHOLD) for s in scores]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.list_(example))],
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.list_(example))],
                                              ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double,label:int>>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with their evidence, as JSON."""
     docs = documents(spark, sf_dir)
     labels = documents(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2).select("doc_id", "toxic")
-    return score(docs, fit(docs, labels)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return score(docs, fit(docs, labels)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
 
 
 QUERIES = {"op7_toxicity": op7_toxicity}

@@ -239,12 +239,17 @@ def test_nearest_examples_are_exact():
         w = rng.integers(1, 4, len(t)).astype(float)
         return dict(sorted(zip(t.tolist(), (w / np.sqrt((w * w).sum())).tolist())))
 
+    def arrays(v):
+        return np.array(list(v), dtype=np.int64), np.array(list(v.values()))
+
     examples = [vector() for _ in range(700)]
-    index = toxicity.BlockMaxIndex(examples, 40)
+    index = toxicity.BlockMaxIndex([arrays(e) for e in examples], 40)
     for _ in range(60):
         q = vector()
         brute = sorted((-round(sum(w * e.get(t, 0.0) for t, w in q.items()), 12), i) for i, e in enumerate(examples))
-        assert index.nearest(q, 15) == [(-c, i) for c, i in brute if c < 0][:15]
+        assert index.nearest(arrays(q), 15) == [(-c, i) for c, i in brute if c < 0][:15]
+        first = brute[0][1]
+        assert index.nearest(arrays(q), 15, first) == [(-c, i) for c, i in brute if c < 0 and i != first][:15]
 
 
 def test_isotonic_rises():
