@@ -343,27 +343,36 @@ def stored(documents: DataFrame) -> DataFrame:
 _ORDERS_Y = "o as (select *, year(o_orderdate) as y from orders)"
 
 
-@query("flatten_xml", """
-with p as (select o_orderkey as doc_id, o_custkey, unnest(['/xbrl', '/xbrl/context/entity/identifier', '/xbrl/p', '/xbrl/p/nonFraction', '/xbrl/p/nonFraction/b']) as path from orders)
-select doc_id, case path when '/xbrl' then '/xbrl' else path end as "Path", case path when '/xbrl' then '' when '/xbrl/p' then 'note' when '/xbrl/p/nonFraction' then ''
-  when '/xbrl/p/nonFraction/b' then cast(doc_id as varchar) else cast(o_custkey as varchar) end as "Text",
- case when path = '/xbrl/context/entity/identifier' then 'scheme="s"' when path = '/xbrl/p/nonFraction' then 'name="ifrs-full:ProfitLoss" contextRef="c1" unitRef="u1" scale="3" sign="-"' else '' end as "Attributes",
- cast(len(string_split(path, '/')) - 2 as bigint) as "Depth", case path when '/xbrl' then 8 when '/xbrl/p' then 1 when '/xbrl/p/nonFraction' then 1 else 0 end::bigint as "Child Count" from p
-union all select o_orderkey, '/xbrl/context/entity/identifier', cast(o_custkey as varchar), 'scheme="s"', 3, 0 from orders""")
+_CHILDREN = """[
+ {p: '/xbrl', t: '', a: '', c: 8}, {p: '/xbrl/context', t: '', a: 'id="c1"', c: 2}, {p: '/xbrl/context/entity', t: '', a: '', c: 2},
+ {p: '/xbrl/context/entity/identifier', t: cust, a: 'scheme="s"', c: 0}, {p: '/xbrl/context/entity/segment', t: '', a: '', c: 1},
+ {p: '/xbrl/context/entity/segment/explicitMember', t: 'mem:Status' || o_orderstatus || 'Member', a: 'dimension="ax:OrderPriorityAxis"', c: 0},
+ {p: '/xbrl/context/period', t: '', a: '', c: 2}, {p: '/xbrl/context/period/startDate', t: y || '-01-01', a: '', c: 0},
+ {p: '/xbrl/context/period/endDate', t: y || '-12-31', a: '', c: 0},
+ {p: '/xbrl/context', t: '', a: 'id="c2"', c: 2}, {p: '/xbrl/context/entity', t: '', a: '', c: 1},
+ {p: '/xbrl/context/entity/identifier', t: cust, a: 'scheme="s"', c: 0}, {p: '/xbrl/context/period', t: '', a: '', c: 1},
+ {p: '/xbrl/context/period/instant', t: y || '-12-31', a: '', c: 0},
+ {p: '/xbrl/unit', t: '', a: 'id="u1"', c: 1}, {p: '/xbrl/unit/measure', t: 'iso4217:NOK', a: '', c: 0},
+ {p: '/xbrl/unit', t: '', a: 'id="u2"', c: 1}, {p: '/xbrl/unit/divide', t: '', a: '', c: 2},
+ {p: '/xbrl/unit/divide/unitNumerator', t: '', a: '', c: 1}, {p: '/xbrl/unit/divide/unitNumerator/measure', t: 'iso4217:NOK', a: '', c: 0},
+ {p: '/xbrl/unit/divide/unitDenominator', t: '', a: '', c: 1}, {p: '/xbrl/unit/divide/unitDenominator/measure', t: 'shares', a: '', c: 0},
+ {p: '/xbrl/Revenue', t: format('{:,.2f}', o_totalprice), a: 'contextRef="c1" unitRef="u1" decimals="2"', c: 0},
+ {p: '/xbrl/p', t: 'note', a: '', c: 1},
+ {p: '/xbrl/p/nonFraction', t: '', a: 'name="ifrs-full:ProfitLoss" contextRef="c1" unitRef="u1" scale="3" sign="-"', c: 1},
+ {p: '/xbrl/p/nonFraction/b', t: cast(o_orderkey as varchar), a: '', c: 0},
+ {p: '/xbrl/EarningsPerShare', t: cust, a: 'contextRef="c2" unitRef="u2"', c: 0},
+ {p: '/xbrl/NameOfReportingEntity', t: o_orderpriority || ' & Co', a: 'contextRef="cx"', c: 0}]"""
+
+
+@query("flatten_xml", f"""
+with o as (select *, cast(o_custkey as varchar) as cust, cast(year(o_orderdate) as varchar) as y from orders),
+n as (select o_orderkey as doc_id, {_CHILDREN} as e from o),
+x as (select doc_id, unnest(e) as e, generate_subscripts(e, 1) - 1 as node_id from n)
+select doc_id, cast(node_id as bigint) as node_id, e.p as "Path", string_split(e.p, '/')[-1] as "Element", e.t as "Text", e.a as "Attributes",
+ cast(len(string_split(e.p, '/')) - 2 as bigint) as "Depth", cast(e.c as bigint) as "Child Count" from x""")
 def _flatten(spark, sf):
-    """Some kinds of elements of every document."""
-    flat = X.flatten_xml(elements(instances(spark, sf))).drop("node_id", "Element")
-    wanted = ("/xbrl", "/xbrl/context/entity/identifier", "/xbrl/p", "/xbrl/p/nonFraction", "/xbrl/p/nonFraction/b")
-    return longs(flat.filter(F.col("Path").isin(*wanted)), "Depth", "Child Count")
-
-
-def _flatten_all(spark, sf):
     """All elements of every document."""
-    flat = X.flatten_xml(elements(instances(spark, sf)))
-    return longs(flat, "node_id", "Depth", "Child Count")
-
-
-QUERIES["flatten_xml_all"] = _flatten_all
+    return longs(X.flatten_xml(elements(instances(spark, sf))), "node_id", "Depth", "Child Count")
 
 
 @query("xml_element_counts", "select count(*) * 28 as elements, count(*) as documents from orders")
@@ -397,21 +406,16 @@ def _xbrl_facts(spark, sf):
 
 
 @query("xbrl_fact_notes", """
-select o_orderkey as doc_id, 4::bigint as row_no, 'context cx | value: ' || o_orderpriority || ' & Co' as note, '' as section from orders
-union all select o_orderkey, 3, 'context c2', cast(o_custkey as varchar) from orders""")
+with o as (select *, 'Order Priority Axis: Status ' || o_orderstatus || ' Member' as axis from orders)
+select o_orderkey as doc_id, 1::bigint as row_no, 'context c1 | decimals 2 | ' || axis as note, axis as section from o
+union all select o_orderkey, 2, 'context c1 | scale 3 | ' || axis, axis from o
+union all select o_orderkey, 3, 'context c2', cast(o_custkey as varchar) from o
+union all select o_orderkey, 4, 'context cx | value: ' || o_orderpriority || ' & Co', '' from o""")
 def _xbrl_notes(spark, sf):
-    df = X.xbrl_facts(stored(instances(spark, sf)))
-    return df.filter(F.col("row_no") > 2).select("doc_id", "row_no", "note", "section")
-
-
-def _xbrl_notes_all(spark, sf):
     """The notes of every fact."""
     return X.xbrl_facts(stored(instances(spark, sf))).select("doc_id", "row_no", "note", "section")
 
 
-QUERIES["xbrl_fact_notes_all"] = _xbrl_notes_all
-
-
 @query("documents_from_workbook", f"""with {FACTS}
 select {_BOOK} as workbook, count(*) as rows, 'items' as kind from facts group by doc_id
 union all select 'c' || (c_custkey // 100), count(*) * 4, 'records' from customer group by 1""")

@@ -14,7 +14,7 @@ from tablescope.operators.carry import carry_forward
 from tablescope.plans import documents as plan
 from tablescope.plans.report import plan_report
 from tablescope.rules import CONCEPT_RULES, HEADING_RULES, LABEL_KIND_RULES, METRIC_RULES
-from workloads.common import longs, rounded, table
+from workloads.common import longs, rounded, sql_percent, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -416,13 +416,25 @@ def _report_kind(spark, sf):
     return rounded(_fact_report(spark, sf)["kind"].drop("rationale"), 6)
 
 
-@query("report_of_facts_summary", f"""with {FACTS}
-select 'facts' as dataset_id, -2::bigint as rank, 'Statement facts: ' || format('{{:,}}', count(*))
-  || ' from 3 sources.' as line from facts
-union all select 'facts', -1, 'Periods: FY 2001, FY 2000, FY 1999, FY 1998, +3 more.'
-union all select 'facts', 0, 'Statements: Balance sheet, Cash flow statement, Income statement.'""")
+def _first_names(names: str, n: int) -> str:
+    return f"array_to_string({names}[1:{n}], ', ') || case when len({names}) > {n} then ', +' || (len({names}) - {n}) || ' more' else '' end"
+
+
+@query("report_of_facts_summary", f"""with {FACTS},
+t as (select count(*) as n, list(distinct period) as p, list(distinct statement) as s, min(amount) < 0 as neg,
+  round(100.0 * (count(statement) + count(line_item) + count(period) + count(amount) + count(unit)) / (5 * count(*)), 1) as filled from facts),
+c as (select unnest(['statement', 'line_item', 'period', 'unit']) as col, unnest([0, 1, 2, 4]) as idx,
+  unnest([count(statement), count(line_item), count(period), count(unit)]) as filled,
+  unnest([count(distinct statement), count(distinct line_item), count(distinct period), count(distinct unit)]) as k from facts),
+d as (select list(col order by case when k between 2 and 12 then 0 when k between 13 and 50 then 1 else 2 end, filled desc, idx) as dims from c)
+select 'facts' as dataset_id, -2::bigint as rank, 'Statement facts: ' || format('{{:,}}', n) || ' from ' || len(s) || ' sources.' as line from t
+union all select 'facts', -1, 'Periods: ' || {_first_names("list_reverse_sort(p)", 4)} || '.' from t
+union all select 'facts', 0, 'Statements: ' || {_first_names("list_sort(s)", 4)} || '.' from t
+union all select 'facts', 2, 'Measures: amount' || case when neg then ' (some below zero).' else '.' end from t
+union all select 'facts', 3, 'Columns to group by: ' || array_to_string(dims, ', ') || '.' from d
+union all select 'facts', 4, 'Of all cells, ' || {sql_percent("filled")} || ' are filled' || case when filled < 95 then '; see the warnings.' else '.' end from t""")
 def _report_summary(spark, sf):
-    return longs(_fact_report(spark, sf)["summary"].filter(F.col("rank") < 1), "rank")
+    return longs(_fact_report(spark, sf)["summary"], "rank")
 
 
 # Items and documents from facts -------------------------------------------
@@ -568,7 +580,14 @@ def _balance(spark, sf):
     return rounded(K.balance_equation_check(rows, D.choose_periods(rows)), 2)
 
 
-def _all_checks(spark, sf):
+@query("document_checks", f"""
+with eq as ({ORACLES["balance_check"]}),
+ot as (with {DOCUMENTS}
+ select doc_id, 'period_consistency' as kind, case when count(*) filter (where n > 0 and statement <> 'unknown') = 3 then 'pass' else 'warn' end as status from sm group by 1
+ union all select doc_id, 'extraction_quality', case when conf >= 0.65 then 'pass' when conf >= 0.35 then 'warn' else 'fail' end from dq)
+select doc_id, kind, status, period, lhs, rhs, diff from eq
+union all select doc_id, kind, status, null, null, null, null from ot""")
+def _checks(spark, sf):
     """All checks, also the balance equation of each period."""
     rows = items(spark, sf)
     periods = D.choose_periods(rows)
@@ -577,21 +596,6 @@ def _all_checks(spark, sf):
     return rounded(found.select("doc_id", "kind", "status", "period", "lhs", "rhs", "diff"), 2)
 
 
-QUERIES["document_checks_all"] = _all_checks
-
-
-@query("document_checks", f"""with {DOCUMENTS}
-select doc_id, 'period_consistency' as kind, case when count(*) filter (where n > 0 and statement <> 'unknown') = 3 then 'pass' else 'warn' end as status from sm group by 1
-union all select doc_id, 'extraction_quality', case when conf >= 0.65 then 'pass' when conf >= 0.35 then 'warn' else 'fail' end from dq""")
-def _checks(spark, sf):
-    rows = items(spark, sf)
-    periods = D.choose_periods(rows)
-    summary = D.statement_summary(D.statement_membership(rows))
-    documents = D.document_confidence(rows, periods)
-    found = K.document_checks(rows, periods, summary, documents)
-    return found.filter(F.col("kind") != "balance_sheet_equation").select("doc_id", "kind", "status")
-
-
 @query("document_overview", f"""with {SUMMARY}
 select s.doc_id, count(*) filter (where n > 0) as statements, cast(sum(n) as bigint) as line_items,
  count(*) filter (where n = 0 and statement <> 'unknown') as statement_warnings,

@@ -80,13 +80,12 @@ for _name, _args in {
     ORACLES[_name] = sql_series(*_args)
 
 
-@query("series_month", sql_series("(select * from orders where o_orderpriority = '1-URGENT' and "
-                                  "o_orderdate < timestamp '1997-12-01')", "o_orderdate", "o_totalprice", "sum"))
+@query("series_month", """
+select year(o_orderdate) // 3 as years, strftime(o_orderdate, '%Y-%m') as label, round(sum(o_totalprice), 2) as value from orders group by 1, 2""")
 def _series_month(spark, sf):
-    """Three years of urgent orders: shown by month."""
-    orders = Q.apply_filters(table(spark, sf, "orders"), {"o_orderpriority": "1-URGENT"})
-    early = orders.filter(F.col("o_orderdate") < F.lit("1997-12-01").cast("timestamp"))
-    return rounded(A.time_series(early, "o_orderdate", "o_totalprice", "sum"), 2).select("label", "value")
+    """A series of each three calendar years: shown by month."""
+    orders = table(spark, sf, "orders").withColumn("years", F.floor(F.year("o_orderdate") / 3))
+    return longs(rounded(A.time_series(orders, "o_orderdate", "o_totalprice", "sum", ["years"]), 2).select("years", "label", "value"), "years")
 
 
 @query("series_extremes", f"""
@@ -681,21 +680,12 @@ select ds as dataset_id, col as "column", case when kind = 'date' then 'values r
  when role = 'measure' then case when neg then 'amounts, some below zero' else 'amounts' end
  when role = 'identifier' then 'named like an identifier, many values'
  when role = 'text' then case when avg_len > 40 then 'long texts' else 'too many values to group' end
- else uniq || ' values to group by' end as reasons from ro where ds in ('customer', 'events')""")
+ else uniq || ' values to group by' end as reasons from ro""")
 def _reasons(spark, sf):
-    roles = report.roles_of_tables({t: table(spark, sf, t) for t in ("customer", "events")})
-    return roles.select("dataset_id", "column", F.array_join("reasons", "; ").alias("reasons"))
-
-
-def _reasons_of_all(spark, sf):
     """Every column of every report table."""
     return _roles(spark, sf).select("dataset_id", "column", F.array_join("reasons", "; ").alias("reasons"))
 
 
-QUERIES["role_reasons_all"] = _reasons_of_all
-ORACLES["role_reasons_all"] = ORACLES["role_reasons"].replace(" where ds in ('customer', 'events')", "")
-
-
 @query("rank_measures", f"""with {SQL_OVERVIEW}
 select ds as dataset_id, rk as rank, col as "column" from mr""")
 def _rank_measures(spark, sf):
