@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from re import _constants as sre, _parser as sre_parser
 
 import numpy as np
@@ -46,15 +46,6 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
 )
-#: Published token formats beyond the base kinds.
-MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-)
-RULES = BASE_RULES + MORE_RULES
-
 _BREAK, _END_OF_TOKEN = r"(?:\s|\\[nr])", r"(?![^\s\\\"',])"
 #: A whole key: its header, header fields, and base64 up to END or, without END, to the last line of base64.
 PRIVATE_KEY = (
@@ -63,8 +54,14 @@ PRIVATE_KEY = (
     rf"|(?:{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}}{_END_OF_TOKEN})+(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:\n|\\|\Z)))?"
     rf"|)"
 )
-#: What is redacted: as ``RULES``, whose private_key finds the header only, but the whole key.
-REDACTED = tuple(replace(r, pattern=PRIVATE_KEY) if r.kind == "private_key" else r for r in RULES)
+#: Published token formats beyond the base kinds.
+MORE_RULES = (
+    Rule("private_key", PRIVATE_KEY),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+)
+RULES = BASE_RULES + MORE_RULES
 
 # Boolean queries: ("all",), ("tri", code), ("and", queries), ("or", queries) ------------------------------
 
@@ -265,7 +262,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         run, f"doc_id {doc_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; each span (overlapping ones as one) is replaced, and n_chars follows if it is there."""
     names = docs.columns
 
@@ -312,9 +309,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Matches and the text between them give the places: both lists come from the same leftmost matches."""
+    """Matches and the text between them give the places: both lists come from the same leftmost matches.
+
+    Whole private keys are beyond DuckDB's patterns, which cannot look ahead; tests check them by themselves.
+    """
     parts = []
     for k, r in enumerate(RULES):
+        if r.kind == "private_key":
+            continue
         pattern = r.pattern.replace("'", "''")
         length = f"length(regexp_extract(m, '{pattern}', {r.group}))" if r.group else "length(m)"
         parts.append(f"""
