@@ -33,6 +33,8 @@ TURNS = [
     (3, 5, "user", "hi"), (3, 9, "assistant", "hello"), (3, 11, "user", "bye"), (4, 0, "user", "hi"), (5, 0, None, None), (5, 0, None, None),
     (6, 0, "unknown", ""), (None, 1, "user", "lone"), (None, 2, "user", "turns"), (7, None, "user", "x" * 5000), (8, 0, "assistant", "hi"),
     (9, 0, "user", "ab"), (9, 1, "user", "c"), (10, 0, "user", "a"), (10, 1, "user", "bc"),
+    (11, 0, "tool", "z"), (11, 0, None, "z"), (11, 0, "tool", None), (11, 0, "assistant", "b"), (12, 0, "assistant", "b"), (12, 0, None, "z"),
+    (13, None, "user", "q"), (13, None, "user", "b"), (13, None, "user", "b"), (14, None, "user", "b"), (14, None, "user", "b"),
 ] + [(20 + k, t, "user", f"t{t}") for k in range(6) for t in range(k + 1)] + [(40 + k, t, "user", f"s{t}") for k in (0, 1) for t in range(9000)]
 
 
