@@ -5,7 +5,9 @@ Every term of an example has its place in the vectors.  A term weighs (1 + ln co
 frequencies are counted over all documents, and the label weight rises from ``FLOOR`` with the likelihood ratio between
 term and label, up to the bar that a test over all terms would set, so that it ranks terms and leaves none out.  The
 examples' vectors form a block-max inverted index: for each term its postings, and its largest weight in each block of
-examples.  A search visits blocks by falling bound and stops when no unseen block can hold a nearer example, so that the
+examples.  The commonest terms, whose maxima would bound nothing, also have a row of weights each: one product gives their
+part of all cosines for a group of texts.  A block's bound is the largest such part in it and the maxima of the other
+terms.  A search visits blocks by falling bound and leaves out those that can hold no nearer example, so that the
 ``NEIGHBOURS`` nearest are exact.  Their votes, weighed by squared cosine and by how many labelled rows an example stands
 for, are calibrated by isotonic pools fitted to the examples with each left out in turn, joined by straight lines.  The
 neighbours are the evidence.
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +34,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm.common import documents, fold, text_batches
 
-PER_CLASS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 15, 64, 0.3
+PER_CLASS, NEIGHBOURS, BLOCK, THRESHOLD = 4_000, 15, 256, 0.3
 #: Label weight of a term that says nothing about the label; one at the bar weighs 1 more.
 FLOOR = 0.05
 #: Texts whose answers a worker remembers (by digest), and blocks that a search visits first.
 REMEMBERED, FIRST_BLOCKS = 20_000, 8
-_TERM = re.compile(r"[^\W_]+")
+#: Terms with a row of weights: at most so many, each in one of so many examples; and texts of one product.
+COMMON, COMMON_SHARE, GROUP = 256, 16, 256
+_TERM = re.compile(r"\w+")
 
 #: Term numbers, rising, and their weights.
 Vector = tuple[np.ndarray, np.ndarray]
 
 
 def terms_of(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+    return _TERM.findall(text.lower().replace("_", " "))
 
 
 def _places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,33 +78,66 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.entry = np.searchsorted(term[starts], np.arange(terms + 1))
 
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each common term (-1 for others), and the rows' weights by example."""
+        held = np.diff(self.posting[self.entry])
+        chosen = np.argsort(-held, kind="stable")[:COMMON]
+        chosen = chosen[held[chosen] * COMMON_SHARE >= max(1, self.examples)]
+        row, rows = np.full(len(held), -1), np.zeros((len(chosen), self.examples))
+        row[chosen] = np.arange(len(chosen))
+        places, lengths = _places(self.posting[self.entry[chosen]], self.posting[self.entry[chosen + 1]])
+        rows[np.repeat(np.arange(len(chosen)), lengths), self.example[places]] = self.weight[places]
+        return row, rows
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "common"}  # each worker builds its own
+
     def nearest(self, query: Vector, count: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising number;
-        ``without`` names one example to leave out."""
-        terms, weights = query
-        if not len(terms) or not self.examples:
-            return []
+        return self.nearest_of([query], count, None if without is None else [without])[0]
+
+    def nearest_of(self, queries: list[Vector], count: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query, (cosine, example) of the nearest examples with a cosine over 0, by falling cosine and rising
+        number; ``without`` names one example to leave out for each."""
+        if not self.examples:
+            return [[] for _ in queries]
+        row, rows = self.common
+        found = []
+        for low in range(0, len(queries), GROUP):
+            group = queries[low : low + GROUP]
+            dense, others = np.zeros((len(group), len(rows))), []
+            for i, (terms, weights) in enumerate(group):
+                of = row[terms]
+                dense[i, of[of >= 0]] = weights[of >= 0]
+                others.append((terms[of < 0], weights[of < 0]))
+            parts = dense @ rows
+            found += [self._search(parts[i], *others[i], count, without[low + i] if without else None) for i in range(len(group))]
+        return found
+
+    def _search(self, cosines: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: int, without: int | None) -> list[tuple[float, int]]:
+        """Nearest examples by the common terms' part of the cosines and the other terms of the query."""
+        def least() -> float:
+            if without is not None:
+                cosines[without] = 0
+            return max(1e-12, np.partition(cosines, -count)[-count]) if self.examples > count else 1e-12
+
+        bar = least()
         entries, lengths = _places(self.entry[terms], self.entry[terms + 1])
         of_entry, block = np.repeat(weights, lengths), self.block[entries]
-        bound = np.bincount(block, self.most[entries] * of_entry, minlength=self.blocks)
+        rest = np.bincount(block, self.most[entries] * of_entry, minlength=self.blocks)
+        bound = np.maximum.reduceat(cosines, np.arange(0, self.examples, BLOCK)) + rest
         by_bound = np.argsort(-bound, kind="stable")
-        cosines, least, low, step = np.zeros(self.examples), 1e-12, 0, FIRST_BLOCKS
-        while low < self.blocks and bound[by_bound[low]] >= least - 1e-9 and bound[by_bound[low]] > 0:
+        for some in (by_bound[:FIRST_BLOCKS], by_bound[FIRST_BLOCKS:]):
             visited = np.zeros(self.blocks, dtype=bool)
-            some = by_bound[low : low + step]
-            visited[some[bound[some] >= least - 1e-9]] = True
+            visited[some] = bound[some] >= bar - 1e-9
             mine = np.flatnonzero(visited[block])
             places, lengths = _places(self.posting[entries[mine]], self.posting[entries[mine] + 1])
             cosines += np.bincount(self.example[places], self.weight[places] * np.repeat(of_entry[mine], lengths), minlength=self.examples)
-            if without is not None:
-                cosines[without] = 0
-            if self.examples > count:
-                least = max(1e-12, np.partition(cosines, -count)[-count])
-            low, step = low + step, step * 2
-        cosines = cosines.round(12)
-        hits = np.flatnonzero(cosines >= max(1e-12, round(least, 12)))
-        order = np.lexsort((hits, -cosines[hits]))[:count]
-        return list(zip(cosines[hits[order]].tolist(), hits[order].tolist()))
+            bar = least()
+        near = np.flatnonzero(cosines >= bar - 1e-9)
+        rounded = cosines[near].round(12)
+        order = np.lexsort((near, -rounded))[:count]
+        return [(c, e) for c, e in zip(rounded[order].tolist(), near[order].tolist()) if c >= 1e-12]
 
 
 @dataclass
@@ -115,9 +153,12 @@ class Model:
     without_terms: float = 0.0
 
     def vector(self, text: str) -> Vector:
-        counts = Counter(self.terms[w] for w in terms_of(text) if w in self.terms)
-        terms = np.array(sorted(counts), dtype=np.int64)
-        weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.weights[terms]
+        counts = Counter(terms_of(text))
+        found = np.array([self.terms.get(w, -1) for w in counts], dtype=np.int64)
+        times = np.fromiter(counts.values(), dtype=float, count=len(counts))
+        order = np.argsort(found)[np.count_nonzero(found < 0) :]
+        terms = found[order]
+        weights = (1 + np.log(times[order])) * self.weights[terms]
         return terms, weights / max(np.sqrt((weights * weights).sum()), 1e-300)
 
     def vote(self, nearest: list[tuple[float, int]]) -> float:
@@ -163,11 +204,12 @@ def _term_counts(texts: DataFrame, key: str | None = None, vocabulary: dict[str,
             return pa.RecordBatch.from_arrays(arrays, [*names, "n"])
 
         counts: Counter = Counter()
+        known = shared.value if shared else None
         for batch, held in text_batches(batches):
             keys = batch.column(batch.schema.get_field_index(key)).to_pylist() if key else [0] * len(held)
             for k, text in zip(keys, held):
                 found = set(terms_of(text))
-                counts.update((k, t) for t in (found if shared is None else [shared.value[t] for t in found if t in shared.value]))
+                counts.update((k, t) for t in (found if known is None else map(known.get, found & known.keys())))
             if len(counts) > 300_000:
                 yield flushed()
                 counts.clear()
@@ -225,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     model.index = BlockMaxIndex([v[2] for v in filled], len(model.terms))
     bare = [model.stands_for[v[1]] * np.array([1, v[1]]) for v in vectors if not len(v[2][0])]
     model.without_terms = float(sum(b[1] for b in bare) / sum(b[0] for b in bare)) if bare else 0.0
-    found = [(model.index.nearest(v[2], NEIGHBOURS, i), v[1]) for i, v in enumerate(filled)]
+    found = zip(model.index.nearest_of([v[2] for v in filled], NEIGHBOURS, list(range(len(filled)))), model.labels)
     points = [(round(model.vote(near), 9), label, model.stands_for[label]) for near, label in found if near]
     if points:
         starts, values = isotonic(points)
@@ -264,19 +306,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, remembered = shared.value, {}
 
-        def answer(text: str) -> tuple:
-            key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in remembered:
-                if len(remembered) >= REMEMBERED:
-                    remembered.clear()
-                nearest = model.index.nearest(model.vector(text), NEIGHBOURS) if model.index else []
+        def answers(texts: list[str]) -> list[tuple]:
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in remembered}
+            vectors = [model.vector(t) for t in new.values()]
+            for key, nearest in zip(new, model.index.nearest_of(vectors, NEIGHBOURS) if model.index else [[]] * len(new)):
                 remembered[key] = model.score(nearest), [{"doc_id": model.ids[e], "cosine": c, "label": model.labels[e]} for c, e in nearest]
-            return remembered[key]
+            return [remembered[k] for k in keys]
 
         for batch, texts in text_batches(batches):
             ids = batch.column(0)
             example = pa.struct([("doc_id", ids.type), ("cosine", pa.float64()), ("label", pa.int32())])
-            scores, evidence = zip(*map(answer, texts))
+            scores, evidence = zip(*answers(texts))
             predicted = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.list_(example))],
                                              ["doc_id", "score", "predicted", "evidence"])

@@ -231,7 +231,11 @@ def test_redacted_texts_have_no_secret(awkward):
 # 7 toxicity ----------------------------------------------------------------------------------------------
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("common", [0, 12, 256])
+def test_nearest_examples_are_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "GROUP", 7)
     rng = np.random.default_rng(7)
 
     def vector():
@@ -250,6 +254,8 @@ def test_nearest_examples_are_exact():
         assert index.nearest(arrays(q), 15) == [(-c, i) for c, i in brute if c < 0][:15]
         first = brute[0][1]
         assert index.nearest(arrays(q), 15, first) == [(-c, i) for c, i in brute if c < 0 and i != first][:15]
+    some = [arrays(vector()) for _ in range(20)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    assert index.nearest_of(some, 15) == [index.nearest(q, 15) for q in some] and index.nearest(some[-1], 15) == []
 
 
 def test_isotonic_rises():
