@@ -154,7 +154,8 @@ class Model:
 
     def vector(self, text: str) -> Vector:
         counts = Counter(terms_of(text))
-        found = np.array([self.terms.get(w, -1) for w in counts], dtype=np.int64)
+        known = self.terms.get
+        found = np.array([known(w, -1) for w in counts], dtype=np.int64)
         times = np.fromiter(counts.values(), dtype=float, count=len(counts))
         order = np.argsort(found)[np.count_nonzero(found < 0) :]
         terms = found[order]
@@ -192,31 +193,47 @@ def centres(points: list[tuple[float, float, float]], starts: list[float]) -> np
     return np.bincount(pool, votes * weights) / np.bincount(pool, weights)
 
 
-def _term_counts(texts: DataFrame, key: str | None = None, vocabulary: dict[str, int] | None = None) -> pa.Table:
-    """Documents that hold each term, by the integer key column if any; with a vocabulary, its terms by number."""
-    kind, shared = ("string", None) if vocabulary is None else ("int", texts.sparkSession.sparkContext.broadcast(vocabulary))
-    names = [key or "all", "term"]
+def _summed(texts: DataFrame, run, names: list[str], schema: str) -> pa.Table:
+    """The counts n of all tasks, added up."""
+    return texts.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n")).toArrow()
 
+
+def _term_counts(examples: DataFrame) -> pa.Table:
+    """label, term and n, the examples of each label that hold each term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed() -> pa.RecordBatch:
-            keys, terms = zip(*counts) if counts else ((), ())
-            arrays = [pa.array(keys, pa.int32()), pa.array(terms, pa.string() if shared is None else pa.int32()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, [*names, "n"])
+            labels, terms = zip(*counts) if counts else ((), ())
+            arrays = [pa.array(labels, pa.int32()), pa.array(terms, pa.string()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["label", "term", "n"])
 
         counts: Counter = Counter()
-        known = shared.value if shared else None
-        for batch, held in text_batches(batches):
-            keys = batch.column(batch.schema.get_field_index(key)).to_pylist() if key else [0] * len(held)
-            for k, text in zip(keys, held):
-                found = set(terms_of(text))
-                counts.update((k, t) for t in (found if known is None else map(known.get, found & known.keys())))
+        for batch, texts in text_batches(batches):
+            for label, text in zip(batch.column(batch.schema.get_field_index("label")).to_pylist(), texts):
+                counts.update((label, t) for t in set(terms_of(text)))
             if len(counts) > 300_000:
                 yield flushed()
                 counts.clear()
         yield flushed()
 
-    columns = [key, "text"] if key else ["text"]
-    return texts.select(*columns).mapInArrow(run, f"`{names[0]}` int, term {kind}, n long").groupBy(*names).agg(F.sum("n").alias("n")).toArrow()
+    return _summed(examples.select("label", "text"), run, ["label", "term"], "label int, term string, n long")
+
+
+def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> pa.Table:
+    """term (its number) and n, the documents that hold it, for the terms of the vocabulary; a task keeps one count a term."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        counts = np.zeros(len(known) + 1, dtype=np.int64)
+        for _, texts in text_batches(batches):
+            for text in texts:
+                found = set(terms_of(text)) or ("",)
+                # terms without a number count in the last place
+                counts[[known.get(t, -1) for t in found]] += 1
+        terms = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(counts[terms], pa.int64())], ["term", "n"])
+
+    return _summed(docs.select("text"), run, ["term"], "term int, n long")
 
 
 def likelihood_ratios(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -250,12 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     examples = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").cache()
     taken = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     model = Model(stands_for=tuple(sizes.get(k, 0) / max(1, taken.get(k, 0)) for k in (0, 1)))
-    counts = _term_counts(examples, "label")
+    counts = _term_counts(examples)
     words = counts["term"].to_pylist()
     model.terms = {t: i for i, t in enumerate(sorted(set(words)))}
     held = np.zeros((2, len(model.terms)))
     held[counts["label"].to_numpy(), [model.terms[t] for t in words]] = counts["n"].to_numpy()
-    frequencies, frequency = _term_counts(docs, None, model.terms), np.zeros(len(model.terms))
+    frequencies, frequency = _frequencies(docs, model.terms), np.zeros(len(model.terms))
     frequency[frequencies["term"].to_numpy()] = frequencies["n"].to_numpy()
     idf = np.log((1 + docs.count()) / (1 + frequency)) + 1
     model.weights = idf * label_weights(held, np.array([taken.get(k, 0) for k in (0, 1)], dtype=float))
