@@ -6,7 +6,7 @@ import csv
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablescope.functions.text import trim_ws
 from tablescope.sources.headers import unique_names
@@ -41,8 +41,12 @@ def _headers(spark: SparkSession, path: str | list[str], sep: str | None) -> lis
     return found
 
 
+def _blank(names: list[str]) -> Column:
+    return ~reduce(or_, [trim_ws(F.coalesce(f"c{i}", F.lit(""))) != "" for i in range(len(names))])
+
+
 def _parts(
-    spark: SparkSession, path: str | list[str], sep: str | None, multi_line: bool
+    spark: SparkSession, path: str | list[str], sep: str | None, multi_line: bool, blank_rows: bool = False
 ) -> list[tuple[DataFrame, list[str]]]:
     """Rows and column names of the files of each header."""
     parts = []
@@ -54,8 +58,7 @@ def _parts(
                      columnNameOfCorruptRecord=_MALFORMED, escape='"')
             .csv(files)
         )
-        blank = [trim_ws(F.coalesce(f"c{i}", F.lit(""))) != "" for i in range(len(names))]
-        parts.append((rows.filter(reduce(or_, blank)), names))
+        parts.append((rows if blank_rows else rows.filter(~_blank(names)), names))
     return parts
 
 
@@ -65,7 +68,7 @@ def read_delimited(
     """Rows of delimited files as text; blank rows are skipped.
 
     Files may differ in their headers: columns meet by name, and a column that
-    a file lacks is empty.  One pass over the files' first blocks reads the
+    a file lacks is empty.  One pass over all lines of the files finds the
     header lines.  Files split across tasks unless ``multi_line`` allows line
     breaks inside quotes.
     """
@@ -89,6 +92,25 @@ def read_issues(
     return reduce(DataFrame.unionByName, issues)
 
 
+def read_summary(
+    spark: SparkSession, path: str | list[str], sep: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """One row, from one scan: columns, rows, blank and malformed rows, and the error of a table without rows.
+
+    Rows are those that ``read_delimited`` gives; malformed ones are among them, blank ones (nothing but separators and
+    white space) are not.  Files without a header line are an error at once.
+    """
+    parts = _parts(spark, path, sep, multi_line, blank_rows=True)
+    seen = [
+        rows.select(_blank(names).alias("blank"), F.col(_MALFORMED).isNotNull().alias("malformed")) for rows, names in parts
+    ]
+    counts = reduce(DataFrame.unionByName, seen).agg(
+        F.count_if(~F.col("blank")).alias("rows"), F.count_if("blank").alias("blank_rows"),
+        F.count_if(~F.col("blank") & F.col("malformed")).alias("malformed_rows"))
+    columns = len({name for _, names in parts for name in names})
+    return counts.select(F.lit(columns).cast("long").alias("columns"), "*", F.when(F.col("rows") == 0, NO_ROWS).alias("error"))
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """The table, or an error when it has no columns or no rows."""
     if not df.columns:

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablescope.operators import aggregates as A, checks as K, facts as N, profiling as P, rows as Q, statements as D
@@ -181,6 +182,27 @@ def test_delimited(spark, tmp_path):
     assert {k: v.count() for k, v in files.read_any(spark, str(tmp_path)).items()} == {"csv": 3, "tsv": 1}
 
 
+def test_tables_without_rows(spark, tmp_path):
+    def written(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    header, blank, empty = written("h.csv", "a,b\n"), written("b.csv", "\n a,b\n , \n,\n"), written("e.csv", " \n\n")
+    some = written("s.csv", "a,c,d\n1,2,3\n,,\n1\n1,2,3,4\n")
+    for path, rows in ((header, 0), (blank, 0), (some, 3)):
+        df, seen = delimited.read_delimited(spark, path), delimited.read_summary(spark, path).first()
+        assert df.count() == rows == seen["rows"] and (seen["error"] == delimited.NO_ROWS) == (rows == 0)
+        if rows:
+            assert delimited.require_rows(df) is df
+        else:
+            with pytest.raises(delimited.TableError, match="no rows"):
+                delimited.require_rows(df)
+    assert tuple(delimited.read_summary(spark, [blank, some]).first()) == (4, 3, 3, 2, None)
+    for failing in (lambda: delimited.read_summary(spark, empty), lambda: delimited.require_rows(spark.createDataFrame([], "struct<>"))):
+        with pytest.raises(delimited.TableError, match="no columns"):
+            failing()
+
+
 def test_fragments_seed_rule(spark):
     rows = [("d", 1, 10.0, 100.0, 20.0, "a"), ("d", 1, 40.0, 98.0, 5.0, "b"), ("d", 1, 46.0, 97.0, 5.0, "c"), ("d", 1, 10.0, 96.0, 5.0, "next"), ("d", 1, 9.0, 50.0, 5.0, " ")]
     df = spark.createDataFrame(rows, "doc_id string, page_no int, x double, y double, w double, str string")

@@ -11,7 +11,7 @@ from tablescope.plans import documents as plan
 from tablescope.functions.text import describe_span, split_lines, squeeze, title_from_name, truncate
 from tablescope.session import shared_folder
 from tablescope.sources import files, pages as G, sheets as S, xml as X
-from tablescope.sources.delimited import read_delimited
+from tablescope.sources.delimited import read_delimited, read_issues, read_summary
 from workloads.common import longs, rounded, table
 from workloads.statements import FACTS, LABELS, facts
 
@@ -55,6 +55,40 @@ def _read_any(spark, sf):
     return files.read_any(spark, _written(spark, sf, "csv", ","))["csv"]
 
 
+def _written_with_faults(spark, sf) -> str:
+    """Order lines; of pending orders the last field is missing, urgent ones have one too many, each tenth key has a blank row."""
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    fields = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    whole = F.concat_ws("|", *fields)
+    line = (F.when(F.col("o_orderstatus") == "P", F.concat_ws("|", *fields[:2]))
+            .when(F.col("o_orderpriority") == "1-URGENT", F.concat(whole, F.lit("|more"))).otherwise(whole))
+    lines = F.when(F.col("o_orderkey") % 10 == 0, F.array(line, F.lit("| |"))).otherwise(F.array(line))
+    # The header line is the name of the one column.
+    rows = table(spark, sf, "orders").select(F.explode(lines).alias("|".join(fields)))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return path
+
+
+@query("read_issues", """
+    select 'The row has more or fewer fields than its header.' as message,
+           case when o_orderstatus = 'P' then o_orderkey || '|' || o_orderstatus
+                else o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|more' end as row
+    from orders where o_orderstatus = 'P' or o_orderpriority = '1-URGENT'
+""")
+def _read_issues(spark, sf):
+    return read_issues(spark, _written_with_faults(spark, sf))
+
+
+@query("read_summary", """
+    select 3::bigint as columns, count(*) as rows, count(*) filter (o_orderkey % 10 = 0) as blank_rows,
+           count(*) filter (o_orderstatus = 'P' or o_orderpriority = '1-URGENT') as malformed_rows,
+           case when count(*) = 0 then 'There are columns but no rows.' end as error
+    from orders
+""")
+def _read_summary(spark, sf):
+    return read_summary(spark, _written_with_faults(spark, sf))
+
+
 # Pages --------------------------------------------------------------------
 
 @query("fragments_to_lines", """
