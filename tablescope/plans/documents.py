@@ -145,9 +145,9 @@ def documents_from_workbook(cells: DataFrame) -> dict[str, DataFrame]:
     return parts
 
 
-def documents_from_xml(elements: DataFrame) -> dict[str, DataFrame]:
-    """Checked documents of the reported facts of XML documents; also their ``tables`` by shape."""
-    tables = xml_tables(elements)
+def documents_from_xml(documents: DataFrame) -> dict[str, DataFrame]:
+    """Checked documents of the reported facts of XML documents ``(doc_id, text)``; also their ``tables`` by shape."""
+    tables = xml_tables(documents)
     facts = stored(tables["facts"])
     parts = documents_from_items(D.items_from_facts(facts, "row_no"))
     return parts | {"facts": facts, "linkbase": tables["linkbase"], "generic": tables["generic"]}

@@ -1,16 +1,20 @@
 """XML and XBRL documents.
 
-Documents are parsed one per row inside tasks (the standard library's parser),
-into element rows; everything after that is joins and aggregates.
+Documents are parsed one per row inside tasks (the standard library's parser):
+into element rows of the wanted columns, or into the facts, contexts and units
+of a document with its references resolved, so that no join has to bring rows of
+one document together again.  Everything after that is expressions, joins and
+aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from xml.etree.ElementTree import Element, TreeBuilder
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescope.functions.finance import (
     humanize_concept,
@@ -46,94 +50,189 @@ _ARROW_TYPES = (
     *[pa.int64()] * 3, *[pa.string()] * 6, pa.map_(pa.string(), pa.string()), pa.list_(pa.string()),
     pa.int32(), pa.int32(), pa.string(),
 )
+_TYPES = dict(zip(_NAMES, _ARROW_TYPES))
 _BATCH_ROWS = 10_000
-
-
-def _elements(text: str) -> list[tuple]:
-    """Elements of one document, numbered in document order."""
-    parser = expat.ParserCreate()
+#: Columns that the readings of linkbases use.
+LINK_COLUMNS = ("node_id", "parent_id", "scope_id", "scope", "name", "content", "attrs")
+_DATES = ("startDate", "endDate", "instant", "identifier")
+_CONTEXT_FIELDS = {"start": pa.string(), "end": pa.string(), "instant": pa.string(), "entity": pa.string(),
+                   "axes": pa.list_(pa.string()), "members": pa.list_(pa.string())}
+_UNIT_FIELDS = {"measures": pa.list_(pa.string()), "divided": pa.bool_()}
+_FACT_FIELDS = {"node_id": pa.int64(), "fact_no": pa.int64(), "inline": pa.bool_(), "tag": pa.string(), "raw": pa.string(),
+                **{k: pa.string() for k in ("name", "contextRef", "unitRef", "scale", "sign", "decimals")}}
+_SHAPE_FIELDS = dict.fromkeys(("fact_count", "arc_count", "label_count", "element_count"), pa.int64())
+
+
+def _tree(text: str) -> Element:
+    """Root element of a document; names keep their prefixes."""
+    builder, parser = TreeBuilder(), expat.ParserCreate()
     parser.buffer_text = True
-    done: list[tuple] = []
-    open_nodes: list[dict] = []
-    count = 0
-
-    def start(tag: str, attributes: list[str]) -> None:
-        nonlocal count
-        name = tag.rpartition(":")[2]
-        attrs = dict(zip(attributes[::2], attributes[1::2]))
-        parent = open_nodes[-1] if open_nodes else None
-        node = {
-            "id": count, "tag": tag, "name": name, "attrs": attrs, "own": [], "all": None, "children": 0,
-            "path": (parent["path"] if parent else "") + "/" + name, "scope": parent["scope"] if parent else None,
-        }
-        if name in _SCOPES:
-            node["scope"] = (count, name)
-        if name in _LEAVES or attrs.get("contextRef"):
-            node["all"] = []
-        if parent:
-            parent["children"] += 1
-            parent["own"].append(" ")
-        count += 1
-        open_nodes.append(node)
-
-    def text_found(data: str) -> None:
-        open_nodes[-1]["own"].append(data)
-        for node in open_nodes:
-            if node["all"] is not None:
-                node["all"].append(data)
-
-    def end(_: str) -> None:
-        node = open_nodes.pop()
-        scope_id, scope = node["scope"] or (None, None)
-        done.append((
-            node["id"], open_nodes[-1]["id"] if open_nodes else None, scope_id, scope, node["path"],
-            node["tag"], node["name"], "".join(node["own"]),
-            None if node["all"] is None else "".join(node["all"]), list(node["attrs"].items()),
-            [f'{k}="{v}"' for k, v in node["attrs"].items()],
-            len(open_nodes), node["children"], None,
-        ))
-
-    parser.ordered_attributes = True
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = text_found
+    parser.StartElementHandler, parser.EndElementHandler = builder.start, builder.end
+    parser.CharacterDataHandler = builder.data
     parser.Parse(text, True)
-    return done
-
+    return builder.close()
 
-def _batch(keys: list, rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
-    columns = [pa.array(keys, key_type)]
-    columns += [pa.array(values, kind) for values, kind in zip(zip(*rows), _ARROW_TYPES)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", *_NAMES])
 
-
-def parse_documents(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """All elements of XML documents ``(doc_id, text)``; no cap on their number.
-
-    A document that is not well-formed gives one row with ``error``.
-    """
+def _walk(root: Element) -> Iterator[tuple]:
+    """Elements in document order: element, name, number, parent's number, scope's number and name, path, depth."""
+    waiting = [(root, None, None, None, "", 0)]
+    number = 0
+    while waiting:
+        node, parent, scope_id, scope, above, depth = waiting.pop()
+        name = node.tag.rpartition(":")[2]
+        if name in _SCOPES:
+            scope_id, scope = number, name
+        path = f"{above}/{name}"
+        yield node, name, number, parent, scope_id, scope, path, depth
+        if len(node):
+            waiting += [(child, number, scope_id, scope, path, depth + 1) for child in reversed(node)]
+        number += 1
+
+
+def _own_text(node: Element) -> str:
+    """Text of an element, with a blank in the place of each child."""
+    own = node.text or ""
+    return own + "".join([" " + (child.tail or "") for child in node]) if len(node) else own
+
+
+def _all_text(node: Element) -> str:
+    return "".join(node.itertext()) if len(node) else node.text or ""
+
+
+def _element_columns(root: Element, wanted: Sequence[str]) -> tuple[int, list]:
+    """Number of elements of a document, and their wanted columns."""
+    if not wanted:
+        return sum(1 for _ in root.iter()), []
+    nodes, names, ids, parents, scope_ids, scopes, paths, depths = zip(*_walk(root))
+    made = {
+        "node_id": lambda: ids, "parent_id": lambda: parents, "scope_id": lambda: scope_ids, "scope": lambda: scopes,
+        "path": lambda: paths, "tag": lambda: [e.tag for e in nodes], "name": lambda: names,
+        "text": lambda: [_own_text(e) for e in nodes],
+        "content": lambda: [_all_text(e) if name in _LEAVES or e.get("contextRef") else None for e, name in zip(nodes, names)],
+        "attrs": lambda: [e.items() for e in nodes],
+        "attribute_list": lambda: [[f'{k}="{v}"' for k, v in e.items()] for e in nodes],
+        "depth": lambda: depths, "child_count": lambda: [len(e) for e in nodes],
+        "error": lambda: [None] * len(nodes),
+    }
+    return len(nodes), [made[k]() for k in wanted]
+
+
+def _rows(names: Sequence[str], rows: list[dict]) -> tuple[int, list]:
+    return len(rows), [[row.get(k) for row in rows] for k in names]
+
+
+def _reported(root: Element) -> tuple[list[dict], dict[str, dict], dict[str, dict]]:
+    """Facts, contexts and units of a document; of equal ids the last counts."""
+    facts: list[dict] = []
+    found: dict[int, dict] = {}
+    for node, name, number, _, scope_id, scope, _, _ in _walk(root):
+        if scope == "context":
+            if name == "context":
+                found[number] = {"kind": name, "id": node.get("id"), "axes": [], "members": []}
+            elif name in _DATES:
+                found[scope_id].setdefault("entity" if name == "identifier" else name.removesuffix("Date"), _all_text(node))
+            elif name == "explicitMember":
+                found[scope_id]["axes"].append(node.get("dimension", ""))
+                found[scope_id]["members"].append(_all_text(node))
+        elif scope == "unit":
+            if name == "unit":
+                found[number] = {"kind": name, "id": node.get("id"), "measures": [], "divided": False}
+            elif name == "measure":
+                found[scope_id]["measures"].append(_all_text(node))
+            elif name == "divide":
+                found[scope_id]["divided"] = True
+        if name in INLINE_FACTS or (node.get("contextRef") and name not in ("context", "unit")):
+            facts.append({k: node.get(k, "") for k in ("name", "contextRef", "unitRef", "scale", "sign", "decimals")} | {
+                "node_id": number, "fact_no": len(facts) + 1, "inline": name in INLINE_FACTS, "tag": node.tag,
+                "raw": _all_text(node)})
+    known = [x for x in found.values() if x["id"]]
+    contexts = {x["id"]: {**dict.fromkeys(("start", "end", "instant", "entity"), ""), **x} for x in known if x["kind"] == "context"}
+    return facts, contexts, {x["id"]: x for x in known if x["kind"] == "unit" and x["measures"]}
+
+
+def _fact_columns(root: Element) -> tuple[int, list]:
+    facts, contexts, units = _reported(root)
+    nothing: dict = {}
+    size, columns = _rows(tuple(_FACT_FIELDS), facts)
+    for fields, ref, known in ((_CONTEXT_FIELDS, "contextRef", contexts), (_UNIT_FIELDS, "unitRef", units)):
+        columns += _rows(tuple(fields), [known.get(fact[ref], nothing) for fact in facts])[1]
+    return size, columns
+
+
+def _link(node: Element, name: str) -> str:
+    return node.get(f"xlink:{name}") or node.get(name) or ""
+
+
+def _shape_columns(root: Element) -> tuple[int, list]:
+    """One row: numbers of facts, arcs, labels and elements."""
+    arc_of = {link: arc for link, arc, _ in LINKBASES}
+    facts = arcs = count = 0
+    starts, resources = [], {}
+    for node, name, _, parent, scope_id, scope, _, _ in _walk(root):
+        count += 1
+        facts += name in INLINE_FACTS or bool(node.get("contextRef") and name not in ("context", "unit"))
+        if scope is not None and parent == scope_id:
+            arcs += arc_of.get(scope) == name
+            if scope == "labelLink" and name == "labelArc":
+                starts.append((scope_id, _link(node, "to")))
+            elif scope == "labelLink" and name == "label":
+                key = (scope_id, _link(node, "label"))
+                resources[key] = resources.get(key, 0) + bool(key[1])
+    return 1, [[facts], [arcs], [sum(resources.get(key, 0) for key in starts)], [count]]
+
+
+def _parsed(
+    documents: DataFrame, read: Callable[[Element], tuple[int, list]], types: dict[str, pa.DataType], schema: str,
+    text: str = "text", doc: str = "doc_id",
+) -> DataFrame:
+    """Rows that ``read`` gives for each well-formed document; the others give a row with their ``error``, if asked for."""
     id_type = documents.schema[doc].dataType.simpleString()
+    names = list(types)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = []
-        rows: list[tuple] = []
         for batch in batches:
             key_type = batch.schema.field(0).type
+            keys: list = []
+            columns: list[list] = [[] for _ in names]
+
+            def done() -> pa.RecordBatch:
+                arrays = [pa.array(keys, key_type), *map(pa.array, columns, types.values())]
+                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names])
+
             for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = _elements(source or "")
+                    size, found = read(_tree(source or ""))
                 except expat.ExpatError as problem:
-                    found = [(-1, *[None] * 12, f"{BAD_XML} ({problem})")]
-                keys += [key] * len(found)
-                rows += found
-                if len(rows) >= _BATCH_ROWS:
-                    yield _batch(keys, rows, key_type)
-                    keys, rows = [], []
-            if rows:
-                yield _batch(keys, rows, key_type)
-                keys, rows = [], []
+                    if "error" not in types:
+                        continue
+                    size = 1
+                    known = {"node_id": -1, "error": f"{BAD_XML} ({problem})"}
+                    found = [[known.get(name)] for name in names]
+                keys += [key] * size
+                for column, values in zip(columns, found):
+                    column += values
+                if len(keys) >= _BATCH_ROWS:
+                    yield done()
+                    keys, columns = [], [[] for _ in names]
+            if keys:
+                yield done()
 
     wanted = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))
-    return wanted.mapInArrow(parse, f"doc_id {id_type}, {ELEMENT_SCHEMA}")
+    return wanted.mapInArrow(parse, ", ".join(filter(None, [f"doc_id {id_type}", schema])))
+
+
+def parse_documents(
+    documents: DataFrame, text: str = "text", doc: str = "doc_id", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """All elements of XML documents ``(doc_id, text)``; no cap on their number.
+
+    A document that is not well-formed gives one row with ``error``.  Only the
+    columns named are made; without ``error`` among them, such documents give no row.
+    """
+    wanted = tuple(_NAMES if columns is None else columns)
+    schema = ", ".join(part for part in ELEMENT_SCHEMA.split(", ") if part.split()[0] in wanted)
+    wanted = tuple(name for name in _NAMES if name in wanted)
+    return _parsed(documents, lambda root: _element_columns(root, wanted), {k: _TYPES[k] for k in wanted}, schema, text, doc)
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -147,10 +246,10 @@ def xml_elements(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull()).drop("error")
 
 
-def stored_elements(parsed: DataFrame) -> DataFrame:
-    """Elements written once to the shared folder, for jobs that read them
-    several times: parsing costs more than reading."""
-    return stored(xml_elements(parsed))
+def stored_links(documents: DataFrame) -> DataFrame:
+    """Elements for the readings of linkbases, written once to the shared
+    folder, as each reading joins several kinds of them."""
+    return stored(parse_documents(documents, columns=LINK_COLUMNS))
 
 
 def xml_issues(parsed: DataFrame) -> DataFrame:
@@ -181,71 +280,72 @@ def _xlink(name: str) -> Column:
         F.try_element_at("attrs", F.lit(f"xlink:{name}")), F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
 
-def _first_text(name: str) -> Column:
-    own = F.when(F.col("name") == name, F.col("node_id"))
-    return F.coalesce(F.min_by(squeeze(F.col("content")), own), F.lit(""))
+_CONTEXT_SCHEMA = "start string, end string, instant string, entity string, axes array<string>, members array<string>"
+_UNIT_SCHEMA = "measures array<string>, divided boolean"
+_FACT_SCHEMA = ("node_id long, fact_no long, inline boolean, tag string, raw string, name string, contextRef string, "
+                "unitRef string, scale string, sign string, decimals string")
 
 
-def xbrl_contexts(elements: DataFrame) -> DataFrame:
-    """Contexts by id: period, entity, dimensions (S9).  The last of equal ids counts."""
-    c = F.col
-    member, axis = humanize_concept(squeeze(c("content"))), _attr("dimension")
-    dimension = F.when(axis != "", F.concat(humanize_concept(axis), F.lit(": "), member)).otherwise(member)
-    inside = elements.filter(c("scope") == "context").groupBy("doc_id", "scope_id").agg(
-        F.max(F.when(c("name") == "context", _attr("id"))).alias("context_id"),
-        _first_text("startDate").alias("_start"), _first_text("endDate").alias("_end"),
-        _first_text("instant").alias("_instant"), _first_text("identifier").alias("entity"),
-        F.array_sort(F.collect_list(F.when(
-            c("name") == "explicitMember", F.struct(c("node_id").alias("n"), dimension.alias("d"))))).alias("_dims"),
-    ).filter(F.coalesce("context_id", F.lit("")) != "")
-    last = F.row_number().over(Window.partitionBy("doc_id", "context_id").orderBy(c("scope_id").desc()))
-    return inside.withColumn("_r", last).filter(c("_r") == 1).select(
-        "doc_id", "context_id",
-        reported_period_label(c("_start"), c("_end"), c("_instant")).alias("period"), "entity",
-        F.array_join(F.transform("_dims", lambda x: x["d"]), "; ").alias("dimensions"),
-    )
+def _period() -> Column:
+    start, end, instant = (squeeze(F.col(f"`{k}`")) for k in ("start", "end", "instant"))
+    return F.when(F.col("axes").isNotNull(), reported_period_label(start, end, instant))
 
 
-def xbrl_units(elements: DataFrame) -> DataFrame:
-    """Units by id: measures multiplied, or divided by those after the first."""
-    c = F.col
-    inside = elements.filter(c("scope") == "unit").groupBy("doc_id", "scope_id").agg(
-        F.max(F.when(c("name") == "unit", _attr("id"))).alias("unit_id"),
-        F.array_sort(F.collect_list(F.when(
-            c("name") == "measure", F.struct(c("node_id").alias("n"), squeeze(c("content")).alias("m"))))).alias("_m"),
-        F.bool_or(c("name") == "divide").alias("_divided"),
-    ).filter((F.coalesce("unit_id", F.lit("")) != "") & (F.size("_m") > 0))
-    names = F.transform("_m", lambda x: x["m"])
+def _dimensions() -> Column:
+    def shown(axis: Column, member: Column) -> Column:
+        words = humanize_concept(squeeze(member))
+        return F.when(axis != "", F.concat(humanize_concept(axis), F.lit(": "), words)).otherwise(words)
+
+    # Most contexts have no dimension: the lambda is not entered for them.
+    return F.when(F.size("axes") == 0, "").when(
+        F.size("axes") > 0, F.array_join(F.zip_with("axes", "members", shown), "; "))
+
+
+def _unit() -> Column:
+    names = F.transform("measures", squeeze)
     product = F.array_join(names, " x ")
     ratio = F.concat(F.get(names, F.lit(0)), F.lit(" / "), F.array_join(F.slice(names, F.lit(2), F.size(names)), " x "))
-    last = F.row_number().over(Window.partitionBy("doc_id", "unit_id").orderBy(c("scope_id").desc()))
-    return inside.withColumn("_r", last).filter(c("_r") == 1).select(
-        "doc_id", "unit_id", F.when(c("_divided") & (F.size("_m") >= 2), ratio).otherwise(product).alias("unit"))
+    return F.when(F.col("divided") & (F.size("measures") >= 2), ratio).otherwise(product)
 
 
-def _is_fact() -> Column:
-    return F.col("name").isin(*INLINE_FACTS) | (
-        (_attr("contextRef") != "") & ~F.col("name").isin("context", "unit"))
+def xbrl_contexts(documents: DataFrame) -> DataFrame:
+    """Contexts by id: period, entity, dimensions (S9).  The last of equal ids counts."""
+    types = {"context_id": pa.string(), **_CONTEXT_FIELDS}
+
+    def read(root: Element) -> tuple[int, list]:
+        known = _reported(root)[1]
+        return _rows(tuple(types), [{"context_id": k, **x} for k, x in known.items()])
+
+    found = _parsed(documents, read, types, f"context_id string, {_CONTEXT_SCHEMA}")
+    return found.select("doc_id", "context_id", _period().alias("period"), squeeze(F.col("entity")).alias("entity"),
+                        _dimensions().alias("dimensions"))
 
 
-def xbrl_facts(elements: DataFrame) -> DataFrame:
+def xbrl_units(documents: DataFrame) -> DataFrame:
+    """Units by id: measures multiplied, or divided by those after the first."""
+    types = {"unit_id": pa.string(), **_UNIT_FIELDS}
+
+    def read(root: Element) -> tuple[int, list]:
+        known = _reported(root)[2]
+        return _rows(tuple(types), [{"unit_id": k, **x} for k, x in known.items()])
+
+    found = _parsed(documents, read, types, f"unit_id string, {_UNIT_SCHEMA}")
+    return found.select("doc_id", "unit_id", _unit().alias("unit"))
+
+
+def xbrl_facts(documents: DataFrame) -> DataFrame:
     """Reported facts with period, unit and amount.
 
-    Contexts and units are joined by document and id, so one busy document
-    spreads over its ids; adaptive skew handling splits a hot one.
+    A fact refers to contexts and units of its own document; they are resolved
+    where the document is parsed, so that no fact is shuffled.
     """
     c = F.col
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))
-    inline = c("name").isin(*INLINE_FACTS)
-    facts = elements.filter(_is_fact()).select(
-        "doc_id", "node_id", number.alias("fact_no"), inline.alias("_inline"),
-        F.when(inline, _attr("name")).otherwise(c("tag")).alias("_concept"),
-        _attr("contextRef").alias("context_id"), _attr("unitRef").alias("unit_id"),
-        squeeze(F.coalesce("content", F.lit(""))).alias("_raw"), _attr("scale").alias("_scale"),
-        _attr("sign").alias("_sign"), _attr("decimals").alias("_decimals"),
-    )
-    rows = facts.join(xbrl_contexts(elements), ["doc_id", "context_id"], "left").join(
-        xbrl_units(elements), ["doc_id", "unit_id"], "left")
+    types = _FACT_FIELDS | _CONTEXT_FIELDS | _UNIT_FIELDS
+    rows = _parsed(documents, _fact_columns, types, f"{_FACT_SCHEMA}, {_CONTEXT_SCHEMA}, {_UNIT_SCHEMA}").select(
+        "doc_id", "fact_no", c("inline").alias("_inline"), F.when(c("inline"), c("name")).otherwise(c("tag")).alias("_concept"),
+        c("contextRef").alias("context_id"), c("unitRef").alias("unit_id"), squeeze(c("raw")).alias("_raw"),
+        c("scale").alias("_scale"), c("sign").alias("_sign"), c("decimals").alias("_decimals"),
+        _period().alias("period"), squeeze(c("entity")).alias("entity"), _dimensions().alias("dimensions"), _unit().alias("unit"))
     amount = scaled_fact_value(c("_raw"), c("_scale"), c("_sign"))
 
     def part(prefix: str, value: Column) -> Column:
@@ -347,31 +447,25 @@ def xbrl_labels(elements: DataFrame) -> DataFrame:
     )
 
 
-def xml_shapes(elements: DataFrame) -> DataFrame:
+def xml_shapes(documents: DataFrame) -> DataFrame:
     """Shape of each document: facts, linkbase or generic."""
     c = F.col
-    arc = F.lit(False)
-    for link, name, _ in LINKBASES:
-        arc = arc | ((c("scope") == link) & (c("name") == name) & (c("parent_id") == c("scope_id")))
-    flags = elements.groupBy("doc_id").agg(
-        F.count_if(_is_fact()).alias("fact_count"), F.count_if(arc).alias("arc_count"),
-        F.count(F.lit(1)).alias("element_count"))
-    labels = xbrl_labels(elements).groupBy("doc_id").agg(F.count(F.lit(1)).alias("label_count"))
-    rows = flags.join(labels, "doc_id", "left").na.fill(0, ["label_count"])
+    rows = _parsed(documents, _shape_columns, _SHAPE_FIELDS, ", ".join(f"{k} long" for k in _SHAPE_FIELDS))
     shape = F.when(c("fact_count") > 0, "facts").when(
         c("arc_count") + c("label_count") > 0, "linkbase").otherwise("generic")
     return rows.withColumn("shape", shape)
 
 
-def xml_tables(elements: DataFrame) -> dict[str, DataFrame]:
+def xml_tables(documents: DataFrame) -> dict[str, DataFrame]:
     """The three tables of a corpus, each with the documents of its shape."""
-    shapes = xml_shapes(elements).select("doc_id", "shape")
+    shapes = xml_shapes(documents).select("doc_id", "shape")
 
-    def only(rows: DataFrame, shape: str) -> DataFrame:
-        return rows.join(shapes.filter(F.col("shape") == shape).select("doc_id"), "doc_id", "left_semi")
+    def only(shape: str) -> DataFrame:
+        return documents.join(shapes.filter(F.col("shape") == shape).select("doc_id"), "doc_id", "left_semi")
 
+    links = parse_documents(only("linkbase"), columns=LINK_COLUMNS)
     return {
-        "facts": xbrl_facts(only(elements, "facts")),
-        "linkbase": xbrl_arcs(only(elements, "linkbase")).unionByName(xbrl_labels(only(elements, "linkbase"))),
-        "generic": flatten_xml(only(elements, "generic")),
+        "facts": xbrl_facts(documents),  # a document with a fact has that shape
+        "linkbase": xbrl_arcs(links).unionByName(xbrl_labels(links)),
+        "generic": flatten_xml(xml_elements(parse_documents(only("generic")))),
     }

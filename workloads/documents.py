@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablescope.functions import finance as M
 from tablescope.plans import documents as plan
 from tablescope.functions.text import describe_span, split_lines, squeeze, title_from_name, truncate
-from tablescope.session import shared_folder
+from tablescope.session import shared_folder, spread
 from tablescope.sources import files, pages as G, sheets as S, xml as X
 from tablescope.sources.delimited import read_delimited, read_issues, read_summary
 from workloads.common import longs, rounded, table
@@ -363,15 +363,8 @@ def instances(spark, sf) -> DataFrame:
     y = F.year("o_orderdate")
     text = F.format_string(xml, "o_custkey", "o_orderstatus", y, y, "o_custkey", y, F.format_string("%,.2f", "o_totalprice"),
                            "o_orderkey", "o_custkey", "o_orderpriority")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
-
-
-def elements(documents: DataFrame) -> DataFrame:
-    return X.xml_elements(X.parse_documents(documents))
-
-
-def stored(documents: DataFrame) -> DataFrame:
-    return X.stored_elements(X.parse_documents(documents))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return spread(orders, "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 _ORDERS_Y = "o as (select *, year(o_orderdate) as y from orders)"
@@ -406,12 +399,12 @@ select doc_id, cast(node_id as bigint) as node_id, e.p as "Path", string_split(e
  cast(len(string_split(e.p, '/')) - 2 as bigint) as "Depth", cast(e.c as bigint) as "Child Count" from x""")
 def _flatten(spark, sf):
     """All elements of every document."""
-    return longs(X.flatten_xml(elements(instances(spark, sf))), "node_id", "Depth", "Child Count")
+    return longs(X.flatten_xml(X.xml_elements(X.parse_documents(instances(spark, sf)))), "node_id", "Depth", "Child Count")
 
 
 @query("xml_element_counts", "select count(*) * 28 as elements, count(*) as documents from orders")
 def _element_counts(spark, sf):
-    return elements(instances(spark, sf)).agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("doc_id").alias("documents"))
+    return X.parse_documents(instances(spark, sf), columns=()).agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query("xbrl_contexts", f"""with {_ORDERS_Y}
@@ -419,13 +412,13 @@ select o_orderkey as doc_id, 'c1' as context_id, 'FY ' || y as period, cast(o_cu
  'Order Priority Axis: Status ' || case o_orderstatus when 'F' then 'F' when 'O' then 'O' else 'P' end || ' Member' as dimensions from o
 union all select o_orderkey, 'c2', 'As of ' || y, cast(o_custkey as varchar), '' from o""")
 def _contexts(spark, sf):
-    return X.xbrl_contexts(elements(instances(spark, sf)))
+    return X.xbrl_contexts(instances(spark, sf))
 
 
 @query("xbrl_units", """
 select o_orderkey as doc_id, unnest(['u1', 'u2']) as unit_id, unnest(['iso4217:NOK', 'iso4217:NOK / shares']) as unit from orders""")
 def _units(spark, sf):
-    return X.xbrl_units(elements(instances(spark, sf)))
+    return X.xbrl_units(instances(spark, sf))
 
 
 @query("xbrl_facts", f"""with {_ORDERS_Y}
@@ -435,7 +428,7 @@ union all select o_orderkey, 'Profit Loss', 'ifrs-full:ProfitLoss', 'Income stat
 union all select o_orderkey, 'Earnings Per Share', 'ifrs-full:EarningsPerShare', 'Equity statement', 'As of ' || y, cast(o_custkey as double), 'iso4217:NOK / shares', 'Fact 3' from o
 union all select o_orderkey, 'Name Of Reporting Entity', 'ifrs-full:NameOfReportingEntity', 'XBRL fact', 'Unspecified period', null, '', 'Fact 4' from o""")
 def _xbrl_facts(spark, sf):
-    df = X.xbrl_facts(stored(instances(spark, sf)))
+    df = X.xbrl_facts(instances(spark, sf))
     return rounded(df.select("doc_id", "line_item", "metric", "statement", "period", "amount", "unit", "source_row"), 2)
 
 
@@ -447,7 +440,7 @@ union all select o_orderkey, 3, 'context c2', cast(o_custkey as varchar) from o
 union all select o_orderkey, 4, 'context cx | value: ' || o_orderpriority || ' & Co', '' from o""")
 def _xbrl_notes(spark, sf):
     """The notes of every fact."""
-    return X.xbrl_facts(stored(instances(spark, sf))).select("doc_id", "row_no", "note", "section")
+    return X.xbrl_facts(instances(spark, sf)).select("doc_id", "row_no", "note", "section")
 
 
 @query("documents_from_workbook", f"""with {FACTS}
@@ -463,7 +456,7 @@ def _documents_from_workbook(spark, sf):
 @query("documents_from_xml", """
 select o_orderkey as doc_id, 3::bigint as item_rows, 2::bigint as periods from orders""")
 def _documents_from_xml(spark, sf):
-    parts = plan.documents_from_xml(stored(instances(spark, sf)))
+    parts = plan.documents_from_xml(instances(spark, sf))
     return parts["items"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("item_rows"), F.count_distinct("period").alias("periods"))
 
 
@@ -478,7 +471,8 @@ def linkbases(spark, sf) -> DataFrame:
         '<label xlink:label="l" xml:lang="no">Eiendeler</label><labelArc xlink:from="a" xlink:to="l"/></labelLink></linkbase>'
     )
     text = F.format_string(xml, "p_partkey", "p_size", "p_name")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 @query("xbrl_arcs", """
@@ -486,7 +480,7 @@ select p_partkey as doc_id, 'Calculation' as linkbase, 'Balance Sheet' as role,
  'Part' || p_partkey || ' Value' as to_concept, '1.0' as weight, cast(p_size as varchar) as "order", 't.xsd#ifrs-full_Part' || p_partkey || 'Value' as to_href from part
 union all select p_partkey, 'Calculation', 'Balance Sheet', 'Calculation', 'Total Assets', '', '-1', '', '' from part""")
 def _arcs(spark, sf):
-    df = X.xbrl_arcs(stored(linkbases(spark, sf)))
+    df = X.xbrl_arcs(X.stored_links(linkbases(spark, sf)))
     return df.select("doc_id", "linkbase", "role", "relationship", "from_concept", "to_concept", "weight", "order", "to_href")
 
 
@@ -494,7 +488,7 @@ def _arcs(spark, sf):
 select p_partkey as doc_id, 'link' as role, 'Concept label' as relationship, 'Total Assets' as from_concept, p_name || ' assets' as label, 'terse Label' as preferred_label, 'en' as language from part
 union all select p_partkey, 'link', 'Concept label', 'Total Assets', 'Eiendeler', '', 'no' from part""")
 def _labels(spark, sf):
-    df = X.xbrl_labels(stored(linkbases(spark, sf)))
+    df = X.xbrl_labels(X.stored_links(linkbases(spark, sf)))
     return df.select("doc_id", "role", "relationship", "from_concept", "label", "preferred_label", "language")
 
 
@@ -504,7 +498,7 @@ def _shapes(spark, sf):
     plain = table(spark, sf, "supplier").select(
         (F.lit(-1) - F.col("s_suppkey")).alias("doc_id"), F.format_string("<s><name>%s</name></s>", "s_name").alias("text"))
     parts = linkbases(spark, sf).withColumn("doc_id", F.col("doc_id") + 1_000_000_000_000)
-    shapes = X.xml_shapes(stored(instances(spark, sf).unionByName(parts).unionByName(plain)))
+    shapes = X.xml_shapes(instances(spark, sf).unionByName(parts).unionByName(plain))
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("documents"))
 
 
