@@ -1,5 +1,8 @@
 """Values and layouts that only larger tables bring."""
 
+import datetime
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tablescope.functions.cells import canonicalize_cells
@@ -59,3 +62,18 @@ def test_facts_are_not_shuffled_and_files_of_one_row_group_are_dealt_out(spark):
     plan = X.xbrl_facts(documents(spark, INSTANCE))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert workload.instances(spark, sf).rdd.getNumPartitions() > 1 and workload.linkbases(spark, sf).rdd.getNumPartitions() > 1
+
+
+def test_native_values_are_read_after_they_are_merged(spark):
+    rows = [(Decimal("1.50"), True, datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 0, 0, 5), -2, 0.1),
+            (Decimal("1.50"), None, None, datetime.datetime(2024, 1, 2, 3, 0, 0, 6), 2**62, float("nan")),
+            (None, False, datetime.date(1969, 12, 31), None, None, None)]
+    df = spark.createDataFrame(rows, "m decimal(10,2), f boolean, day date, at timestamp, k long, x double")
+    text = P.column_stats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "date_format" not in text[text.rindex("Exchange"):]
+    stats = {r["column"]: (r["inferred_type"], r["filled"], r["unique_count"], r["avg_length"], r["min"], r["first_date"])
+             for r in P.column_stats(df).collect()}
+    assert stats == {
+        "m": ("number", 2, 1, 3.0, 1.5, None), "f": ("boolean", 2, 2, 4.5, None, None),
+        "day": ("date", 2, 2, 10.0, None, "1969-12-31"), "at": ("date", 2, 2, 26.0, None, "2024-01-02"),
+        "k": ("integer", 2, 2, 10.5, -2.0, None), "x": ("number", 1, 1, 3.0, 0.1, None)}
