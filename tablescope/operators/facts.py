@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescope import rules as R
 from tablescope.functions.cells import cell, quoted
-from tablescope.functions.finance import humanize_concept, period_year, signed_change
-from tablescope.functions.patterns import any_match, first_match
+from tablescope.functions.finance import concept_words, humanize_concept, period_year, signed_change
+from tablescope.functions.patterns import any_match, first_match, first_match_reader
 from tablescope.functions.text import trim_ws
 from tablescope.functions.values import parse_number
 
@@ -158,6 +158,15 @@ def concept_statement(concept: Column) -> Column:
     return first_match(text, R.CONCEPT_TYPE_RULES, F.lit("XBRL fact"))
 
 
+_statement_of = first_match_reader(R.CONCEPT_TYPE_RULES, "XBRL fact")
+
+
+def told_concept(concept: str) -> tuple[str, str]:
+    """Words and ``concept_statement`` of a concept as a plain text, in Python."""
+    words = concept_words(concept)
+    return words, _statement_of(f"{concept} {words}")
+
+
 def to_facts(records: DataFrame) -> DataFrame:
     """Usable facts of raw fact records: amount, line item and period given."""
     amount = F.col("amount") if dict(records.dtypes)["amount"] == "double" else parse_number(

@@ -211,32 +211,54 @@ def _pick(on_duplicate: str, value: Column, row_no: Column) -> Column:
     return F.max_by(value, row_no)
 
 
+def _classified(labels: DataFrame, own: str, rules: Sequence[R.ConceptRule]) -> DataFrame:
+    return labels.select(
+        "_statement", "label", label_kind(F.concat_ws(" ", "_statement", own), rules).alias("kind"),
+        classify_concept(F.col(own), rules).alias("concept"))
+
+
 def _classified_labels(rows: DataFrame, rules: Sequence[R.ConceptRule]) -> DataFrame:
     """Kind and concept of each distinct (``_statement``, ``label``).
 
     The rules read an aggregated copy of the label: a filter on their result
     then stays above the aggregate, and no rule is tried on every row.
     """
-    labels = rows.groupBy("_statement", "label").agg(F.max("label").alias("_own"))
-    return labels.select(
-        "_statement", "label", label_kind(F.concat_ws(" ", "_statement", "_own"), rules).alias("kind"),
-        classify_concept(F.col("_own"), rules).alias("concept"))
+    return _classified(rows.groupBy("_statement", "label").agg(F.max("label").alias("_own")), "_own", rules)
 
 
-def items_from_facts(
-    facts: DataFrame, row_no: str = "row_no", on_duplicate: str = "last",
-    rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES, doc: str = "doc_id",
-) -> DataFrame:
-    """Line items of facts; the last amount of a period wins, or the sum."""
+def _fact_rows(facts: DataFrame, row_no: str, doc: str) -> DataFrame:
+    """Facts with a label, a period and an amount, as items are made of them."""
     c = F.col
     label, period = trim_ws(c("line_item")), trim_ws(c("period"))
     amount = c("amount") if dict(facts.dtypes)["amount"] == "double" else parse_number(c("amount"))
-    rows = facts.select(
+    return facts.select(
         doc, label.alias("label"), period.alias("period"), amount.alias("_amount"),
         F.coalesce("statement", F.lit("")).alias("_statement"),
         F.coalesce("sheet", F.lit("")).alias("_sheet"), quoted(row_no).alias("_row"),
     ).filter((c("label") != "") & (c("period") != "") & c("_amount").isNotNull())
-    rows = rows.join(_classified_labels(rows, rules), ["_statement", "label"])
+
+
+def fact_labels(facts: DataFrame, row_no: str = "row_no", rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES,
+                doc: str = "doc_id") -> DataFrame:
+    """Labels of facts with their kinds and concepts, to be stored for ``items_from_facts``.
+
+    Made distinct by hash: no facts are sorted, as they are where a copy is aggregated.
+    """
+    return _classified(_fact_rows(facts, row_no, doc).select("_statement", "label").distinct(), "label", rules)
+
+
+def items_from_facts(
+    facts: DataFrame, row_no: str = "row_no", on_duplicate: str = "last",
+    rules: Sequence[R.ConceptRule] = R.CONCEPT_RULES, doc: str = "doc_id", labels: DataFrame | None = None,
+) -> DataFrame:
+    """Line items of facts; the last amount of a period wins, or the sum.
+
+    ``labels`` brings the ``fact_labels`` of these facts where they are stored:
+    as their size is known then, facts need not be shuffled to meet a few.
+    """
+    c = F.col
+    rows = _fact_rows(facts, row_no, doc)
+    rows = rows.join(_classified_labels(rows, rules) if labels is None else labels, ["_statement", "label"])
     value = signed_value(c("_amount"), c("label"), c("kind"))
     grouped = rows.groupBy(doc, "kind", "label", "concept", "_sheet", "period").agg(
         _pick(on_duplicate, value, c("_row")).alias("value")

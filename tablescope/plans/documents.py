@@ -149,5 +149,5 @@ def documents_from_xml(documents: DataFrame) -> dict[str, DataFrame]:
     """Checked documents of the reported facts of XML documents ``(doc_id, text)``; also their ``tables`` by shape."""
     tables = xml_tables(documents)
     facts = stored(tables["facts"])
-    parts = documents_from_items(D.items_from_facts(facts, "row_no"))
+    parts = documents_from_items(D.items_from_facts(facts, "row_no", labels=stored(D.fact_labels(facts))))
     return parts | {"facts": facts, "linkbase": tables["linkbase"], "generic": tables["generic"]}

@@ -10,6 +10,7 @@ aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from xml.etree.ElementTree import Element, TreeBuilder
 from xml.parsers import expat
 
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescope.functions.finance import (
+    concept_words,
     humanize_concept,
+    plain_period_label,
     reported_period_label,
-    scaled_fact_value,
+    scaled_number,
     short_uri,
 )
-from tablescope.functions.text import squeeze, truncate
-from tablescope.operators.facts import concept_statement
+from tablescope.functions.text import squeeze, squeezed, truncate
+from tablescope.functions.values import packed_number, parse_packed, plain_number
+from tablescope.operators.facts import told_concept
 from tablescope.session import stored
 
 # Names of inline facts, link elements and their arcs.
@@ -54,12 +58,11 @@ _TYPES = dict(zip(_NAMES, _ARROW_TYPES))
 _BATCH_ROWS = 10_000
 #: Columns that the readings of linkbases use.
 LINK_COLUMNS = ("node_id", "parent_id", "scope_id", "scope", "name", "content", "attrs")
-_DATES = ("startDate", "endDate", "instant", "identifier")
-_CONTEXT_FIELDS = {"start": pa.string(), "end": pa.string(), "instant": pa.string(), "entity": pa.string(),
-                   "axes": pa.list_(pa.string()), "members": pa.list_(pa.string())}
-_UNIT_FIELDS = {"measures": pa.list_(pa.string()), "divided": pa.bool_()}
-_FACT_FIELDS = {"node_id": pa.int64(), "fact_no": pa.int64(), "inline": pa.bool_(), "tag": pa.string(), "raw": pa.string(),
-                **{k: pa.string() for k in ("name", "contextRef", "unitRef", "scale", "sign", "decimals")}}
+_DATES = {"startDate": 0, "endDate": 1, "instant": 2, "identifier": 3}  # place among the fields
+_TELLING = frozenset({*_SCOPES, *INLINE_FACTS, *_DATES, "explicitMember", "measure", "divide"})
+_CONTEXT_FIELDS = ("period", "start", "end", "instant", "entity", "dimensions")
+_FACT_FIELDS = ("fact_no", "inline", "concept", "words", "statement", "raw", "number", "context_id", "unit_id", "scale",
+                "sign", "decimals")
 _SHAPE_FIELDS = dict.fromkeys(("fact_count", "arc_count", "label_count", "element_count"), pa.int64())
 
 
@@ -99,10 +102,10 @@ def _all_text(node: Element) -> str:
     return "".join(node.itertext()) if len(node) else node.text or ""
 
 
-def _element_columns(root: Element, wanted: Sequence[str]) -> tuple[int, list]:
-    """Number of elements of a document, and their wanted columns."""
+def _element_rows(root: Element, wanted: Sequence[str]) -> list[tuple]:
+    """Wanted columns of the elements of a document."""
     if not wanted:
-        return sum(1 for _ in root.iter()), []
+        return [()] * sum(1 for _ in root.iter())
     nodes, names, ids, parents, scope_ids, scopes, paths, depths = zip(*_walk(root))
     made = {
         "node_id": lambda: ids, "parent_id": lambda: parents, "scope_id": lambda: scope_ids, "scope": lambda: scopes,
@@ -114,57 +117,138 @@ def _element_columns(root: Element, wanted: Sequence[str]) -> tuple[int, list]:
         "depth": lambda: depths, "child_count": lambda: [len(e) for e in nodes],
         "error": lambda: [None] * len(nodes),
     }
-    return len(nodes), [made[k]() for k in wanted]
+    return [*zip(*[made[k]() for k in wanted])]
 
 
-def _rows(names: Sequence[str], rows: list[dict]) -> tuple[int, list]:
-    return len(rows), [[row.get(k) for row in rows] for k in names]
+@lru_cache(maxsize=4096)
+def _told(tag: str) -> str:
+    """Name without prefix of an element that tells of facts by itself, else nothing."""
+    name = tag.rpartition(":")[2]
+    return name if name in _TELLING else ""
 
 
-def _reported(root: Element) -> tuple[list[dict], dict[str, dict], dict[str, dict]]:
-    """Facts, contexts and units of a document; of equal ids the last counts."""
-    facts: list[dict] = []
-    found: dict[int, dict] = {}
-    for node, name, number, _, scope_id, scope, _, _ in _walk(root):
-        if scope == "context":
+def _reported(text: str) -> tuple[list[list], dict[str, list], dict[str, list]]:
+    """Facts, contexts and units of a document as they stand there; of equal ids the last counts.
+
+    They are read while the document is parsed, without a tree.
+    """
+    facts: list[list] = []  # inline, tag, text, and the attributes that tell of a fact
+    contexts: list[tuple] = []
+    units: list[tuple] = []
+    scope, entry = "", []  # the scope around, and what it tells
+    ends: list[tuple | None] = []  # of each open element: the scope around, and where its text goes
+    pieces: list[str] = []  # all text so far
+
+    def start(tag: str, attrs: dict[str, str]) -> None:
+        nonlocal scope, entry
+        name = _told(tag)
+        refers = bool(attrs) and attrs.get("contextRef", "") != ""
+        if not (name or refers):
+            ends.append(None)
+            return
+        outer = fact = None
+        values, place = entry, -1
+        if name in _SCOPES:
+            outer, scope = (scope, entry), name
             if name == "context":
-                found[number] = {"kind": name, "id": node.get("id"), "axes": [], "members": []}
-            elif name in _DATES:
-                found[scope_id].setdefault("entity" if name == "identifier" else name.removesuffix("Date"), _all_text(node))
+                entry = [None, None, None, None, [], []]
+                contexts.append((attrs.get("id"), entry))
+            elif name == "unit":
+                entry = [[], False]
+                units.append((attrs.get("id"), entry))
+        elif scope == "context":
+            if name in _DATES:
+                if entry[_DATES[name]] is None:  # the first counts
+                    place = _DATES[name]
+                    entry[place] = ""
             elif name == "explicitMember":
-                found[scope_id]["axes"].append(node.get("dimension", ""))
-                found[scope_id]["members"].append(_all_text(node))
+                entry[4].append(attrs.get("dimension", ""))
+                values, place = entry[5], len(entry[5])
+                values.append("")
         elif scope == "unit":
-            if name == "unit":
-                found[number] = {"kind": name, "id": node.get("id"), "measures": [], "divided": False}
-            elif name == "measure":
-                found[scope_id]["measures"].append(_all_text(node))
+            if name == "measure":
+                values, place = entry[0], len(entry[0])
+                values.append("")
             elif name == "divide":
-                found[scope_id]["divided"] = True
-        if name in INLINE_FACTS or (node.get("contextRef") and name not in ("context", "unit")):
-            facts.append({k: node.get(k, "") for k in ("name", "contextRef", "unitRef", "scale", "sign", "decimals")} | {
-                "node_id": number, "fact_no": len(facts) + 1, "inline": name in INLINE_FACTS, "tag": node.tag,
-                "raw": _all_text(node)})
-    known = [x for x in found.values() if x["id"]]
-    contexts = {x["id"]: {**dict.fromkeys(("start", "end", "instant", "entity"), ""), **x} for x in known if x["kind"] == "context"}
-    return facts, contexts, {x["id"]: x for x in known if x["kind"] == "unit" and x["measures"]}
+                entry[1] = True
+        inline = name in INLINE_FACTS
+        if inline or (refers and name not in ("context", "unit")):
+            get = attrs.get
+            fact = [inline, tag, "", get("name", ""), get("contextRef", ""), get("unitRef", ""),
+                    get("scale", ""), get("sign", ""), get("decimals", "")]
+            facts.append(fact)
+        ends.append((outer, values, place, fact, len(pieces)))
+
+    def end(_: str) -> None:
+        nonlocal scope, entry
+        found = ends.pop()
+        if found is None:
+            return
+        outer, values, place, fact, begin = found
+        if place >= 0:
+            values[place] = "".join(pieces[begin:])
+        if fact is not None:
+            fact[2] = "".join(pieces[begin:])
+        if outer is not None:
+            scope, entry = outer
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, pieces.append
+    parser.Parse(text, True)
+    return facts, {key: entry for key, entry in contexts if key}, {key: entry for key, entry in units if key and entry[0]}
 
 
-def _fact_columns(root: Element) -> tuple[int, list]:
-    facts, contexts, units = _reported(root)
-    nothing: dict = {}
-    size, columns = _rows(tuple(_FACT_FIELDS), facts)
-    for fields, ref, known in ((_CONTEXT_FIELDS, "contextRef", contexts), (_UNIT_FIELDS, "unitRef", units)):
-        columns += _rows(tuple(fields), [known.get(fact[ref], nothing) for fact in facts])[1]
-    return size, columns
+@lru_cache(maxsize=4096)
+def _words(name: str) -> str:
+    return concept_words(name)
+
+
+@lru_cache(maxsize=4096)
+def _concept(name: str) -> tuple[str, str]:
+    return told_concept(name)
+
+
+def _context(entry: list) -> tuple:
+    """Fields of a context: period, dates, entity, and its axes with their members in words.
+
+    Dates are given where expressions have to make the period of them.
+    """
+    start, end, instant, entity = [squeezed(text) if text else "" for text in entry[:4]]
+    shown = [f"{_words(axis)}: {words}" if axis else words
+             for axis, words in zip(entry[4], [_words(squeezed(member)) for member in entry[5]])]
+    period = plain_period_label(start, end, instant)
+    dates = (start, end, instant) if period is None else (None, None, None)
+    return period, *dates, entity, "; ".join(shown)
+
+
+def _unit(entry: list) -> str:
+    """Measures of a unit multiplied, or divided by those after the first."""
+    names = [squeezed(name) for name in entry[0]]
+    return f"{names[0]} / {' x '.join(names[1:])}" if entry[1] and len(names) >= 2 else " x ".join(names)
+
+
+def _fact_rows(text: str) -> list[tuple]:
+    """Facts of a document, each with the fields of its context and its unit, which are read once."""
+    facts, contexts, units = _reported(text)
+    of_context = {key: _context(entry) for key, entry in contexts.items()}
+    of_unit = {key: _unit(entry) for key, entry in units.items()}
+    unknown = (None,) * len(_CONTEXT_FIELDS)
+    rows = []
+    for inline, tag, raw, name, context, unit, scale, sign, decimals in facts:
+        concept, raw = name if inline else tag, squeezed(raw)
+        rows.append((len(rows) + 1, inline, concept, *_concept(concept), raw, plain_number(raw), context, unit, scale, sign, decimals,
+                     *of_context.get(context, unknown), of_unit.get(unit)))
+    return rows
 
 
 def _link(node: Element, name: str) -> str:
     return node.get(f"xlink:{name}") or node.get(name) or ""
 
 
-def _shape_columns(root: Element) -> tuple[int, list]:
+def _shape_rows(text: str) -> list[tuple]:
     """One row: numbers of facts, arcs, labels and elements."""
+    root = _tree(text)
     arc_of = {link: arc for link, arc, _ in LINKBASES}
     facts = arcs = count = 0
     starts, resources = [], {}
@@ -178,11 +262,11 @@ def _shape_columns(root: Element) -> tuple[int, list]:
             elif scope == "labelLink" and name == "label":
                 key = (scope_id, _link(node, "label"))
                 resources[key] = resources.get(key, 0) + bool(key[1])
-    return 1, [[facts], [arcs], [sum(resources.get(key, 0) for key in starts)], [count]]
+    return [(facts, arcs, sum(resources.get(key, 0) for key in starts), count)]
 
 
 def _parsed(
-    documents: DataFrame, read: Callable[[Element], tuple[int, list]], types: dict[str, pa.DataType], schema: str,
+    documents: DataFrame, read: Callable[[str], list[tuple]], types: dict[str, pa.DataType], schema: str,
     text: str = "text", doc: str = "doc_id",
 ) -> DataFrame:
     """Rows that ``read`` gives for each well-formed document; the others give a row with their ``error``, if asked for."""
@@ -193,27 +277,25 @@ def _parsed(
         for batch in batches:
             key_type = batch.schema.field(0).type
             keys: list = []
-            columns: list[list] = [[] for _ in names]
+            rows: list[tuple] = []
 
             def done() -> pa.RecordBatch:
-                arrays = [pa.array(keys, key_type), *map(pa.array, columns, types.values())]
+                arrays = [pa.array(keys, key_type), *map(pa.array, zip(*rows), types.values())]
                 return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names])
 
             for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    size, found = read(_tree(source or ""))
+                    found = read(source or "")
                 except expat.ExpatError as problem:
                     if "error" not in types:
                         continue
-                    size = 1
                     known = {"node_id": -1, "error": f"{BAD_XML} ({problem})"}
-                    found = [[known.get(name)] for name in names]
-                keys += [key] * size
-                for column, values in zip(columns, found):
-                    column += values
+                    found = [tuple([known.get(name) for name in names])]
+                keys += [key] * len(found)
+                rows += found
                 if len(keys) >= _BATCH_ROWS:
                     yield done()
-                    keys, columns = [], [[] for _ in names]
+                    keys, rows = [], []
             if keys:
                 yield done()
 
@@ -232,7 +314,7 @@ def parse_documents(
     wanted = tuple(_NAMES if columns is None else columns)
     schema = ", ".join(part for part in ELEMENT_SCHEMA.split(", ") if part.split()[0] in wanted)
     wanted = tuple(name for name in _NAMES if name in wanted)
-    return _parsed(documents, lambda root: _element_columns(root, wanted), {k: _TYPES[k] for k in wanted}, schema, text, doc)
+    return _parsed(documents, lambda source: _element_rows(_tree(source), wanted), {k: _TYPES[k] for k in wanted}, schema, text, doc)
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -280,57 +362,33 @@ def _xlink(name: str) -> Column:
         F.try_element_at("attrs", F.lit(f"xlink:{name}")), F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
 
-_CONTEXT_SCHEMA = "start string, end string, instant string, entity string, axes array<string>, members array<string>"
-_UNIT_SCHEMA = "measures array<string>, divided boolean"
-_FACT_SCHEMA = ("node_id long, fact_no long, inline boolean, tag string, raw string, name string, contextRef string, "
-                "unitRef string, scale string, sign string, decimals string")
+def _strings(*names: str) -> dict[str, pa.DataType]:
+    return dict.fromkeys(names, pa.string())
 
 
 def _period() -> Column:
-    start, end, instant = (squeeze(F.col(f"`{k}`")) for k in ("start", "end", "instant"))
-    return F.when(F.col("axes").isNotNull(), reported_period_label(start, end, instant))
-
-
-def _dimensions() -> Column:
-    def shown(axis: Column, member: Column) -> Column:
-        words = humanize_concept(squeeze(member))
-        return F.when(axis != "", F.concat(humanize_concept(axis), F.lit(": "), words)).otherwise(words)
-
-    # Most contexts have no dimension: the lambda is not entered for them.
-    return F.when(F.size("axes") == 0, "").when(
-        F.size("axes") > 0, F.array_join(F.zip_with("axes", "members", shown), "; "))
-
-
-def _unit() -> Column:
-    names = F.transform("measures", squeeze)
-    product = F.array_join(names, " x ")
-    ratio = F.concat(F.get(names, F.lit(0)), F.lit(" / "), F.array_join(F.slice(names, F.lit(2), F.size(names)), " x "))
-    return F.when(F.col("divided") & (F.size("measures") >= 2), ratio).otherwise(product)
+    """Period of a context; null where there is none."""
+    made = reported_period_label(*(F.col(f"`{k}`") for k in ("start", "end", "instant")))
+    return F.when(F.col("dimensions").isNotNull(), F.coalesce("period", made))
 
 
 def xbrl_contexts(documents: DataFrame) -> DataFrame:
     """Contexts by id: period, entity, dimensions (S9).  The last of equal ids counts."""
-    types = {"context_id": pa.string(), **_CONTEXT_FIELDS}
+    types = _strings("context_id", *_CONTEXT_FIELDS)
 
-    def read(root: Element) -> tuple[int, list]:
-        known = _reported(root)[1]
-        return _rows(tuple(types), [{"context_id": k, **x} for k, x in known.items()])
+    def read(text: str) -> list[tuple]:
+        return [(key, *_context(entry)) for key, entry in _reported(text)[1].items()]
 
-    found = _parsed(documents, read, types, f"context_id string, {_CONTEXT_SCHEMA}")
-    return found.select("doc_id", "context_id", _period().alias("period"), squeeze(F.col("entity")).alias("entity"),
-                        _dimensions().alias("dimensions"))
+    found = _parsed(documents, read, types, ", ".join(f"{k} string" for k in types))
+    return found.select("doc_id", "context_id", _period().alias("period"), "entity", "dimensions")
 
 
 def xbrl_units(documents: DataFrame) -> DataFrame:
     """Units by id: measures multiplied, or divided by those after the first."""
-    types = {"unit_id": pa.string(), **_UNIT_FIELDS}
-
-    def read(root: Element) -> tuple[int, list]:
-        known = _reported(root)[2]
-        return _rows(tuple(types), [{"unit_id": k, **x} for k, x in known.items()])
+    def read(text: str) -> list[tuple]:
+        return [(key, _unit(entry)) for key, entry in _reported(text)[2].items()]
 
-    found = _parsed(documents, read, types, f"unit_id string, {_UNIT_SCHEMA}")
-    return found.select("doc_id", "unit_id", _unit().alias("unit"))
+    return _parsed(documents, read, _strings("unit_id", "unit"), "unit_id string, unit string")
 
 
 def xbrl_facts(documents: DataFrame) -> DataFrame:
@@ -340,34 +398,32 @@ def xbrl_facts(documents: DataFrame) -> DataFrame:
     where the document is parsed, so that no fact is shuffled.
     """
     c = F.col
-    types = _FACT_FIELDS | _CONTEXT_FIELDS | _UNIT_FIELDS
-    rows = _parsed(documents, _fact_columns, types, f"{_FACT_SCHEMA}, {_CONTEXT_SCHEMA}, {_UNIT_SCHEMA}").select(
-        "doc_id", "fact_no", c("inline").alias("_inline"), F.when(c("inline"), c("name")).otherwise(c("tag")).alias("_concept"),
-        c("contextRef").alias("context_id"), c("unitRef").alias("unit_id"), squeeze(c("raw")).alias("_raw"),
-        c("scale").alias("_scale"), c("sign").alias("_sign"), c("decimals").alias("_decimals"),
-        _period().alias("period"), squeeze(c("entity")).alias("entity"), _dimensions().alias("dimensions"), _unit().alias("unit"))
-    amount = scaled_fact_value(c("_raw"), c("_scale"), c("_sign"))
+    types = _strings(*_FACT_FIELDS, *_CONTEXT_FIELDS, "unit") | {"fact_no": pa.int64(), "inline": pa.bool_(), "number": pa.float64()}
+    kinds = {"fact_no": "long", "inline": "boolean", "number": "double"}
+    rows = _parsed(documents, _fact_rows, types, ", ".join(f"{k} {kinds.get(k, 'string')}" for k in types))
+    # What an expression reads several times becomes a column first, or it would be worked out each time.
+    rows = rows.withColumns({"period": _period(), "_packed": F.when(c("number").isNull(), packed_number(c("raw")))})
+    rows = rows.withColumn("number", F.coalesce("number", parse_packed(c("_packed"))))
+    rows = rows.withColumn("amount", scaled_number(c("number"), c("scale"), c("sign")))
 
     def part(prefix: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(prefix), value))
 
-    words = humanize_concept(c("_concept"))
-    rows = rows.withColumn("amount", amount)
     note = F.concat_ws(
-        " | ", part("context ", c("context_id")), part("decimals ", c("_decimals")), part("scale ", c("_scale")),
+        " | ", part("context ", c("context_id")), part("decimals ", c("decimals")), part("scale ", c("scale")),
         part("", c("dimensions")),
-        F.when(c("amount").isNull(), part("value: ", c("_raw"))),
+        F.when(c("amount").isNull(), part("value: ", c("raw"))),
     )
     return rows.select(
-        "doc_id", c("doc_id").cast("string").alias("sheet"), concept_statement(c("_concept")).alias("statement"),
+        "doc_id", c("doc_id").cast("string").alias("sheet"), "statement",
         F.coalesce(F.nullif("dimensions", F.lit("")), "entity", F.lit("")).alias("section"),
-        F.when(words != "", words).when(c("_concept") != "", c("_concept"))
+        F.when(c("words") != "", c("words")).when(c("concept") != "", c("concept"))
         .otherwise(F.format_string("Fact %d", c("fact_no"))).alias("line_item"),
-        F.when(c("_concept") != "", c("_concept")).otherwise("Fact").alias("metric"),
+        F.when(c("concept") != "", c("concept")).otherwise("Fact").alias("metric"),
         F.coalesce("period", F.lit("Unspecified period")).alias("period"), "amount",
         F.coalesce("unit", "unit_id").alias("unit"), note.alias("note"),
-        F.concat(F.when(c("_inline"), "Inline fact ").otherwise("Fact "), c("fact_no").cast("string")).alias("source_row"),
-        c("fact_no").cast("long").alias("row_no"),
+        F.concat(F.when(c("inline"), "Inline fact ").otherwise("Fact "), c("fact_no").cast("string")).alias("source_row"),
+        c("fact_no").alias("row_no"),
     )
 
 
@@ -450,7 +506,7 @@ def xbrl_labels(elements: DataFrame) -> DataFrame:
 def xml_shapes(documents: DataFrame) -> DataFrame:
     """Shape of each document: facts, linkbase or generic."""
     c = F.col
-    rows = _parsed(documents, _shape_columns, _SHAPE_FIELDS, ", ".join(f"{k} long" for k in _SHAPE_FIELDS))
+    rows = _parsed(documents, _shape_rows, _SHAPE_FIELDS, ", ".join(f"{k} long" for k in _SHAPE_FIELDS))
     shape = F.when(c("fact_count") > 0, "facts").when(
         c("arc_count") + c("label_count") > 0, "linkbase").otherwise("generic")
     return rows.withColumn("shape", shape)
